@@ -5,6 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "aggregate_queries",
+    "scoring_queries",
+    "fold_queries",
+    "page_queries",
     "join_queries",
     "scalar_queries",
     "history_queries",

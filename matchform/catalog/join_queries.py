@@ -185,7 +185,7 @@ LEFT JOIN xg_rolled a ON f.match_id = a.match_id AND a.venue = 'away'"""
 @query("q_model_table", _model_sql())
 def model_table(t):
     raw = t.raw_with_measures().withColumnRenamed("match_id", "source_id")
-    return rounded(features.build_features(raw, t.xg(), t.curated_codes()))
+    return rounded(features.build_features(raw, t.xg(), t.curated_codes(), ties=("source_id",)))
 
 
 @query(

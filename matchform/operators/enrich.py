@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from matchform.functions import scalars as S
@@ -24,17 +26,18 @@ def with_market_probs(df: DataFrame) -> DataFrame:
     )
 
 
-def number_matches(df: DataFrame, **limits: int) -> DataFrame:
-    """Zero-based ``match_id`` per league and season, by kickoff and names."""
-    return number_rows(
-        df, LEAGUE_SEASON, ("kickoff", "HomeTeam", "AwayTeam"), "match_id", start=0, **limits
-    )
+def number_matches(df: DataFrame, ties: Sequence[str] = (), **limits: int) -> DataFrame:
+    """Zero-based ``match_id`` per league and season, by kickoff and names, then ``ties``."""
+    order = ("kickoff", "HomeTeam", "AwayTeam", *ties)
+    return number_rows(df, LEAGUE_SEASON, order, "match_id", start=0, **limits)
 
 
-def enrich_matches(raw: DataFrame, crosswalk: DataFrame, **limits: int) -> DataFrame:
+def enrich_matches(
+    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), **limits: int
+) -> DataFrame:
     """Raw match rows with kickoff, ``match_id``, codes, ``match_concat`` and probabilities."""
     parsed = raw.withColumn("kickoff", S.parse_kickoff(F.col("Date"), F.col("Time")))
-    coded = number_matches(parsed, **limits).transform(lambda df: attach_codes(df, crosswalk))
+    coded = number_matches(parsed, ties, **limits).transform(lambda df: attach_codes(df, crosswalk))
     keyed = coded.withColumn(
         "match_concat",
         S.match_key(F.col("kickoff"), F.col("home_team_code"), F.col("away_team_code")),

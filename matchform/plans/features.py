@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from matchform.operators import assemble, history
@@ -20,12 +22,16 @@ def prematch_table(matches: DataFrame, **limits: int) -> DataFrame:
     return assemble.rejoin_sides(matches, form, FORM_COLUMNS).transform(assemble.with_differences)
 
 
-def match_features(raw: DataFrame, crosswalk: DataFrame, **limits: int) -> DataFrame:
+def match_features(
+    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), **limits: int
+) -> DataFrame:
     """All league-seasons' pre-match tables, renumbered chronologically.
 
-    The renumbering writes the table once to the checkpoint folder; the xG steps read it from there.
+    ``ties`` orders matches of the same teams at the same (or no) time. The renumbering writes
+    the table once to the checkpoint folder; the xG steps read it from there.
     """
-    return global_order(prematch_table(enrich_matches(raw, crosswalk, **limits), **limits), GLOBAL_ORDER)
+    matches = enrich_matches(raw, crosswalk, ties, **limits)
+    return global_order(prematch_table(matches, **limits), GLOBAL_ORDER)
 
 
 def rolling_xg_table(features: DataFrame, features_xg: DataFrame, **limits: int) -> DataFrame:
@@ -34,11 +40,16 @@ def rolling_xg_table(features: DataFrame, features_xg: DataFrame, **limits: int)
 
 
 def build_features(
-    raw: DataFrame, xg: DataFrame, curated: DataFrame, by_league: bool = False, **limits: int
+    raw: DataFrame,
+    xg: DataFrame,
+    curated: DataFrame,
+    by_league: bool = False,
+    ties: Sequence[str] = (),
+    **limits: int,
 ) -> DataFrame:
     """The model-ready table."""
     crosswalk = merge_crosswalk(seed_crosswalk(xg), curated)
-    features = match_features(raw, crosswalk, **limits)
+    features = match_features(raw, crosswalk, ties, **limits)
     slim = features.select("match_id", "kickoff", "league", "HomeTeam", "AwayTeam", "match_concat")
     features_xg = assemble.join_xg(slim, xg, by_league)
     return assemble.select_model_columns(rolling_xg_table(features, features_xg, **limits))
