@@ -116,6 +116,4 @@ def log_tables(t):
         FROM matches WHERE "FTR" IS NOT NULL""",
 )
 def match_logs(t):
-    pages = log_pages(t)
-    logs = weblog.match_logs(weblog.html_tables(pages), pages)
-    return weblog.clean_match_log(logs, "League-One")
+    return weblog.clean_match_log(weblog.match_logs(log_pages(t)), "League-One")

@@ -23,10 +23,10 @@ def _scored(t):
 
 @query(
     "q_row_log_loss",
-    f"WITH {Q.SCORED_ALL} SELECT match_id, {_r('model_log_loss', 'model_log_loss')}, {_r('market_log_loss', 'market_log_loss')} FROM scored",
+    f"WITH {Q.SCORED_ALL} SELECT match_id, {_r('model_log_loss', 'model_log_loss', 9)}, {_r('market_log_loss', 'market_log_loss', 9)} FROM scored",
 )
 def row_log_loss(t):
-    return rounded(_scored(t).select("match_id", "model_log_loss", "market_log_loss"))
+    return rounded(_scored(t).select("match_id", "model_log_loss", "market_log_loss"), 9)
 
 
 @query(
@@ -66,10 +66,11 @@ _SCORES = ("model_log_loss", "market_log_loss", "model_brier", "market_brier")
 
 @query(
     "q_add_scores",
-    f"WITH {Q.SCORED_ALL} SELECT match_id, {', '.join(_r(c, c) for c in _SCORES)}, model_pick, market_pick FROM scored",
+    f"WITH {Q.SCORED_ALL} SELECT match_id, {', '.join(_r(c, c, 9) for c in _SCORES)}, model_pick, market_pick FROM scored",
 )
 def add_scores(t):
-    return rounded(_scored(t).select("match_id", *_SCORES, "model_pick", "market_pick"))
+    # Row scores are often exact decimals with a 5 in the seventh place; nine places avoid that tie.
+    return rounded(_scored(t).select("match_id", *_SCORES, "model_pick", "market_pick"), 9)
 
 
 _SUMMARY_SQL = f"""summary AS (SELECT count(*) AS matches, {', '.join(f'avg({c}) AS {c}' for c in _SCORES)},

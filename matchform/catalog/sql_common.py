@@ -142,10 +142,8 @@ def log_loss(probs, eps: str = "1e-15", result: str = '"FTR"') -> str:
 
 def brier(probs, result: str = '"FTR"') -> str:
     total = "(" + " + ".join(probs) + ")"
-    terms = [
-        f"power({p} / {total} - CASE WHEN {result} = '{o}' THEN 1 ELSE 0 END, 2)" for p, o in zip(probs, "HDA")
-    ]
-    return f"(CASE WHEN {result} IS NOT NULL THEN " + " + ".join(terms) + " END)"
+    gaps = [f"({p} / {total} - CASE WHEN {result} = '{o}' THEN 1 ELSE 0 END)" for p, o in zip(probs, "HDA")]
+    return f"(CASE WHEN {result} IS NOT NULL THEN " + " + ".join(f"{g} * {g}" for g in gaps) + " END)"
 
 
 def pick(probs) -> str:

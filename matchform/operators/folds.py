@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchform.functions import scalars as S
 from matchform.operators.filters import complete_rows
 
 Fold = tuple[list[str], str]
 
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+CONSTANT_TOLERANCE = 1e-13
+
 
 def seasons_with_year(df: DataFrame, season: str = "season") -> DataFrame:
     """Distinct seasons with their start year; one row per season."""
@@ -92,27 +96,53 @@ def season_holdout(df: DataFrame, season: str = "season") -> tuple[DataFrame, Da
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute Pearson correlation of every pair, over rows where both are known.
 
-    One pass over the rows; a pair with a constant member has no correlation (NULL).
+    Each task turns its rows into one small matrix of sums per moment, whatever their number, and
+    only those are added up. Values are shifted by the column's minimum (one number per column)
+    so that the sums of squares keep their digits. A pair with a constant member has no
+    correlation (NULL).
     """
-    pairs = list(combinations(columns, 2))
-    sums = []
-    for index, (left, right) in enumerate(pairs):
-        x, y = _known(left, right), _known(right, left)
-        spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
-        sums.append(F.abs(F.try_divide(F.covar_pop(x, y), spread)).alias(f"pair_{index}"))
-    rows = [
-        F.struct(
-            F.lit(left).alias("left"), F.lit(right).alias("right"), F.col(f"pair_{index}").alias("correlation")
-        )
-        for index, (left, right) in enumerate(pairs)
-    ]
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+    columns = list(columns)
+    values = df.select(
+        *[F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")).alias(name) for name in columns]
+    )
+    lows = values.agg(*[F.min(name).alias(name) for name in columns]).first()
+    shift = np.array([0.0 if low is None else low for low in lows])
+    size = len(columns)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(MOMENTS), size, size))
+        for batch in batches:
+            x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            known = ~np.isnan(x)
+            x = np.where(known, x - shift, 0.0)
+            mask = known.astype(float)
+            total += [mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, mask.T @ (x * x), x.T @ x]
+        left, right = np.triu_indices(size, 1)
+        arrays = [pa.array(left.astype("int32")), pa.array(right.astype("int32"))]
+        arrays += [pa.array(moment[left, right]) for moment in total]
+        yield pa.RecordBatch.from_arrays(arrays, ["i", "j", *MOMENTS])
+
+    schema = "i int, j int, " + ", ".join(f"{name} double" for name in MOMENTS)
+    sums = (
+        values.mapInArrow(moments, schema)
+        .groupBy("i", "j")
+        .agg(*[F.sum(name).alias(name) for name in MOMENTS])
+    )
+    n, sx, sy, sxx, syy, sxy = [F.col(name) for name in MOMENTS]
+    spread_x, spread_y = _spread(n, sx, sxx), _spread(n, sy, syy)
+    cross = sxy - F.try_divide(sx * sy, n)
+    names = F.array(*[F.lit(name) for name in columns])
+    return sums.select(
+        F.get(names, F.col("i")).alias("left"),
+        F.get(names, F.col("j")).alias("right"),
+        F.abs(F.try_divide(cross, F.sqrt(spread_x * spread_y))).alias("correlation"),
+    )
 
 
-def _known(column: str, other: str):
-    value, partner = F.col(column).cast("double"), F.col(other).cast("double")
-    usable = partner.isNotNull() & ~F.isnan(partner) & ~F.isnan(value)
-    return F.when(usable, value)
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Sum of squared distances from the mean; zero when it is only rounding."""
+    spread = squares - F.try_divide(total * total, n)
+    return F.when(spread > squares * F.lit(CONSTANT_TOLERANCE), spread).otherwise(F.lit(0.0))
 
 
 def drop_correlated(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from matchform.operators.filters import clean_log, filter_competition, played_only
+from matchform.session import checkpointed
 
 # Columns of a match log, in their published order.
 EXPECTED_COLUMNS = (
@@ -32,7 +34,12 @@ CELL_SCHEMA = T.StructType(
     ]
 )
 
-CELLS_PER_FRAME = 10_000
+ROWS_PER_FRAME = 10_000
+
+LOG_SCHEMA = T.StructType(
+    [T.StructField("page_id", T.LongType()), T.StructField("row", T.IntegerType())]
+    + [T.StructField(name, T.StringType()) for name in LOG_COLUMNS]
+)
 
 COMMENT_PATTERN = r"(?s)<!--(.*?)-->"
 HIDDEN_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -40,55 +47,62 @@ LINK_PATTERN = r'(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>'
 HREF_PATTERN = r'(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
 
 
-class _TableReader(HTMLParser):
-    """Collects every table of one page as ``(id, header rows, body rows)`` of cell texts."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.comments: list[str] = []
-        self._open: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        names = dict(attrs)
-        if tag == "table":
-            table = {"id": names.get("id"), "rows": [], "head": 0, "cell": None, "part": None}
-            self.tables.append(table)
-            self._open.append(table)
-            return
-        if not self._open:
-            return
-        table = self._open[-1]
-        if tag in ("thead", "tbody", "tfoot"):
-            table["part"] = tag
-        elif tag == "tr":
-            table["rows"].append({"cells": [], "part": table["part"]})
-            table["cell"] = None
-        elif tag in ("td", "th"):
-            if not table["rows"]:
-                table["rows"].append({"cells": [], "part": table["part"]})
-            table["cell"] = {
-                "tag": tag,
-                "span": _span(names.get("colspan")),
-                "down": _span(names.get("rowspan")),
-                "text": [],
-            }
-            table["rows"][-1]["cells"].append(table["cell"])
-
-    def handle_endtag(self, tag):
-        if not self._open:
-            return
+_TOKENS = re.compile(
+    r"""(?is)<!--(?P<comment>.*?)(?:-->|\Z)
+    |<(?P<raw>script|style)\b.*?</(?P=raw)\s*>
+    |<(?P<close>/?)(?P<tag>table|thead|tbody|tfoot|tr|td|th)\b(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    re.VERBOSE,
+)
+_ATTRIBUTE = re.compile(r"""(?i)\b(id|colspan|rowspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"<[^>]*>")
+
+
+def _tables(html: str) -> tuple[list[dict], list[str]]:
+    """Tables of a text as ``{id, rows}``, and its comments; nested tables follow their outer one."""
+    tables, comments, open_tables, last = [], [], [], 0
+    for token in _TOKENS.finditer(html):
+        if open_tables and open_tables[-1]["cell"] is not None:
+            open_tables[-1]["cell"]["text"].append(html[last : token.start()])
+        last = token.end()
+        tag = (token["tag"] or "").lower()
+        if token["comment"] is not None:
+            comments.append(token["comment"])
+        elif tag == "table" and not token["close"]:
+            table = {"id": _attributes(token["attrs"]).get("id"), "rows": [], "part": None, "cell": None}
+            tables.append(table)
+            open_tables.append(table)
+        elif tag and open_tables:
+            _apply(open_tables, tag, bool(token["close"]), token["attrs"])
+    return tables, comments
+
+
+def _apply(open_tables: list[dict], tag: str, closing: bool, attrs: str) -> None:
+    table = open_tables[-1]
+    if closing:
         if tag == "table":
-            self._open.pop()
+            open_tables.pop()
         elif tag in ("td", "th", "tr"):
-            self._open[-1]["cell"] = None
+            table["cell"] = None
+    elif tag in ("td", "th"):
+        if not table["rows"]:
+            table["rows"].append({"cells": [], "part": table["part"]})
+        names = _attributes(attrs)
+        table["cell"] = {
+            "tag": tag,
+            "span": _span(names.get("colspan")),
+            "down": _span(names.get("rowspan")),
+            "text": [],
+        }
+        table["rows"][-1]["cells"].append(table["cell"])
+    elif tag == "tr":
+        table["rows"].append({"cells": [], "part": table["part"]})
+        table["cell"] = None
+    else:
+        table["part"] = tag
 
-    def handle_data(self, data):
-        if self._open and self._open[-1]["cell"] is not None:
-            self._open[-1]["cell"]["text"].append(data)
 
-    def handle_comment(self, data):
-        self.comments.append(data)
+def _attributes(text: str) -> dict[str, str]:
+    return {name.lower(): one or two or three for name, one, two, three in _ATTRIBUTE.findall(text or "")}
 
 
 def _span(value: str | None) -> int:
@@ -111,7 +125,7 @@ def _grid(rows: Sequence[dict]) -> list[list[str]]:
         below: dict[int, tuple[int, str]] = {}
         for cell in row["cells"]:
             take_hanging()
-            text = " ".join("".join(cell["text"]).split())
+            text = " ".join(unescape(_TAG.sub("", "".join(cell["text"]))).split())
             for _ in range(cell["span"]):
                 if cell["down"] > 1:
                     below[len(texts)] = (cell["down"] - 1, text)
@@ -131,50 +145,70 @@ def flatten_header(rows: Sequence[Sequence[str]]) -> list[str]:
 
 def _read_page(html: str) -> Iterator[tuple[dict, bool]]:
     """Tables of the page itself, then those inside its comments."""
-    page = _TableReader()
-    page.feed(html or "")
-    page.close()
-    for table in page.tables:
-        yield table, False
-    for comment in page.comments:
+    tables, comments = _tables(html or "")
+    yield from ((table, False) for table in tables)
+    for comment in comments:
         if "<table" in comment:
-            hidden = _TableReader()
-            hidden.feed(comment)
-            hidden.close()
-            for table in hidden.tables:
-                yield table, True
+            yield from ((table, True) for table in _tables(comment)[0])
+
+
+def _parts(table: dict) -> tuple[list[str], list[list[str]]]:
+    """Column names and body rows of one table."""
+    rows = [row for row in table["rows"] if row["cells"]]
+    head = [row for row in rows if row["part"] == "thead"]
+    if not head and rows and all(cell["tag"] == "th" for cell in rows[0]["cells"]):
+        head = rows[:1]
+    body = [row for row in rows if not any(row is one for one in head)]
+    return flatten_header(_grid(head)), _grid(body)
 
 
 def _cells(page_id: int, html: str) -> Iterator[tuple]:
     for table_no, (table, in_comment) in enumerate(_read_page(html)):
-        rows = [row for row in table["rows"] if row["cells"]]
-        head = [row for row in rows if row["part"] == "thead"]
-        if not head and rows and all(cell["tag"] == "th" for cell in rows[0]["cells"]):
-            head = rows[:1]
-        names = flatten_header(_grid(head))
-        body = [row for row in rows if not any(row is one for one in head)]
-        for row_no, texts in enumerate(_grid(body)):
+        names, body = _parts(table)
+        for row_no, texts in enumerate(body):
             for col_no, text in enumerate(texts):
                 name = names[col_no] if col_no < len(names) else str(col_no)
                 yield page_id, table_no, table["id"], in_comment, row_no, col_no, name, text or None
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = CELL_SCHEMA.fieldNames()
-    cells: list[tuple] = []
-    for batch in batches:
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            cells.extend(_cells(page_id, html))
-            if len(cells) >= CELLS_PER_FRAME:
-                yield pd.DataFrame(cells, columns=names)
-                cells = []
-    if cells:
-        yield pd.DataFrame(cells, columns=names)
+def _log_rows(page_id: int, html: str) -> Iterator[tuple]:
+    """Rows of the first table that has the needed columns, in the expected columns."""
+    for table, _ in _read_page(html):
+        names, body = _parts(table)
+        if not set(NEEDED_COLUMNS) <= set(names):
+            continue
+        places = [names.index(name) if name in names else None for name in EXPECTED_COLUMNS]
+        for row_no, texts in enumerate(body):
+            values = [texts[p] or None if p is not None and p < len(texts) else None for p in places]
+            yield (page_id, row_no, *values)
+        return
+
+
+def _reader(parse, names: Sequence[str]):
+    """A batch function that parses pages and hands on frames of a bounded number of rows."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for page_id, html in zip(batch["page_id"], batch["html"]):
+                rows.extend(parse(page_id, html))
+                if len(rows) >= ROWS_PER_FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return read
+
+
+def _with_tables(pages: DataFrame) -> DataFrame:
+    """Pages worth handing to Python."""
+    return pages.select("page_id", "html").filter(F.lower("html").contains("<table"))
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """Every body cell of every table, commented-out tables included, with its column's name."""
-    return pages.select("page_id", "html").mapInPandas(_read_batches, CELL_SCHEMA)
+    return _with_tables(pages).mapInPandas(_reader(_cells, CELL_SCHEMA.fieldNames()), CELL_SCHEMA)
 
 
 def html_comments(pages: DataFrame) -> DataFrame:
@@ -224,19 +258,25 @@ def log_tables(cells: DataFrame) -> DataFrame:
     return tables.filter("complete").groupBy("page_id").agg(F.min("table_no").alias("table_no"))
 
 
-def match_logs(cells: DataFrame, pages: DataFrame) -> DataFrame:
+def match_logs(pages: DataFrame) -> DataFrame:
     """One row per row of each page's match log, in the fixed columns.
 
-    ``pages`` gives the season and team of every page. A column a page lacks is NULL. Where a
-    header repeats, its first column counts.
+    A page is read as a whole, so its log table is chosen and shaped where it is parsed and
+    nothing is shuffled. A column a page lacks is NULL; where a header repeats, the first counts.
     """
-    chosen = cells.join(log_tables(cells), ["page_id", "table_no"], "left_semi")
-    columns = [
-        F.min_by(F.when(F.col("header") == name, F.col("text")), F.when(F.col("header") == name, F.col("col"))).alias(name)
-        for name in EXPECTED_COLUMNS
-    ]
-    rows = chosen.groupBy("page_id", "row").agg(*columns)
-    return rows.join(pages.select("page_id", "Season", "Team"), "page_id").select("page_id", "row", *LOG_COLUMNS)
+    return pages.filter(F.lower("html").contains("<table")).select(
+        "page_id", "Season", "Team", "html"
+    ).mapInPandas(_read_logs, LOG_SCHEMA)
+
+
+def _read_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [
+            (page_id, row_no, season, team, *values)
+            for page_id, season, team, html in batch[["page_id", "Season", "Team", "html"]].itertuples(index=False)
+            for _, row_no, *values in _log_rows(page_id, html)
+        ]
+        yield pd.DataFrame(rows, columns=LOG_SCHEMA.fieldNames())
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
@@ -245,8 +285,13 @@ def empty_log(spark: SparkSession) -> DataFrame:
 
 
 def clean_match_log(logs: DataFrame, competition: str | None = None, only_played: bool = True) -> DataFrame:
-    """One competition's played matches with real dates, by season and date."""
+    """One competition's played matches with real dates, by season and date.
+
+    Whether any row matches the competition has to be known before rows are dropped; the parsed
+    log is written once so that the pages are not read twice for it.
+    """
     if competition:
+        logs = checkpointed(logs)
         logs = filter_competition(logs, competition, "Comp")
     if only_played:
         logs = played_only(logs)
