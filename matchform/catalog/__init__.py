@@ -5,13 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "scalar_queries",
+    "history_queries",
+    "join_queries",
     "aggregate_queries",
     "scoring_queries",
     "fold_queries",
     "page_queries",
-    "join_queries",
-    "scalar_queries",
-    "history_queries",
+    "model_queries",
 )
 
 
