@@ -95,7 +95,7 @@ def rest_days(t):
 )
 def rolling_form_5(t):
     means = {f"{m}_last_5": (m, 5) for m in history.LONG_MEASURES + history.SHORT_MEASURES}
-    return _rolled(t.matches_with_measures(), history.FORM_KEYS, means)
+    return _rolled(t, t.matches_with_measures(), history.FORM_KEYS, means)
 
 
 @query(
@@ -104,7 +104,7 @@ def rolling_form_5(t):
 )
 def rolling_form_10(t):
     means = {f"{m}_last_10": (m, 10) for m in history.LONG_MEASURES}
-    return _rolled(t.matches(), history.FORM_KEYS, means, reshape.result_sides)
+    return _rolled(t, t.matches(), history.FORM_KEYS, means, reshape.result_sides)
 
 
 @query(
@@ -112,7 +112,7 @@ def rolling_form_10(t):
     f"""WITH {FULL_HISTORY} SELECT {_KEYS}, {Q.means(Q.FORM, [(m, 10) for m in Q.LONG + Q.SHORT], digits=6)} FROM history""",
 )
 def rolling_form_10_all(t):
-    return _rolled(t.matches_with_measures(), history.FORM_KEYS, history.TEAM_MEANS_10_ALL)
+    return _rolled(t, t.matches_with_measures(), history.FORM_KEYS, history.TEAM_MEANS_10_ALL)
 
 
 @query(
@@ -120,11 +120,12 @@ def rolling_form_10_all(t):
     f"""WITH {HISTORY} SELECT {_KEYS}, {Q.means(Q.FORM + ", venue", Q.VENUE_WANTED, "_venue", 6)} FROM history""",
 )
 def venue_form(t):
-    return _rolled(t.matches(), history.VENUE_KEYS, history.VENUE_MEANS, reshape.result_sides)
+    return _rolled(t, t.matches(), history.VENUE_KEYS, history.VENUE_MEANS, reshape.result_sides)
 
 
-def _rolled(matches, keys, means, sides=reshape.match_sides):
-    rows = history.rolling_mean(sides(matches), keys, history.EVENT_ORDER, means)
+def _rolled(t, matches, keys, means, sides=reshape.match_sides):
+    hot = features.measure(t.raw()).team
+    rows = history.rolling_mean(sides(matches), keys, history.EVENT_ORDER, means, hot=hot)
     return rounded(rows.select(*HISTORY_KEYS, *means))
 
 
@@ -193,7 +194,8 @@ FROM matches m {SIDE_JOINS}"""
 
 @query("q_prematch_table", PREMATCH_SQL)
 def prematch_table(t):
-    table = features.prematch_table(t.matches_with_measures())
+    hot = features.measure(t.raw()).team
+    table = features.prematch_table(t.matches_with_measures(), hot=hot)
     sides = [f"{v}_{c.replace('_venue_', f'_{v}_')}" for v in reshape.VENUES for c in features.FORM_COLUMNS]
     return rounded(
         table.select(

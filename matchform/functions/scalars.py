@@ -18,13 +18,9 @@ def parse_kickoff(date: Column, time: Column) -> Column:
     Built from its parts, so the session time zone never touches the value.
     """
     text = F.concat(date, F.lit(" "), F.coalesce(time, F.lit("00:00")))
-
-    def part(index: int) -> Column:
-        return F.regexp_extract(text, KICKOFF_PATTERN, index).try_cast("int")
-
-    return F.call_function(
-        "try_make_timestamp_ntz", part(3), part(2), part(1), part(4), part(5), F.lit(0)
-    )
+    numbers = F.split(F.regexp_replace(text, KICKOFF_PATTERN, "$3,$2,$1,$4,$5"), ",")
+    year, month, day, hour, minute = [F.get(numbers, F.lit(i)).try_cast("int") for i in range(5)]
+    return F.call_function("try_make_timestamp_ntz", year, month, day, hour, minute, F.lit(0))
 
 
 def lenient_date(text: Column) -> Column:
@@ -136,9 +132,9 @@ def row_log_loss(
     home: Column, draw: Column, away: Column, result: Column, eps: float = 1e-15
 ) -> Column:
     """Minus log of the probability given to what happened, clipped to ``[eps, 1]``."""
-    home, draw, away = normalised(home, draw, away)
     chosen = F.when(result == "H", home).when(result == "D", draw).when(result == "A", away)
-    return -F.ln(F.greatest(F.least(chosen, F.lit(1.0)), F.lit(eps)))
+    share = chosen / overround(home, draw, away)
+    return -F.ln(F.greatest(F.least(share, F.lit(1.0)), F.lit(eps)))
 
 
 def row_brier(home: Column, draw: Column, away: Column, result: Column) -> Column:

@@ -108,7 +108,7 @@ def settled_bets(
     return settle(bets, stake)
 
 
-def cumulative_pnl(settled: DataFrame, **limits: int) -> DataFrame:
+def cumulative_pnl(settled: DataFrame, **limits) -> DataFrame:
     """Running profit per strategy."""
     return running_sums(
         settled, ("strategy",), PNL_ORDER, {"cumulative_profit": F.col("profit")}, **limits

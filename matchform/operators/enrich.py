@@ -26,14 +26,14 @@ def with_market_probs(df: DataFrame) -> DataFrame:
     )
 
 
-def number_matches(df: DataFrame, ties: Sequence[str] = (), **limits: int) -> DataFrame:
+def number_matches(df: DataFrame, ties: Sequence[str] = (), **limits) -> DataFrame:
     """Zero-based ``match_id`` per league and season, by kickoff and names, then ``ties``."""
     order = ("kickoff", "HomeTeam", "AwayTeam", *ties)
     return number_rows(df, LEAGUE_SEASON, order, "match_id", start=0, **limits)
 
 
 def enrich_matches(
-    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), **limits: int
+    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), **limits
 ) -> DataFrame:
     """Raw match rows with kickoff, ``match_id``, codes, ``match_concat`` and probabilities."""
     parsed = raw.withColumn("kickoff", S.parse_kickoff(F.col("Date"), F.col("Time")))

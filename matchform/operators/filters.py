@@ -17,9 +17,17 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows where every one of ``columns`` is known; NaN counts as missing."""
+    """Rows where every one of ``columns`` is known; NaN counts as missing.
+
+    Plain conjuncts, so that a Parquet scan below receives the NULL checks.
+    """
     require_columns(df, columns)
-    return df.dropna(subset=list(dict.fromkeys(columns)))
+    types = dict(df.dtypes)
+    for column in dict.fromkeys(columns):
+        df = df.filter(F.col(column).isNotNull())
+        if types[column] in ("double", "float"):
+            df = df.filter(~F.isnan(F.col(column)))
+    return df
 
 
 def scope(df: DataFrame, leagues: Sequence[str], first: str, last: str) -> DataFrame:

@@ -70,7 +70,7 @@ def rolling_mean(
     means: Means,
     include_current: bool = False,
     min_count: int = 1,
-    **limits: int,
+    **limits,
 ) -> DataFrame:
     """Add rolling means; all of them share one shuffle and one sort."""
     longest = max(size for _, size in means.values())
@@ -82,7 +82,7 @@ def rolling_mean(
 
 
 def previous_event(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, **limits: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, **limits
 ) -> DataFrame:
     """The previous row's ``column`` within ``keys``."""
     return with_lookback(
@@ -91,7 +91,7 @@ def previous_event(
 
 
 def rest_days(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], moment: str = "kickoff", **limits: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], moment: str = "kickoff", **limits
 ) -> DataFrame:
     """Days since the same entity's previous event."""
     return previous_event(df, keys, order, moment, "__previous", **limits).withColumn(
@@ -105,6 +105,7 @@ def form_features(
     venue_means: Means = VENUE_MEANS,
     group_limit: int = GROUP_LIMIT,
     block_rows: int = BLOCK_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Rest days, overall form and venue form of a per-season team history.
 
@@ -120,7 +121,9 @@ def form_features(
     def venue_columns(window: WindowSpec) -> dict[str, Column]:
         return mean_columns(window, venue_means)
 
-    if has_hot_group(history, FORM_KEYS, group_limit):
+    if hot is None:
+        hot = has_hot_group(history, FORM_KEYS, group_limit)
+    if hot:
         def add(df, keys, build):
             return in_blocks(df, keys, EVENT_ORDER, longest, build, block_rows)
     else:
@@ -137,7 +140,7 @@ def with_plain_window(df: DataFrame, keys: Sequence[str], build) -> DataFrame:
     return df.withColumns(build(Window.partitionBy(*keys).orderBy(*ascending(*EVENT_ORDER))))
 
 
-def xg_features(history: DataFrame, **limits: int) -> DataFrame:
+def xg_features(history: DataFrame, **limits) -> DataFrame:
     """Expected goals over the last five matches, across seasons.
 
     A match joined to several xG rows appears several times; the measures break that tie.

@@ -76,13 +76,17 @@ def with_lookback(
     build: Callable[[WindowSpec], dict[str, Column]],
     group_limit: int = GROUP_LIMIT,
     block_rows: int = BLOCK_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Window columns that look at most ``lookback`` rows back within ``keys``.
 
     ``build`` receives the partitioned and ordered window and may only use frames (or ``lag``)
-    that end at the current row and start no more than ``lookback`` rows before it.
+    that end at the current row and start no more than ``lookback`` rows before it. ``hot`` tells
+    whether a group exceeds the limit, where the caller has measured that on something cheaper.
     """
-    if not has_hot_group(df, keys, group_limit):
+    if hot is None:
+        hot = has_hot_group(df, keys, group_limit)
+    if not hot:
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*ascending(*order))))
     return in_blocks(df, keys, order, lookback, build, block_rows)
 
@@ -159,9 +163,12 @@ def running_sums(
     sums: dict[str, Column],
     group_limit: int = GROUP_LIMIT,
     block_rows: int = BLOCK_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per group; without ``keys`` the whole table is one group."""
-    if keys and not has_hot_group(df, keys, group_limit):
+    if hot is None:
+        hot = not keys or has_hot_group(df, keys, group_limit)
+    if not hot:
         window = (
             Window.partitionBy(*keys)
             .orderBy(*ascending(*order))
@@ -189,7 +196,7 @@ def number_rows(
     order: Sequence[str],
     column: str,
     start: int = 1,
-    **limits: int,
+    **limits,
 ) -> DataFrame:
     """Consecutive numbers per group, from ``start``."""
     numbered = running_sums(df, keys, order, {column: F.lit(1).cast("bigint")}, **limits)

@@ -180,7 +180,7 @@ def gap_closed(naive: Column, model: Column, market: Column) -> Column:
     return F.try_divide(naive - model, naive - market)
 
 
-def cumulative_advantage(scored: DataFrame, **limits: int) -> DataFrame:
+def cumulative_advantage(scored: DataFrame, **limits) -> DataFrame:
     """Running total of market loss minus model loss, by kickoff and match."""
     rows = scored.select("match_id", "kickoff", "market_log_loss", "model_log_loss")
     gain = F.col("market_log_loss") - F.col("model_log_loss")

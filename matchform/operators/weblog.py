@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from matchform.operators.filters import clean_log, filter_competition, played_only
-from matchform.session import checkpointed
+from matchform.session import checkpointed, spread
 
 # Columns of a match log, in their published order.
 EXPECTED_COLUMNS = (
@@ -203,12 +203,12 @@ def _reader(parse, names: Sequence[str]):
 
 def _with_tables(pages: DataFrame) -> DataFrame:
     """Pages worth handing to Python."""
-    return pages.select("page_id", "html").filter(F.lower("html").contains("<table"))
+    return spread(pages.filter(F.lower("html").contains("<table")))
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """Every body cell of every table, commented-out tables included, with its column's name."""
-    return _with_tables(pages).mapInPandas(_reader(_cells, CELL_SCHEMA.fieldNames()), CELL_SCHEMA)
+    return _with_tables(pages.select("page_id", "html")).mapInPandas(_reader(_cells, CELL_SCHEMA.fieldNames()), CELL_SCHEMA)
 
 
 def html_comments(pages: DataFrame) -> DataFrame:
@@ -264,9 +264,8 @@ def match_logs(pages: DataFrame) -> DataFrame:
     A page is read as a whole, so its log table is chosen and shaped where it is parsed and
     nothing is shuffled. A column a page lacks is NULL; where a header repeats, the first counts.
     """
-    return pages.filter(F.lower("html").contains("<table")).select(
-        "page_id", "Season", "Team", "html"
-    ).mapInPandas(_read_logs, LOG_SCHEMA)
+    columns = pages.select("page_id", "Season", "Team", "html")
+    return _with_tables(columns).mapInPandas(_read_logs, LOG_SCHEMA)
 
 
 def _read_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

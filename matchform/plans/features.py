@@ -3,38 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from matchform.operators import assemble, history
 from matchform.operators.crosswalk import merge_crosswalk, seed_crosswalk
 from matchform.operators.enrich import enrich_matches
-from matchform.operators.ordering import global_order
+from matchform.operators.ordering import BLOCK_ROWS, GROUP_LIMIT, global_order
 from matchform.operators.reshape import match_sides, result_sides, xg_sides
 
 FORM_COLUMNS = ("rest_days", *history.TEAM_MEANS, *history.VENUE_MEANS)
 GLOBAL_ORDER = ("kickoff", "league", "match_id", "season")
 
 
-def prematch_table(matches: DataFrame, **limits: int) -> DataFrame:
+@dataclass(frozen=True)
+class Sizes:
+    """Whether some league-season, or some team within one, has too many rows for one task."""
+
+    league_season: bool
+    team: bool
+
+
+def measure(matches: DataFrame, group_limit: int = GROUP_LIMIT) -> Sizes:
+    """Measure the groups once, on the raw rows and their four key columns.
+
+    Two numbers come back. Measuring later would repeat the numbering and the joins in between.
+    """
+    teams = (
+        matches.select("season", "league", F.explode(F.array("HomeTeam", "AwayTeam")).alias("team"))
+        .groupBy("season", "league", "team")
+        .count()
+    )
+    leagues = teams.groupBy("season", "league").agg(
+        (F.sum("count") / 2).alias("matches"), F.max("count").alias("team_rows")
+    )
+    largest = leagues.agg(F.max("matches").alias("matches"), F.max("team_rows").alias("team_rows")).first()
+    return Sizes((largest["matches"] or 0) > group_limit, (largest["team_rows"] or 0) > group_limit)
+
+
+def prematch_table(matches: DataFrame, **limits) -> DataFrame:
     """Matches with the form of both sides before kickoff."""
     form = history.form_features(match_sides(matches), **limits)
     return assemble.rejoin_sides(matches, form, FORM_COLUMNS).transform(assemble.with_differences)
 
 
 def match_features(
-    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), **limits: int
+    raw: DataFrame,
+    crosswalk: DataFrame,
+    ties: Sequence[str] = (),
+    group_limit: int = GROUP_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All league-seasons' pre-match tables, renumbered chronologically.
 
     ``ties`` orders matches of the same teams at the same (or no) time. The renumbering writes
     the table once to the checkpoint folder; the xG steps read it from there.
     """
-    matches = enrich_matches(raw, crosswalk, ties, **limits)
-    return global_order(prematch_table(matches, **limits), GLOBAL_ORDER)
+    sizes = measure(raw, group_limit)
+    matches = enrich_matches(raw, crosswalk, ties, hot=sizes.league_season, block_rows=block_rows)
+    table = prematch_table(matches, hot=sizes.team, block_rows=block_rows)
+    return global_order(table, GLOBAL_ORDER)
 
 
-def rolling_xg_table(features: DataFrame, features_xg: DataFrame, **limits: int) -> DataFrame:
+def rolling_xg_table(features: DataFrame, features_xg: DataFrame, **limits) -> DataFrame:
     """Feature rows with the rolling xG of both sides."""
     return assemble.attach_rolling_xg(features, history.xg_features(xg_sides(features_xg), **limits))
 
@@ -45,7 +77,7 @@ def build_features(
     curated: DataFrame,
     by_league: bool = False,
     ties: Sequence[str] = (),
-    **limits: int,
+    **limits,
 ) -> DataFrame:
     """The model-ready table."""
     crosswalk = merge_crosswalk(seed_crosswalk(xg), curated)
@@ -55,7 +87,7 @@ def build_features(
     return assemble.select_model_columns(rolling_xg_table(features, features_xg, **limits))
 
 
-def prematch_from_results(matches: DataFrame, **limits: int) -> DataFrame:
+def prematch_from_results(matches: DataFrame, **limits) -> DataFrame:
     """Short pre-match table from results alone: points and goals over the last five."""
     means = {name: mean for name, mean in history.TEAM_MEANS.items()
              if mean[0] in history.LONG_MEASURES and mean[1] == 5}

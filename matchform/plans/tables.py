@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchform.functions import scalars as S
 from matchform.operators.enrich import with_market_probs
+from matchform.session import tune
 
 
 class Tables:
     """Lazy access to the Parquet tables of one folder, and the frames derived from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = tune(spark)
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -82,13 +83,14 @@ class Tables:
     def predictions(self) -> DataFrame:
         """Matches with a second set of probabilities standing in for a model's."""
         key = F.col("match_id")
-        home, draw, away = S.fair_probs(
-            S.implied_prob(F.col("AvgH") + (key % 7) / F.lit(10.0)),
-            S.implied_prob(F.col("AvgD") + (key % 5) / F.lit(10.0)),
-            S.implied_prob(F.col("AvgA") + (key % 9) / F.lit(10.0)),
-        )
+        implied = {
+            "__h": S.implied_prob(F.col("AvgH") + (key % 7) / F.lit(10.0)),
+            "__d": S.implied_prob(F.col("AvgD") + (key % 5) / F.lit(10.0)),
+            "__a": S.implied_prob(F.col("AvgA") + (key % 9) / F.lit(10.0)),
+        }
+        home, draw, away = S.fair_probs(*map(F.col, implied))
         known = key % 401 != 0
-        return self.matches().select(
+        return self.matches().withColumns(implied).select(
             "match_id",
             F.when(known, home).alias("model_prob_H"),
             F.when(known, draw).alias("model_prob_D"),

@@ -7,6 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM never compiles methods above 8000 bytes; let Spark generate smaller ones instead.
+RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the settings that may still be changed at run time."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "matchform", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators are tuned for; ``conf`` overrides any of them."""
     settings = {
@@ -15,6 +26,7 @@ def build_session(app: str = "matchform", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        **RUNTIME_SETTINGS,
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)
@@ -43,3 +55,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that partition numbers survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores one partition per core, for costly row work.
+
+    A large scan has many more partitions than cores and is left alone, so nothing is shuffled.
+    Plans that already shuffle are left alone too.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
