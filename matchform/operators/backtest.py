@@ -109,9 +109,12 @@ def settled_bets(
 
 
 def cumulative_pnl(settled: DataFrame, **limits) -> DataFrame:
-    """Running profit per strategy."""
+    """Running profit per strategy.
+
+    A handful of strategies share all bets, so their groups are cut into blocks unmeasured.
+    """
     return running_sums(
-        settled, ("strategy",), PNL_ORDER, {"cumulative_profit": F.col("profit")}, **limits
+        settled, ("strategy",), PNL_ORDER, {"cumulative_profit": F.col("profit")}, hot=True, **limits
     )
 
 

@@ -12,6 +12,7 @@ from matchform.operators.crosswalk import merge_crosswalk, seed_crosswalk
 from matchform.operators.enrich import enrich_matches
 from matchform.operators.ordering import BLOCK_ROWS, GROUP_LIMIT, global_order
 from matchform.operators.reshape import match_sides, result_sides, xg_sides
+from matchform.session import checkpointed
 
 FORM_COLUMNS = ("rest_days", *history.TEAM_MEANS, *history.VENUE_MEANS)
 GLOBAL_ORDER = ("kickoff", "league", "match_id", "season")
@@ -83,7 +84,8 @@ def build_features(
     crosswalk = merge_crosswalk(seed_crosswalk(xg), curated)
     features = match_features(raw, crosswalk, ties, **limits)
     slim = features.select("match_id", "kickoff", "league", "HomeTeam", "AwayTeam", "match_concat")
-    features_xg = assemble.join_xg(slim, xg, by_league)
+    # Read three times below (sizes and both sides), so written once: eight narrow columns.
+    features_xg = checkpointed(assemble.join_xg(slim, xg, by_league))
     return assemble.select_model_columns(rolling_xg_table(features, features_xg, **limits))
 
 

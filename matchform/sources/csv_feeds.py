@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from matchform.functions.fixed_values import XG_PREFIXES
 from matchform.operators.reshape import union_by_name
@@ -137,3 +137,16 @@ def read_xg(spark: SparkSession, root: str, leagues: Sequence[str], start: int,
         raise ValueError("No xG rows were loaded")
     df = _read_by_header(spark, files)
     return df.select(*_typed(df, XG_COLUMNS, (), ("home_xg", "away_xg")), "league")
+
+
+def write_xg(df: DataFrame, path: str) -> int:
+    """Replace the combined xG table at ``path`` and return its row count."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").csv(path, header=True)
+    return seen.get["rows"]
+
+
+def load_xg(spark: SparkSession, path: str) -> DataFrame:
+    """The combined xG table."""
+    df = spark.read.csv(path, header=True)
+    return df.select(*_typed(df, XG_COLUMNS, (), ("home_xg", "away_xg")), "league")

@@ -13,7 +13,7 @@ def spark():
     session = build_session(
         "matchform-tests",
         "local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
     )

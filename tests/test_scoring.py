@@ -136,3 +136,11 @@ def test_summary_of_no_bets(spark):
     rows = backtest.bet_summary(settled).collect()
     assert len(rows) == 3
     assert all((r["bets"], r["total_profit"], r["win_rate"], r["roi"]) == (0, 0.0, None, None) for r in rows)
+
+
+def test_gap_closed(spark):
+    row = spark.range(1).select(
+        scoring.gap_closed(F.lit(1.0727), F.lit(1.0134), F.lit(0.9720)).alias("closed"),
+        scoring.gap_closed(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("none"),
+    ).first()
+    assert row["closed"] == pytest.approx(0.589, abs=5e-4) and row["none"] is None

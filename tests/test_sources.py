@@ -55,6 +55,13 @@ def test_xg_feed(spark, feeds):
     assert rows["E0"]["home_xg"] == 1.5 and rows["D1"]["away_xg"] is None and rows["D1"]["home_team"] == "C"
 
 
+def test_combined_xg_round_trip(spark, feeds):
+    df = csv_feeds.read_xg(spark, f"{feeds}/x", ["E0", "D1"], 25, 26)
+    assert csv_feeds.write_xg(df, f"{feeds}/combined") == 2
+    back = csv_feeds.load_xg(spark, f"{feeds}/combined")
+    assert back.schema == df.schema and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_season_codes():
     assert csv_feeds.season_codes(19, 22) == ["1920", "2021", "2122"]
     assert csv_feeds.season_codes(99, 100) == ["9900"]
