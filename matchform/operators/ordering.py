@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from matchform.session import checkpointed
+from matchform.session import broadcast_if_small, checkpointed
 
 GROUP_LIMIT = 2_000_000
 BLOCK_ROWS = 1_000_000
@@ -196,11 +196,34 @@ def number_rows(
     order: Sequence[str],
     column: str,
     start: int = 1,
-    **limits,
+    group_limit: int = GROUP_LIMIT,
+    block_rows: int = BLOCK_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
-    """Consecutive numbers per group, from ``start``."""
-    numbered = running_sums(df, keys, order, {column: F.lit(1).cast("bigint")}, **limits)
-    return numbered.withColumn(column, F.col(column) + F.lit(start - 1)) if start != 1 else numbered
+    """Consecutive numbers per group, from ``start``.
+
+    In the sorted order a group's rows lie together, so beyond the limit a number is the row's
+    position minus its group's first one. Those come from one row per block and group; they are
+    joined by block, never by the group alone.
+    """
+    if hot is None:
+        hot = has_hot_group(df, keys, group_limit)
+    if not hot:
+        window = Window.partitionBy(*keys).orderBy(*ascending(*order))
+        number = F.row_number().over(window).cast("bigint")
+        return df.withColumn(column, number + F.lit(start - 1) if start != 1 else number)
+    blocks = cut_blocks(df, keys, order, block_rows)
+    first = F.min("__first").over(Window.partitionBy(_GROUP))
+    firsts = (
+        blocks.rows.groupBy(_BLOCK, _GROUP)
+        .agg(F.min(_POSITION).alias("__first"))
+        .select(_BLOCK, _GROUP, first.alias("__first"))
+    )
+    return (
+        blocks.rows.join(broadcast_if_small(firsts), [_BLOCK, _GROUP])
+        .withColumn(column, F.col(_POSITION) - F.col("__first") + F.lit(start))
+        .drop(_BLOCK, _GROUP, _POSITION, "__first")
+    )
 
 
 def global_order(df: DataFrame, order: Sequence[str], column: str = "match_id") -> DataFrame:

@@ -58,11 +58,14 @@ def match_features(
 ) -> DataFrame:
     """All league-seasons' pre-match tables, renumbered chronologically.
 
-    ``ties`` orders matches of the same teams at the same (or no) time. The renumbering writes
-    the table once to the checkpoint folder; the xG steps read it from there.
+    ``ties`` orders matches of the same teams at the same (or no) time. Two tables are written
+    once to the checkpoint folder: the numbered matches, which both the team histories and the
+    final join read, and the renumbered result, which the xG steps read.
     """
     sizes = measure(raw, group_limit)
-    matches = enrich_matches(raw, crosswalk, ties, hot=sizes.league_season, block_rows=block_rows)
+    matches = checkpointed(
+        enrich_matches(raw, crosswalk, ties, hot=sizes.league_season, block_rows=block_rows)
+    )
     table = prematch_table(matches, hot=sizes.team, block_rows=block_rows)
     return global_order(table, GLOBAL_ORDER)
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# A lookup of this many short rows stays around ten megabytes.
+BROADCAST_ROWS = 100_000
+
 # The JVM never compiles methods above 8000 bytes; let Spark generate smaller ones instead.
 RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
@@ -26,6 +29,8 @@ def build_session(app: str = "matchform", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Checkpoint files go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **RUNTIME_SETTINGS,
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
@@ -57,6 +62,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``rows`` rows; larger ones join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores one partition per core, for costly row work.
 
