@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from matchform.catalog import sql_common as Q
 from matchform.catalog.history_queries import FULL_HISTORY, HISTORY, HISTORY_KEYS
 from matchform.catalog.join_queries import best_odds

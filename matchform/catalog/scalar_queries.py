@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from matchform.catalog import sql_common as Q
 from matchform.catalog.registry import query, rounded
 from matchform.functions import scalars as S
-from matchform.operators import filters, ordering, summaries
+from matchform.operators import filters, summaries
 from matchform.operators.enrich import with_market_probs
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A lookup of this many short rows stays around ten megabytes.
 BROADCAST_ROWS = 100_000
 
-# The JVM never compiles methods above 8000 bytes; let Spark generate smaller ones instead.
-RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+RUNTIME_SETTINGS = {
+    # The JVM never compiles methods above 8000 bytes; let Spark generate smaller ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Pages differ in length by orders of magnitude; bound a Python batch by size, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from matchform.sources import csv_feeds, feature_store
 

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from matchform.operators import weblog
 
 HEAD = "".join(f"<th>{name}</th>" for name in weblog.EXPECTED_COLUMNS)
