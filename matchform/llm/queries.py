@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchform.llm import simhash
+from matchform.llm import bytenet, decontaminate, packing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1(spark, folder):
+    return substrings.removed_words(table(spark, folder, "documents"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_byte_quality")
+def op4(spark, folder):
+    documents = table(spark, folder, "documents")
+    return bytenet.scores(documents, bytenet.fit_on(documents, table(spark, folder, "labels")))
+
+
+@query("op6_vector_packing")
+def op6(spark, folder):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(table(spark, folder, "documents"), tokenizer))
+
+
+@query("op7_bm25_decontamination")
+def op7(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
