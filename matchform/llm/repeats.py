@@ -115,35 +115,35 @@ class Groups:
         self.kind, self.classify, self.group, self.most = kind, classify, group, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        long_anchor = last = None
-        for batch in blocks(batches):
+        held = last = long_anchor = None
+        for batch in blocks(batches, limit=self.most):
             batch, last = self._distinct(batch, last)
-            anchors = column_of(batch, "anchor").to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(anchors)) + 1, [len(anchors)])) if len(anchors) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                some, anchor = batch.slice(a, b - a), anchors[a]
-                if anchor == long_anchor:
-                    yield self._lengthened([some])
-                    continue
-                before = [x for x in held if column_of(x, "anchor")[0].as_py() != anchor]
-                if before and self._size(held) >= self.group:
-                    yield self._searched(before)
-                    held = held[len(before) :]
-                held.append(some)
-                own = [x for x in held if column_of(x, "anchor")[0].as_py() == anchor]
-                if self._size(own) > self.most:
-                    if len(own) < len(held):
-                        yield self._searched(held[: len(held) - len(own)])
-                    yield self._lengthened(own)
-                    held, long_anchor = [], anchor
-        if held:
+            if long_anchor is not None:
+                rest = int((column_of(batch, "anchor").to_numpy() == long_anchor).sum())
+                if rest:
+                    yield self._lengthened(batch.slice(0, rest))
+                batch = batch.slice(rest)
+            if not batch.num_rows:
+                continue
+            long_anchor = None
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            _, ends = text_bytes(column_of(rows, "text"))
+            anchors = column_of(rows, "anchor").to_numpy()
+            # Where anchors begin; the last one may go on in the next batch.
+            begin = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+            at = 0
+            while (k := int(np.searchsorted(ends[begin], ends[at] + self.group))) < len(begin):
+                yield self._searched(rows.slice(at, begin[k] - at))
+                at = int(begin[k])
+            own, held = int(begin[-1]), rows.slice(at)
+            if ends[-1] - ends[own] > self.most:
+                if own > at:
+                    yield self._searched(rows.slice(at, own - at))
+                yield self._lengthened(rows.slice(own))
+                held, long_anchor = None, anchors[own]
+        if held is not None:
             yield self._searched(held)
 
-    @staticmethod
-    def _size(held: list[pa.RecordBatch]) -> int:
-        return sum(text_bytes(column_of(b, "text"))[1][-1] for b in held)
-
     @staticmethod
     def _distinct(batch: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
         """Without rows that repeat the class before them, which repeated documents bring."""
@@ -155,17 +155,15 @@ class Groups:
         new[0] = last != tuple(k[0] for k in keys)
         return batch.filter(pa.array(new)), tuple(k[-1] for k in keys)
 
-    def _read(self, held: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(held).combine_chunks()
-        raw, ends = text_bytes(table["text"].chunk(0))
-        symbols, bounds, _, _ = self.kind.symbols(raw, ends)
-        columns = {n: table[n].to_numpy() for n in ("anchor", "content", "windows", "copies", "least")}
+    def _read(self, held: pa.RecordBatch):
+        symbols, bounds, _, _ = self.kind.symbols(*text_bytes(column_of(held, "text")))
+        columns = {n: column_of(held, n).to_numpy() for n in ("anchor", "content", "windows", "copies", "least")}
         windows = columns["windows"]
         owner = np.repeat(np.arange(len(windows)), windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         return symbols, bounds, columns, owner, offset
 
-    def _searched(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def _searched(self, held: pa.RecordBatch) -> pa.RecordBatch:
         symbols, bounds, columns, owner, offset = self._read(held)
         found = self.classify(symbols, bounds, columns["windows"])
         total = np.bincount(found, columns["copies"][owner])[found]
@@ -182,7 +180,7 @@ class Groups:
             length = np.minimum(length, step)
         return self._batch({n: columns[n][owner[first]] for n in ("anchor", "content", "windows")} | {"first": offset[first], "length": length, "least": least[first]})
 
-    def _lengthened(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def _lengthened(self, held: pa.RecordBatch) -> pa.RecordBatch:
         symbols, bounds, columns, owner, offset = self._read(held)
         at = bounds[owner] + offset
         rows = {n: columns[n][owner] for n in ("anchor", "content", "windows", "least", "copies")}
