@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchform.llm import bytenet, decontaminate, packing, simhash, substrings
+from matchform.llm import bytenet, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,19 @@ def op6(spark, folder):
 @query("op7_bm25_decontamination")
 def op7(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_line_rules")
+def op8(spark, folder):
+    documents = table(spark, folder, "documents")
+    return linecrf.judged(documents, linecrf.fit_on(documents, table(spark, folder, "labels")))
+
+
+@query("op9_licence_scan")
+def op9(spark, folder):
+    return licences.scan(table(spark, folder, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark, folder):
+    return suffixes.removed_bytes(table(spark, folder, "documents"))

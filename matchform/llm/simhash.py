@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from matchform.llm.components import components
-from matchform.llm.texts import NO_ID, column_of
+from matchform.llm.texts import NO_ID, column_of, keyed, public_id
 from matchform.session import checkpointed
 
 SEED = 42
@@ -53,19 +53,16 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of every document.
-
-    A null text has no words and the fingerprint zero; repeated rows stay; other columns are ignored.
-    """
+    """``doc_id``, ``version`` and ``bits`` (the fingerprint as a signed long) of every ``keyed`` document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column_of(batch, "text").cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(found.view(np.int64))], ["doc_id", "bits"])
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
+            names = ["doc_id", "version", "bits"]
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, n) for n in names[:2]), pa.array(found.view(np.int64))], names)
 
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, bits long")
+    return keyed(documents).mapInArrow(run, "doc_id long, version long, bits long")
 
 
 def cell_masks(distance: int, blocks: int = BLOCKS) -> list[int]:
@@ -233,24 +230,49 @@ def links(bits: DataFrame, distance: int = 4, blocks: int = BLOCKS, part: int =
     return found.where("a is not null").select("a", "b").union(pairs.mapInArrow(_across(distance), "a long, b long"))
 
 
+def _components(documents: DataFrame, distance: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all documents, and the ``root`` fingerprint and smallest id of every fingerprint."""
+    prints = checkpointed(fingerprints(documents, words))
+    classes = checkpointed(prints.groupBy("bits").agg(F.min(F.struct("doc_id", "version")).alias("least")))
+    roots = components(links(classes.select("bits"), distance))
+    joined = classes.join(roots, classes["bits"] == roots["node"], "left").select(
+        "bits", "least", F.coalesce("root", "bits").alias("root")
+    )
+    return prints, joined
+
+
 def near_duplicates(documents: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every document.
 
     Equal fingerprints meet before any comparison, so copies cost nothing. ``component_id`` is the
     smallest id of the component; documents without an id are never the smallest, and a component of
-    such documents alone has a null one. Repeated rows stay, ties in the id do not matter, an empty
-    table gives an empty result, and columns other than ``doc_id`` and ``text`` are ignored.
+    such documents alone has a null one. A null text has no words and the fingerprint zero. Repeated rows
+    stay, ties in the id do not matter, an empty table gives an empty result, and columns other than
+    ``doc_id`` and ``text`` are ignored.
     """
-    prints = checkpointed(fingerprints(documents, words))
-    classes = checkpointed(prints.groupBy("bits").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")))
-    roots = components(links(classes.select("bits"), distance))
-    joined = classes.join(roots, classes["bits"] == roots["node"], "left").select(
-        "bits", "least", F.coalesce("root", "bits").alias("root")
-    )
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    prints, joined = _components(documents, distance, words)
+    least = joined.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
     named = joined.select("bits", "root").join(least, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
+    return public_id(
+        prints.join(named, "bits").select(
+            "doc_id",
+            F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+            F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
+        )
     )
+
+
+def representatives(documents: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
+    """The documents, with all their columns, that come first in their component: one row of each.
+
+    The first has the smallest id (null last), then the smallest hash of the text; of rows equal in both
+    any one stays.
+    """
+    _, joined = _components(documents, distance, words)
+    first = joined.groupBy("root").agg(F.min("least").alias("of")).select(F.col("of.doc_id").alias("own_id"), F.col("of.version").alias("own_version"))
+    own_id = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NO_ID))
+    own_version = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    joined = documents.alias("d").join(first.alias("f"), (own_id == F.col("f.own_id")) & (own_version == F.col("f.own_version")))
+    place = F.row_number().over(W.partitionBy("f.own_id", "f.own_version").orderBy("f.own_id"))
+    numbered = joined.select(F.struct("d.*").alias("row"), place.alias("place"))
+    return numbered.where("place = 1").select("row.*")
