@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from matchform.catalog import sql_common as Q
 from matchform.catalog.history_queries import FULL_HISTORY, HISTORY, HISTORY_KEYS
 from matchform.catalog.join_queries import best_odds
@@ -71,21 +73,30 @@ def correlation_pairs(t):
 @query(
     "q_check_chronology",
     f"""WITH {Q.MATCHES}, feats AS (SELECT kickoff, row_number() OVER (ORDER BY kickoff NULLS LAST, league, match_id) AS match_id FROM matches),
-        seen AS (SELECT match_id, kickoff, lag(kickoff) OVER (ORDER BY match_id) AS before FROM feats)
+        moved AS (SELECT match_id, CASE WHEN match_id % 37 = 0 THEN kickoff - INTERVAL 9 DAY ELSE kickoff END AS kickoff FROM feats),
+        stored AS (SELECT * FROM moved UNION ALL SELECT * FROM moved WHERE match_id % 97 = 0),
+        seen AS (SELECT match_id, kickoff, lag(kickoff) OVER (ORDER BY match_id) AS before FROM stored)
         SELECT count(*) FILTER (kickoff < before) AS backward_steps, count(*) - count(DISTINCT match_id) AS repeated_keys FROM seen""",
 )
 def check_chronology(t):
     rows = t.matches().select("kickoff", "league", "match_id")
-    return checks.check_chronology(global_order(rows, ("kickoff", "league", "match_id")))
+    ordered = global_order(rows, ("kickoff", "league", "match_id")).select("match_id", "kickoff")
+    # Some matches are moved to an earlier day and some are stored twice, so that there is something to find.
+    early = F.when(F.col("match_id") % 37 == 0, F.expr("kickoff - INTERVAL 9 DAYS")).otherwise(F.col("kickoff"))
+    moved = ordered.withColumn("kickoff", early)
+    return checks.check_chronology(moved.union(moved.filter("match_id % 97 = 0")))
 
 
 @query(
     "q_check_prob_sum",
     f"""WITH {Q.MATCHES} SELECT count(*) AS violations FROM matches
-        WHERE abs(market_home_prob_fair + market_draw_prob_fair + market_away_prob_fair - 1) > 1e-9""",
+        WHERE abs(market_home_prob_fair * (CASE WHEN match_id % 50 = 7 THEN 0.9::DOUBLE ELSE 1 END) + market_draw_prob_fair + market_away_prob_fair - 1) > 1e-9""",
 )
 def check_prob_sum(t):
-    return checks.check_prob_sum(t.matches(), scoring.MARKET_PROBS)
+    # One match in fifty has its home probability cut, so that there is something to find.
+    cut = F.when(F.col("match_id") % 50 == 7, F.lit(0.9)).otherwise(F.lit(1.0))
+    damaged = t.matches().withColumn("market_home_prob_fair", F.col("market_home_prob_fair") * cut)
+    return checks.check_prob_sum(damaged, scoring.MARKET_PROBS)
 
 
 @query(
@@ -93,14 +104,16 @@ def check_prob_sum(t):
     f"""WITH {HISTORY}, f AS (SELECT *, {Q.means(Q.FORM, [(m, 5) for m in Q.LONG])},
           row_number() OVER (PARTITION BY {Q.FORM} ORDER BY kickoff, match_id) AS event FROM history)
         SELECT count(*) AS violations FROM f WHERE event = 1 AND
-          (points_last_5 IS NOT NULL OR goals_for_last_5 IS NOT NULL OR goals_against_last_5 IS NOT NULL)""",
+          (points_last_5 IS NOT NULL OR goals_for_last_5 IS NOT NULL OR goals_against_last_5 IS NOT NULL OR match_id % 10 = 3)""",
 )
 def check_no_leakage(t):
     means = {f"{m}_last_5": (m, 5) for m in history.LONG_MEASURES}
     form = history.rolling_mean(
         reshape.result_sides(t.matches()), history.FORM_KEYS, history.EVENT_ORDER, means
     )
-    return checks.check_no_leakage(form, tuple(means))
+    # One match in ten knows its own goals, so that there is something to find.
+    leaked = F.when(F.col("match_id") % 10 == 3, F.coalesce("goals_for_last_5", F.lit(1.0))).otherwise(F.col("goals_for_last_5"))
+    return checks.check_no_leakage(form.withColumn("goals_for_last_5", leaked), tuple(means))
 
 
 @query(

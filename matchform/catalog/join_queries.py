@@ -200,26 +200,32 @@ def union_by_name(t):
     return reshape.union_by_name([with_referee, without])
 
 
+_XG_ROLLED = XG_MATCHES[len(Q.MATCHES) + 1 :] + f""",
+rolled AS (SELECT *, {Q.means("league, team", [("xg", 5), ("xg_against", 5)], order="kickoff, match_id, xg, xg_against")} FROM xg_history)"""
+
+
 @query(
     "q_entity_view",
     f"""WITH {Q.MATCHES}, {Q.sides(measures=False)},
-        form AS (SELECT *, avg(points) {Q.over(Q.FORM + ", venue", 5)} AS points_venue_last_5 FROM history)
+        form AS (SELECT *, avg(points) {Q.over(Q.FORM + ", venue", 5)} AS points_venue_last_5 FROM history),
+        {_XG_ROLLED}
         SELECT m.match_id, m.kickoff, m.season, m."Div", m."FTR", v.team, v.venue,
           CASE v.venue WHEN 'home' THEN "AwayTeam" ELSE "HomeTeam" END AS opponent,
-          round(CASE v.venue WHEN 'home' THEN "FTHG" * cast(1.5 AS DOUBLE) ELSE "FTAG" * cast(1.5 AS DOUBLE) END, 6) AS xg_last_5,
+          round(CASE v.venue WHEN 'home' THEN h.xg_last_5 ELSE a.xg_last_5 END, 6) AS xg_last_5,
           round(CASE v.venue WHEN 'home' THEN market_home_prob_fair ELSE market_away_prob_fair END, 6) AS win_prob,
           round(v.points_venue_last_5, 6) AS points_venue_last_5
-        FROM form v JOIN matches m ON v.match_id = m.match_id""",
+        FROM form v JOIN matches m ON v.match_id = m.match_id
+        LEFT JOIN rolled h ON m.match_id = h.match_id AND h.venue = 'home'
+        LEFT JOIN rolled a ON m.match_id = a.match_id AND a.venue = 'away'""",
 )
 def entity_view(t):
     means = {"points_venue_last_5": ("points", 5)}
     sides = history.rolling_mean(
         reshape.result_sides(t.matches()), history.VENUE_KEYS, history.EVENT_ORDER, means
     )
-    table = assemble.rejoin_sides(t.matches(), sides, tuple(means)).withColumns(
-        {"home_xg_last_5": F.col("FTHG") * F.lit(1.5), "away_xg_last_5": F.col("FTAG") * F.lit(1.5)}
-    )
-    return rounded(reshape.team_view(table))
+    table = assemble.rejoin_sides(t.matches(), sides, tuple(means))
+    joined = t.matches().join(t.xg().select("match_id", "home_xg", "away_xg"), "match_id")
+    return rounded(reshape.team_view(features.rolling_xg_table(table, joined)))
 
 
 @query("q_entity_union_distinct", f'WITH {Q.RAW} SELECT "HomeTeam" AS team FROM raw UNION SELECT "AwayTeam" FROM raw ORDER BY 1')
@@ -245,4 +251,4 @@ LEAGUES = ("L0", "L1", "L2", "L3", "L4")
         FROM raw GROUP BY season""",
 )
 def season_counts(t):
-    return reshape.season_counts(t.raw(), LEAGUES)
+    return reshape.season_counts(t.raw())

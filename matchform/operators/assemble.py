@@ -31,6 +31,10 @@ MODEL_COLUMNS = (
 BEST_ODDS = {"MaxH": "best_odds_home", "MaxD": "best_odds_draw", "MaxA": "best_odds_away"}
 
 
+# A key of three parts, one of which is empty.
+INCOMPLETE_KEY = "^(_[^_]*_[^_]*|[^_]*__[^_]*|[^_]*_[^_]*_)$"
+
+
 def side_name(feature: str, venue: str) -> str:
     """``points_venue_last_5`` at home -> ``home_points_home_last_5``."""
     return f"{venue}_{feature.replace('_venue_', f'_{venue}_')}"
@@ -71,7 +75,8 @@ def with_differences(df: DataFrame) -> DataFrame:
 def join_xg(features: DataFrame, xg: DataFrame, by_league: bool = False) -> DataFrame:
     """Matches that have an xG row with the same date and codes; repeated keys fan out.
 
-    Codes are not unique across leagues; ``by_league`` adds the league to the key.
+    Codes are not unique across leagues; ``by_league`` adds the league to the key. A key that lacks its
+    date or a code matches nothing, so those rows are left out before they are shuffled.
     """
     keyed = xg.select(
         S.xg_key(F.col("date"), F.col("home_team_code"), F.col("away_team_code")).alias(
@@ -81,7 +86,8 @@ def join_xg(features: DataFrame, xg: DataFrame, by_league: bool = False) -> Data
         "away_xg",
         *(["league"] if by_league else []),
     )
-    return features.join(keyed, ["match_concat", "league"] if by_league else ["match_concat"])
+    names = ["match_concat", "league"] if by_league else ["match_concat"]
+    return features.filter(~F.col("match_concat").rlike(INCOMPLETE_KEY)).join(keyed, names)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -90,15 +96,20 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def attach_rolling_xg(features: DataFrame, history: DataFrame) -> DataFrame:
-    """All feature rows with both sides' rolling xG; a match repeated in the history fans out."""
+    """All feature rows with both sides' rolling xG; a match repeated in the history fans out.
+
+    The history is grouped by match once. A match with several rows per side gets every home row
+    with every away row, as two joins would give.
+    """
+    names = ("xg_last_5", "xg_against_last_5")
+    sides = history.groupBy("match_id").agg(
+        *[F.collect_list(F.when(F.col("venue") == venue, F.struct(*names))).alias(f"__{venue}") for venue in VENUES]
+    )
+    joined = features.join(sides, "match_id", "left")
     for venue in VENUES:
-        side = history.filter(F.col("venue") == venue).select(
-            "match_id",
-            F.col("xg_last_5").alias(f"{venue}_xg_last_5"),
-            F.col("xg_against_last_5").alias(f"{venue}_xg_against_last_5"),
-        )
-        features = features.join(side, "match_id", "left")
-    return features
+        joined = joined.withColumn(f"__{venue}", F.explode_outer(f"__{venue}"))
+    columns = {f"{venue}_{name}": F.col(f"__{venue}.{name}") for venue in VENUES for name in names}
+    return joined.withColumns(columns).drop(*[f"__{venue}" for venue in VENUES])
 
 
 def select_model_columns(df: DataFrame) -> DataFrame:

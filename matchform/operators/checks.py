@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from matchform.operators.history import EVENT_ORDER, FORM_KEYS
-from matchform.operators.ordering import number_rows, with_lookback
+from matchform.operators.ordering import in_blocks, number_rows
 
 TOLERANCE = 1e-9
 
@@ -15,13 +15,14 @@ TOLERANCE = 1e-9
 def check_chronology(df: DataFrame, key: str = "match_id", moment: str = "kickoff") -> DataFrame:
     """One row: repeated keys, and neighbours by ``key`` whose moments run backwards.
 
-    Neighbours are compared inside blocks of the numbered order, so no task sees all rows.
+    Neighbours are compared in blocks of the rows sorted by ``key``, whose last row is repeated ahead of
+    the next block, so no task sees all rows.
     """
     repeats = df.groupBy(key).count().agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_keys")
     )
-    rows = df.select(key, moment).withColumn("__all", F.lit(0))
-    seen = with_lookback(rows, ("__all",), (key,), 1, lambda w: {"__before": F.lag(moment).over(w)})
+    rows = df.select(key, moment)
+    seen = in_blocks(rows, (), (key,), 1, lambda w: {"__before": F.lag(moment).over(w)})
     backwards = F.count(F.when(F.col(moment) < F.col("__before"), 1))
     return seen.agg(backwards.alias("backward_steps")).withColumn("repeated_keys", repeats.scalar())
 

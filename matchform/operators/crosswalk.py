@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchform.functions.fixed_values import CURATED_TEAM_CODES
-from matchform.session import broadcast_if_small, checkpointed
 
 
 def seed_crosswalk(xg: DataFrame) -> DataFrame:
@@ -54,14 +53,12 @@ def merge_crosswalk(seed: DataFrame, curated: DataFrame) -> DataFrame:
 def attach_codes(matches: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Code of both teams; teams without one stay, with NULL.
 
-    The crosswalk is written once, since it is read three times: to measure it and for each side.
-    Real ones have a few hundred rows and are broadcast; one too long for that is joined by
-    shuffle, where adaptive execution splits the partitions of hot teams.
+    No hint is given: adaptive execution broadcasts a lookup whose bytes are few and splits the
+    partitions of hot teams where it shuffles.
     """
-    crosswalk = checkpointed(crosswalk.select("team_name", "team_code"))
     for side, team in (("home", "HomeTeam"), ("away", "AwayTeam")):
         lookup = crosswalk.select(
             F.col("team_name").alias(team), F.col("team_code").alias(f"{side}_team_code")
         )
-        matches = matches.join(broadcast_if_small(lookup), team, "left")
+        matches = matches.join(lookup, team, "left")
     return matches

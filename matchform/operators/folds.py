@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from matchform.functions import scalars as S
 from matchform.operators.filters import complete_rows
 
 Fold = tuple[list[str], str]
 
-MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-CONSTANT_TOLERANCE = 1e-13
-
 
 def seasons_with_year(df: DataFrame, season: str = "season") -> DataFrame:
     """Distinct seasons with their start year; one row per season."""
@@ -33,10 +29,7 @@ def ordered_seasons(df: DataFrame, season: str = "season") -> list[str]:
 def outer_folds(seasons: Sequence[str]) -> list[Fold]:
     """Expanding folds over all but the last season; the first trains on two seasons."""
     if len(seasons) < 4:
-        raise ValueError(
-            "at least four seasons are required: two to train the first fold, one to validate "
-            "it and one held out"
-        )
+        raise ValueError(f"outer folds need four seasons or more (two to train on, one to validate, one kept back); got {len(seasons)}")
     known = list(seasons[:-1])
     return [(known[:index], known[index]) for index in range(2, len(known))]
 
@@ -94,57 +87,30 @@ def season_holdout(df: DataFrame, season: str = "season") -> tuple[DataFrame, Da
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Absolute Pearson correlation of every pair, over rows where both are known.
+    """Absolute Pearson correlation of every pair, over the rows where both are known.
 
-    Each task turns its rows into one small matrix of sums per moment, whatever their number, and
-    only those are added up. Values are shifted by the column's minimum (one number per column)
-    so that the sums of squares keep their digits. A pair with a constant member has no
-    correlation (NULL).
+    Every row becomes one small row per pair, which is added up before the shuffle. Covariance and
+    variances are kept as distances from running means, so a constant column has the variance zero
+    exactly; a pair with such a member, or without rows, has no correlation (NULL). NaN counts as unknown.
     """
     columns = list(columns)
-    values = df.select(
-        *[F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")).alias(name) for name in columns]
-    )
-    lows = values.agg(*[F.min(name).alias(name) for name in columns]).first()
-    shift = np.array([0.0 if low is None else low for low in lows])
-    size = len(columns)
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(MOMENTS), size, size))
-        for batch in batches:
-            x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-            known = ~np.isnan(x)
-            x = np.where(known, x - shift, 0.0)
-            mask = known.astype(float)
-            total += [mask.T @ mask, x.T @ mask, mask.T @ x, (x * x).T @ mask, mask.T @ (x * x), x.T @ x]
-        left, right = np.triu_indices(size, 1)
-        arrays = [pa.array(left.astype("int32")), pa.array(right.astype("int32"))]
-        arrays += [pa.array(moment[left, right]) for moment in total]
-        yield pa.RecordBatch.from_arrays(arrays, ["i", "j", *MOMENTS])
-
-    schema = "i int, j int, " + ", ".join(f"{name} double" for name in MOMENTS)
-    sums = (
-        values.mapInArrow(moments, schema)
-        .groupBy("i", "j")
-        .agg(*[F.sum(name).alias(name) for name in MOMENTS])
+    value = {name: F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")) for name in columns}
+    pairs = [
+        F.struct(F.lit(left).alias("left"), F.lit(right).alias("right"), value[left].alias("x"), value[right].alias("y"))
+        for left, right in combinations(columns, 2)
+    ]
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(known, F.col("x")), F.when(known, F.col("y"))
+    moments = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").groupBy("left", "right").agg(
+        F.covar_pop(x, y).alias("shared"), F.var_pop(x).alias("of_x"), F.var_pop(y).alias("of_y")
     )
-    n, sx, sy, sxx, syy, sxy = [F.col(name) for name in MOMENTS]
-    spread_x, spread_y = _spread(n, sx, sxx), _spread(n, sy, syy)
-    cross = sxy - F.try_divide(sx * sy, n)
-    names = F.array(*[F.lit(name) for name in columns])
-    return sums.select(
-        F.get(names, F.col("i")).alias("left"),
-        F.get(names, F.col("j")).alias("right"),
-        F.abs(F.try_divide(cross, F.sqrt(spread_x * spread_y))).alias("correlation"),
+    # Roots are taken one by one: a product of two variances may leave the range of doubles.
+    both = F.sqrt("of_x") * F.sqrt("of_y")
+    return moments.select(
+        "left", "right", F.when((F.col("of_x") > 0) & (F.col("of_y") > 0), F.abs(F.try_divide("shared", both))).alias("correlation")
     )
 
 
-def _spread(n: Column, total: Column, squares: Column) -> Column:
-    """Sum of squared distances from the mean; zero when it is only rounding."""
-    spread = squares - F.try_divide(total * total, n)
-    return F.when(spread > squares * F.lit(CONSTANT_TOLERANCE), spread).otherwise(F.lit(0.0))
-
-
 def drop_correlated(
     df: DataFrame, candidates: Sequence[str], numeric: Sequence[str], threshold: float | None = 0.90
 ) -> list[str]:

@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from matchform.functions import scalars as S
 from matchform.operators.ordering import (
     BLOCK_ROWS,
-    GROUP_LIMIT,
     ascending,
-    has_hot_group,
     in_blocks,
     with_lookback,
 )
@@ -103,14 +101,13 @@ def form_features(
     history: DataFrame,
     team_means: Means = TEAM_MEANS,
     venue_means: Means = VENUE_MEANS,
-    group_limit: int = GROUP_LIMIT,
+    hot: bool = False,
     block_rows: int = BLOCK_ROWS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Rest days, overall form and venue form of a per-season team history.
 
     The venue keys extend the team keys, so the second window reuses the first one's shuffle and
-    its groups cannot be larger: one size check covers both.
+    its groups cannot be larger.
     """
     longest = max(size for _, size in [*team_means.values(), *venue_means.values()])
 
@@ -121,8 +118,6 @@ def form_features(
     def venue_columns(window: WindowSpec) -> dict[str, Column]:
         return mean_columns(window, venue_means)
 
-    if hot is None:
-        hot = has_hot_group(history, FORM_KEYS, group_limit)
     if hot:
         def add(df, keys, build):
             return in_blocks(df, keys, EVENT_ORDER, longest, build, block_rows)
@@ -136,7 +131,7 @@ def form_features(
 
 
 def with_plain_window(df: DataFrame, keys: Sequence[str], build) -> DataFrame:
-    """Window columns with one task per group; only for groups already known to be small."""
+    """Window columns with one task per group."""
     return df.withColumns(build(Window.partitionBy(*keys).orderBy(*ascending(*EVENT_ORDER))))
 
 

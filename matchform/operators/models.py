@@ -1,27 +1,33 @@
 """Three-outcome classifiers as Spark ML stages.
 
-Spark has no multiclass boosted trees, so ``boosted`` fits one binary boosted model per outcome
-and rescales the three probabilities to sum to one. ``forest`` and ``logistic`` are multiclass as
-they are. Parameters keep the names of the published search space; those a kind has no
+``forest`` (the default) and ``logistic`` are multiclass as they are. Spark has no multiclass boosted
+trees, so ``boosted`` fits one binary boosted model per outcome and rescales the three probabilities
+to sum to one. Parameters keep the names of the published search space; those a kind has no
 counterpart for are left out of it (see ``stage_params``).
+
+A category is replaced by how often its training rows ended in H and in A. The frequencies are a
+relation with a row per category that is joined to the rows, so no list of names reaches the driver
+and no tree's bins depend on how many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from math import ceil, log2
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from matchform.functions import scalars as S
 from matchform.operators.scoring import MODEL_PROBS
+from matchform.session import checkpointed
 
-KINDS = ("boosted", "forest", "logistic")
+KINDS = ("forest", "boosted", "logistic")
+DEFAULT_KIND = "forest"
 INTEGER_PARAMS = ("num_leaves", "max_depth", "min_child_samples")
 DEFAULT_TREES = 150
 LABEL = "__label"
@@ -71,39 +77,43 @@ def stage_params(kind: str, params: Mapping[str, float]) -> dict:
     return settings
 
 
-def index_name(column: str) -> str:
-    return f"__index_{column}"
+# So many rows of evenly spread outcomes are added to each category's own.
+PRIOR_ROWS = 10
 
 
 @dataclass(frozen=True)
 class Encoded:
-    """Rows with their label and category numbers, and how many categories each column has."""
+    """Rows with their label, and which of their columns are categories."""
 
     rows: DataFrame
-    categories: dict[str, int] = field(default_factory=dict)
+    categories: tuple[str, ...] = ()
 
     def only(self, rows: DataFrame) -> Encoded:
         return Encoded(rows, self.categories)
 
 
 def encode(df: DataFrame, categorical: Sequence[str], result: str = "FTR") -> Encoded:
-    """Number the categories of the whole table once, in sorted order, and add the label.
+    """Add the label; nothing runs yet."""
+    return Encoded(df.withColumn(LABEL, S.encode_outcome(F.col(result)).cast("double")), tuple(categorical))
 
-    Only the distinct category values come to the driver; a value not seen here gets its own
-    extra number.
-    """
-    rows = df.withColumn(LABEL, S.encode_outcome(F.col(result)).cast("double"))
-    categories = {}
-    if categorical:
-        indexer = StringIndexer(
-            inputCols=list(categorical),
-            outputCols=[index_name(c) for c in categorical],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ).fit(df.select(*categorical))
-        rows = indexer.transform(rows)
-        categories = {c: len(labels) + 1 for c, labels in zip(categorical, indexer.labelsArray)}
-    return Encoded(rows, categories)
+
+def _rates(column: str) -> list[str]:
+    return [f"__{column}_home", f"__{column}_away"]
+
+
+def category_rates(train: DataFrame, column: str) -> DataFrame:
+    """Per category the smoothed frequencies of H and A in ``train``; one row each."""
+    shares = [
+        ((F.sum(F.when(F.col(LABEL) == label, 1.0).otherwise(0.0)) + PRIOR_ROWS / 3) / (F.count("*") + PRIOR_ROWS)).alias(name)
+        for label, name in zip((0.0, 2.0), _rates(column))
+    ]
+    return train.groupBy(F.col(column).alias(f"__{column}")).agg(*shares)
+
+
+def with_rates(rows: DataFrame, column: str, rates: DataFrame) -> DataFrame:
+    """Rows with their category's frequencies; a category that training did not have gets a third."""
+    joined = rows.join(rates, F.col(column).eqNullSafe(F.col(f"__{column}")), "left").drop(f"__{column}")
+    return joined.withColumns({name: F.coalesce(name, F.lit(1 / 3)) for name in _rates(column)})
 
 
 @dataclass(frozen=True)
@@ -111,13 +121,19 @@ class OutcomeModel:
     """Fitted stages for one list of features."""
 
     kind: str
-    prepare: tuple
+    rates: tuple[tuple[str, DataFrame], ...]
+    assemble: VectorAssembler
     models: tuple[Model, ...]
 
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """Rows with the vector of their features."""
+        for column, rates in self.rates:
+            rows = with_rates(rows, column, rates)
+        return self.assemble.transform(rows).drop(*[name for column, _ in self.rates for name in _rates(column)])
+
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """Rows with the probabilities of H, D and A."""
-        for stage in self.prepare:
-            rows = stage.transform(rows)
+        rows = self.vectors(rows)
         temporary = [VECTOR]
         if self.kind == "boosted":
             raw = []
@@ -142,7 +158,7 @@ def fit_model(
     train: Encoded,
     features: Sequence[str],
     params: Mapping[str, float],
-    kind: str = "boosted",
+    kind: str = DEFAULT_KIND,
     trees: int = DEFAULT_TREES,
     seed: int = 42,
 ) -> OutcomeModel:
@@ -151,35 +167,24 @@ def fit_model(
         raise ValueError(f"unknown kind {kind!r}; known: {KINDS}")
     if not features:
         raise ValueError("no features to fit on")
-    stages: list = []
-    inputs = [index_name(f) if f in train.categories else f for f in features]
-    if kind == "logistic":
-        indexed = [index_name(f) for f in features if f in train.categories]
-        if indexed:
-            hot = [f"{name}_hot" for name in indexed]
-            stages.append(
-                OneHotEncoder(inputCols=indexed, outputCols=hot, handleInvalid="keep").fit(train.rows)
-            )
-            inputs = [f"{name}_hot" if name in indexed else name for name in inputs]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR))
-    rows = train.rows
-    for stage in stages:
-        rows = stage.transform(rows)
-    rows = rows.select(VECTOR, LABEL)
+    rates = tuple((f, checkpointed(category_rates(train.rows, f))) for f in features if f in train.categories)
+    coded = dict(rates)
+    inputs = [name for f in features for name in (_rates(f) if f in coded else [f])]
+    unfitted = OutcomeModel(kind, rates, VectorAssembler(inputCols=inputs, outputCol=VECTOR), ())
+    rows = unfitted.vectors(train.rows).select(VECTOR, LABEL)
     settings = stage_params(kind, params)
-    bins = max([32, *[train.categories[f] for f in features if f in train.categories]])
     common = {"featuresCol": VECTOR, "labelCol": LABEL}
     if kind == "boosted":
-        booster = GBTClassifier(seed=seed, maxIter=trees, maxBins=bins, **common, **settings)
+        booster = GBTClassifier(seed=seed, maxIter=trees, **common, **settings)
         models = tuple(
             booster.fit(rows.withColumn(LABEL, F.when(F.col(LABEL) == index, 1.0).otherwise(0.0)))
             for index in range(3)
         )
     elif kind == "forest":
-        forest = RandomForestClassifier(seed=seed, numTrees=trees, maxBins=bins, **common, **settings)
+        forest = RandomForestClassifier(seed=seed, numTrees=trees, **common, **settings)
         models = (forest.fit(rows),)
     else:
         penalty = params.get("reg_lambda") or 0.0
         strength = penalty / max(rows.count(), 1) if penalty else 0.0
         models = (LogisticRegression(family="multinomial", regParam=strength, **common).fit(rows),)
-    return OutcomeModel(kind, tuple(stages), models)
+    return replace(unfitted, models=models)

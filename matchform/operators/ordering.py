@@ -1,10 +1,11 @@
 """Positions, running sums and bounded look-back over orders of any size.
 
-A plain window puts each group into one task. That is right while groups are small, and it is
-what happens here after the group sizes have been measured. Beyond the limit the rows are range
-sorted on the whole key (so a hot group spreads over many tasks), numbered, and cut into blocks
-of equal size; windows then run inside blocks and small per-block totals carry the rest over.
-Both ways give the same rows.
+A plain window puts each group into one task and is lazy; it is what a caller gets. A caller whose
+groups are larger than a task should bear says ``hot=True``: the rows are then range sorted on the
+whole key (so a hot group spreads over many tasks), numbered, and cut into blocks of equal size;
+windows run inside blocks and small per-block totals carry the rest over. Nothing is measured and
+nothing switches by itself. Both ways give the same rows; sums of doubles are added block by block,
+in the same order whenever the blocks are the same.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from matchform.session import broadcast_if_small, checkpointed
+from matchform.session import checkpointed
 
-GROUP_LIMIT = 2_000_000
 BLOCK_ROWS = 1_000_000
 
 _ROW_MASK = (1 << 33) - 1
@@ -62,30 +62,20 @@ def place(df: DataFrame, order: Sequence[Column], column: str = _POSITION) -> Pl
     return Placed(rows.drop("__part", "__row"), total, column)
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
-    """Whether some group has more than ``limit`` rows; reads the key columns only."""
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    return not sizes.filter(F.col("count") > limit).isEmpty()
-
-
 def with_lookback(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     lookback: int,
     build: Callable[[WindowSpec], dict[str, Column]],
-    group_limit: int = GROUP_LIMIT,
+    hot: bool = False,
     block_rows: int = BLOCK_ROWS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Window columns that look at most ``lookback`` rows back within ``keys``.
 
     ``build`` receives the partitioned and ordered window and may only use frames (or ``lag``)
-    that end at the current row and start no more than ``lookback`` rows before it. ``hot`` tells
-    whether a group exceeds the limit, where the caller has measured that on something cheaper.
+    that end at the current row and start no more than ``lookback`` rows before it.
     """
-    if hot is None:
-        hot = has_hot_group(df, keys, group_limit)
     if not hot:
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*ascending(*order))))
     return in_blocks(df, keys, order, lookback, build, block_rows)
@@ -161,14 +151,11 @@ def running_sums(
     keys: Sequence[str],
     order: Sequence[str],
     sums: dict[str, Column],
-    group_limit: int = GROUP_LIMIT,
+    hot: bool = False,
     block_rows: int = BLOCK_ROWS,
-    hot: bool | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per group; without ``keys`` the whole table is one group."""
-    if hot is None:
-        hot = not keys or has_hot_group(df, keys, group_limit)
-    if not hot:
+    """Add inclusive running sums per group; without ``keys`` the whole table is one group, always in blocks."""
+    if keys and not hot:
         window = (
             Window.partitionBy(*keys)
             .orderBy(*ascending(*order))
@@ -196,18 +183,15 @@ def number_rows(
     order: Sequence[str],
     column: str,
     start: int = 1,
-    group_limit: int = GROUP_LIMIT,
+    hot: bool = False,
     block_rows: int = BLOCK_ROWS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Consecutive numbers per group, from ``start``.
 
-    In the sorted order a group's rows lie together, so beyond the limit a number is the row's
-    position minus its group's first one. Those come from one row per block and group; they are
-    joined by block, never by the group alone.
+    In the sorted order a group's rows lie together, so in blocks a number is the row's position
+    minus its group's first one. Those come from one row per block and group; they are joined by
+    block, never by the group alone.
     """
-    if hot is None:
-        hot = has_hot_group(df, keys, group_limit)
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*ascending(*order))
         number = F.row_number().over(window).cast("bigint")
@@ -220,7 +204,7 @@ def number_rows(
         .select(_BLOCK, _GROUP, first.alias("__first"))
     )
     return (
-        blocks.rows.join(broadcast_if_small(firsts), [_BLOCK, _GROUP])
+        blocks.rows.join(firsts, [_BLOCK, _GROUP])
         .withColumn(column, F.col(_POSITION) - F.col("__first") + F.lit(start))
         .drop(_BLOCK, _GROUP, _POSITION, "__first")
     )
@@ -232,28 +216,99 @@ def global_order(df: DataFrame, order: Sequence[str], column: str = "match_id")
     return placed.drop(column).withColumnRenamed("__new_id", column)
 
 
+def chronological_number(df: DataFrame, moment: str, then: Sequence[str], column: str) -> DataFrame:
+    """Number all rows 1..N by ``moment`` (missing last) and ``then``, without running anything yet.
+
+    A row's number is its place among its day's rows plus the rows of all earlier days. Only one row
+    per day (and per first tie-break value of rows without a moment) is ordered in one place.
+    """
+    day = F.to_date(moment)
+    undated = F.when(F.col(moment).isNull(), F.col(then[0]).cast("string"))
+    rows = df.withColumns({"__day": day, "__undated": undated})
+    before = Window.orderBy(*ascending("__day", "__undated")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("__day", "__undated").agg(F.count("*").alias("__rows"))
+    offsets = days.select(
+        F.col("__day").alias("__of"), F.col("__undated").alias("__of_undated"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
+    )
+    place_of_day = F.row_number().over(Window.partitionBy("__day", "__undated").orderBy(*ascending(moment, *then)))
+    same = F.col("__day").eqNullSafe(F.col("__of")) & F.col("__undated").eqNullSafe(F.col("__of_undated"))
+    return (
+        rows.withColumn("__place", place_of_day)
+        .join(offsets, same)
+        .withColumn(column, (F.col("__before") + F.col("__place")).cast("bigint"))
+        .drop("__day", "__undated", "__of", "__of_undated", "__before", "__place")
+    )
+
+
+# A cut is looked for among this many parts of the leading sort key's range.
+PARTS = 4096
+
+
+@dataclass(frozen=True)
+class Cut:
+    """How many rows there are, and the sort keys of the last row of a leading part of them."""
+
+    total: int
+    last: tuple | None
+
+    def leading(self, order: Sequence[str]) -> Column:
+        """Whether a row lies in the leading part; missing values come last in every key."""
+        if self.last is None:
+            return F.lit(False)
+        before, tied = F.lit(False), F.lit(True)
+        for name, value in zip(order, self.last):
+            column, bound = F.col(name), F.lit(value)
+            less = column.isNotNull() if value is None else F.coalesce(column < bound, F.lit(False))
+            before = before | (tied & less)
+            tied = tied & column.eqNullSafe(bound)
+        return before | tied
+
+
+def find_cuts(df: DataFrame, order: Sequence[str], places: Callable[[int], Sequence[int]]) -> list[Cut]:
+    """The cuts after the row numbers that ``places`` gives for the number of rows.
+
+    Rows are counted by day or by equal ranges of the leading key, one small row for each; only the
+    range that holds a cut is ordered, and of it only the sort keys. ``order`` ends in a unique key.
+    """
+    keys = df.select(*order)
+    lead, kind = F.col(order[0]), dict(df.dtypes)[order[0]]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        low, high = keys.agg(F.min(lead), F.max(lead)).first()
+        part = lead if low is None else F.floor((lead - low) / max(1, -(-(high - low + 1) // PARTS)))
+    else:
+        part = F.to_date(lead) if kind.startswith(("timestamp", "date")) else lead
+    counts = keys.groupBy(part.alias("part")).count().orderBy(F.col("part").asc_nulls_last()).collect()
+    total = sum(row["count"] for row in counts)
+    cuts = []
+    for wanted in places(total):
+        seen = 0
+        for row in counts:
+            if 0 < wanted <= seen + row["count"]:
+                own = keys.filter(part.eqNullSafe(F.lit(row["part"])))
+                placed = place(own, ascending(*order))
+                cuts.append(Cut(total, tuple(placed.rows.filter(F.col(placed.column) == wanted - seen).select(*order).first())))
+                break
+            seen += row["count"]
+        else:
+            cuts.append(Cut(total, None))
+    return cuts
+
+
 def temporal_split(
     df: DataFrame, fraction: float, order: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """The first ``int(n * fraction)`` rows by ``order``, and the rest."""
+    """The first ``int(n * fraction)`` rows by ``order``, and the rest: two filters of ``df``."""
     if not 0 < fraction < 1:
-        raise ValueError("fraction must be between 0 and 1")
-    placed = place(df, ascending(*order))
-    cut = int(placed.total * fraction)
-    position = F.col(placed.column)
-    return (
-        placed.rows.filter(position <= cut).drop(placed.column),
-        placed.rows.filter(position > cut).drop(placed.column),
-    )
+        raise ValueError("the leading share must lie strictly between 0 and 1")
+    (cut,) = find_cuts(df, order, lambda total: [int(total * fraction)])
+    return df.filter(cut.leading(order)), df.filter(~cut.leading(order))
 
 
 def temporal_slice(df: DataFrame, start: float, end: float, order: Sequence[str]) -> DataFrame:
-    """Rows ``[int(n * start), int(n * end))`` by ``order``; an empty slice is an error."""
+    """Rows ``[int(n * start), int(n * end))`` by ``order``, as a filter; an empty slice is an error."""
     if not 0 <= start < end <= 1:
-        raise ValueError("must satisfy 0 <= start < end <= 1")
-    placed = place(df, ascending(*order))
-    first, last = int(placed.total * start), int(placed.total * end)
-    if first >= last:
-        raise ValueError(f"slice [{start}, {end}] holds no rows")
-    position = F.col(placed.column)
-    return placed.rows.filter((position > first) & (position <= last)).drop(placed.column)
+        raise ValueError("a slice needs shares with 0 <= start < end <= 1")
+    first, last = find_cuts(df, order, lambda total: [int(total * start), int(total * end)])
+    if int(first.total * start) >= int(first.total * end):
+        raise ValueError(f"there are no rows between the shares {start} and {end}")
+    return df.filter(last.leading(order) & ~first.leading(order))

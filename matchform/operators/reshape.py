@@ -103,15 +103,19 @@ def outcome_shares(df: DataFrame, key: str = "Div", result: str = "FTR") -> Data
     )
 
 
-def season_counts(df: DataFrame, leagues: Sequence[str], season: str = "season", key: str = "Div") -> DataFrame:
-    """Matches per season with one column per league and their total."""
-    counts = {league: F.count(F.when(F.col(key) == league, 1)) for league in leagues}
-    total = reduce(lambda left, right: left + right, [F.col(league) for league in leagues])
-    return (
-        df.groupBy(season)
-        .agg(*[count.alias(league) for league, count in counts.items()])
-        .withColumn("Total", total)
-    )
+def season_counts(
+    df: DataFrame, leagues: Sequence[str] | None = None, season: str = "season", key: str = "Div"
+) -> DataFrame:
+    """Matches per season with one column per league, and all matches of the season.
+
+    The leagues are those of the data (a handful of names) unless given. ``Total`` counts every match,
+    also those of other leagues or of none.
+    """
+    if leagues is None:
+        known = df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(key)
+        leagues = [row[key] for row in known.collect()]
+    counts = [F.count(F.when(F.col(key) == league, 1)).alias(league) for league in leagues]
+    return df.groupBy(season).agg(*counts, F.count("*").alias("Total"))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:

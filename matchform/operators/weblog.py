@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from matchform.operators.filters import clean_log, filter_competition, played_only
-from matchform.session import checkpointed, spread
+from matchform.session import checkpointed
 
 # Columns of a match log, in their published order.
 EXPECTED_COLUMNS = (
@@ -43,8 +43,10 @@ LOG_SCHEMA = T.StructType(
 
 COMMENT_PATTERN = r"(?s)<!--(.*?)-->"
 HIDDEN_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-LINK_PATTERN = r'(?is)<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>'
-HREF_PATTERN = r'(?is)^<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
+# An address may stand in double quotes, in single ones or in none.
+LINK_PATTERN = r"""(?is)<a\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?</a>"""
+TAG_PATTERN = r"""(?s)</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+HREF_PATTERN = r"""(?is)^<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 _TOKENS = re.compile(
@@ -83,6 +85,8 @@ def _apply(open_tables: list[dict], tag: str, closing: bool, attrs: str) -> None
             open_tables.pop()
         elif tag in ("td", "th", "tr"):
             table["cell"] = None
+        else:
+            table["part"] = None
     elif tag in ("td", "th"):
         if not table["rows"]:
             table["rows"].append({"cells": [], "part": table["part"]})
@@ -202,8 +206,8 @@ def _reader(parse, names: Sequence[str]):
 
 
 def _with_tables(pages: DataFrame) -> DataFrame:
-    """Pages worth handing to Python."""
-    return spread(pages.filter(F.lower("html").contains("<table")))
+    """Pages worth handing to Python, dealt out by their id; a few large files would keep few tasks busy."""
+    return pages.filter(F.lower("html").contains("<table")).repartition("page_id")
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
@@ -218,36 +222,34 @@ def html_comments(pages: DataFrame) -> DataFrame:
 
 
 def link_harvest(pages: DataFrame, pattern: str, id_group: int = 1, slug_group: int = 2) -> DataFrame:
-    """Links whose address matches ``pattern``: id, slug and text, the first per page and id.
+    """Links whose address matches ``pattern``: id, slug and text of the first with a text, per page and id.
 
-    Comments, scripts and styles hold no links.
+    Comments, scripts and styles hold no links. An id whose links are all without text has no row.
     """
     visible = F.regexp_replace("html", HIDDEN_PATTERN, "")
     anchors = F.regexp_extract_all(visible, F.lit(LINK_PATTERN), 0)
-    href = F.regexp_extract("anchor", HREF_PATTERN, 1)
+    href = F.concat(*[F.regexp_extract("anchor", HREF_PATTERN, group) for group in (1, 2, 3)])
+    plain = F.regexp_replace("anchor", TAG_PATTERN, "")
     links = (
         pages.select("page_id", F.posexplode(anchors).alias("position", "anchor"))
-        .withColumn("href", href)
+        .select("page_id", "position", href.alias("href"), plain.alias("text"))
         .filter(F.col("href").rlike(pattern))
+        .withColumns({"href": decoded("href"), "text": F.regexp_replace(decoded("text"), r"^\s+|\s+$", "")})
+        .filter(F.col("text") != "")
         .select(
             "page_id",
             F.regexp_extract("href", pattern, id_group).alias("link_id"),
-            F.struct(
-                "position",
-                F.regexp_extract("href", pattern, slug_group).alias("slug"),
-                _link_text(F.col("anchor")).alias("text"),
-            ).alias("link"),
+            F.struct("position", F.regexp_extract("href", pattern, slug_group).alias("slug"), "text").alias("link"),
         )
     )
     first = links.groupBy("page_id", "link_id").agg(F.min_by("link", "link.position").alias("link"))
     return first.select("page_id", "link_id", "link.slug", "link.text")
 
 
-def _link_text(anchor):
-    text = F.regexp_replace(anchor, r"(?s)<[^>]*>", "")
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+@F.pandas_udf(T.StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Texts with every character reference of HTML replaced; a no-break space becomes a plain one."""
+    return texts.map(lambda text: unescape(text).replace("\xa0", " ") if text and "&" in text else text)
 
 
 def log_tables(cells: DataFrame) -> DataFrame:
@@ -278,6 +280,21 @@ def _read_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=LOG_SCHEMA.fieldNames())
 
 
+def pages_without_log(pages: DataFrame) -> DataFrame:
+    """``page_id`` of the pages that ``match_logs`` has no rows for because none of their tables is a match log."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            missing = [
+                page_id
+                for page_id, html in zip(batch["page_id"], batch["html"])
+                if not any(set(NEEDED_COLUMNS) <= set(_parts(table)[0]) for table, _ in _read_page(html))
+            ]
+            yield pd.DataFrame({"page_id": pd.Series(missing, dtype="int64")})
+
+    return pages.select("page_id", "html").repartition("page_id").mapInPandas(read, "page_id long")
+
+
 def empty_log(spark: SparkSession) -> DataFrame:
     """A match log without rows, in the fixed columns."""
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in LOG_COLUMNS]))

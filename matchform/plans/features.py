@@ -3,46 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from matchform.operators import assemble, history
+from matchform.operators.assemble import MATCH_KEY
 from matchform.operators.crosswalk import merge_crosswalk, seed_crosswalk
 from matchform.operators.enrich import enrich_matches
-from matchform.operators.ordering import BLOCK_ROWS, GROUP_LIMIT, global_order
+from matchform.operators.ordering import chronological_number
 from matchform.operators.reshape import match_sides, result_sides, xg_sides
-from matchform.session import checkpointed
 
 FORM_COLUMNS = ("rest_days", *history.TEAM_MEANS, *history.VENUE_MEANS)
 GLOBAL_ORDER = ("kickoff", "league", "match_id", "season")
 
 
-@dataclass(frozen=True)
-class Sizes:
-    """Whether some league-season, or some team within one, has too many rows for one task."""
-
-    league_season: bool
-    team: bool
-
-
-def measure(matches: DataFrame, group_limit: int = GROUP_LIMIT) -> Sizes:
-    """Measure the groups once, on the raw rows and their four key columns.
-
-    Two numbers come back. Measuring later would repeat the numbering and the joins in between.
-    """
-    teams = (
-        matches.select("season", "league", F.explode(F.array("HomeTeam", "AwayTeam")).alias("team"))
-        .groupBy("season", "league", "team")
-        .count()
-    )
-    leagues = teams.groupBy("season", "league").agg(
-        (F.sum("count") / 2).alias("matches"), F.max("count").alias("team_rows")
-    )
-    largest = leagues.agg(F.max("matches").alias("matches"), F.max("team_rows").alias("team_rows")).first()
-    return Sizes((largest["matches"] or 0) > group_limit, (largest["team_rows"] or 0) > group_limit)
-
-
 def prematch_table(matches: DataFrame, **limits) -> DataFrame:
     """Matches with the form of both sides before kickoff."""
     form = history.form_features(match_sides(matches), **limits)
@@ -50,24 +24,20 @@ def prematch_table(matches: DataFrame, **limits) -> DataFrame:
 
 
 def match_features(
-    raw: DataFrame,
-    crosswalk: DataFrame,
-    ties: Sequence[str] = (),
-    group_limit: int = GROUP_LIMIT,
-    block_rows: int = BLOCK_ROWS,
+    raw: DataFrame, crosswalk: DataFrame, ties: Sequence[str] = (), hot: bool = False, **limits
 ) -> DataFrame:
-    """All league-seasons' pre-match tables, renumbered chronologically.
+    """All league-seasons' pre-match tables, numbered chronologically.
 
-    ``ties`` orders matches of the same teams at the same (or no) time. Two tables are written
-    once to the checkpoint folder: the numbered matches, which both the team histories and the
-    final join read, and the renumbered result, which the xG steps read.
+    ``ties`` orders matches of the same teams at the same (or no) time. The numbered keys of the
+    matches are joined back, so no wide row is sorted; nothing runs before the result is asked for.
     """
-    sizes = measure(raw, group_limit)
-    matches = checkpointed(
-        enrich_matches(raw, crosswalk, ties, hot=sizes.league_season, block_rows=block_rows)
-    )
-    table = prematch_table(matches, hot=sizes.team, block_rows=block_rows)
-    return global_order(table, GLOBAL_ORDER)
+    matches = enrich_matches(raw, crosswalk, ties, hot=hot, **limits)
+    numbers = chronological_number(
+        matches.select(*MATCH_KEY, "kickoff"), GLOBAL_ORDER[0], GLOBAL_ORDER[1:], "__number"
+    ).select("__number", *[F.col(name).alias(f"__{name}") for name in MATCH_KEY])
+    same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in MATCH_KEY]
+    table = prematch_table(matches, hot=hot, **limits).join(numbers, same)
+    return table.drop(*[f"__{name}" for name in MATCH_KEY]).withColumn("match_id", F.col("__number")).drop("__number")
 
 
 def rolling_xg_table(features: DataFrame, features_xg: DataFrame, **limits) -> DataFrame:
@@ -87,8 +57,7 @@ def build_features(
     crosswalk = merge_crosswalk(seed_crosswalk(xg), curated)
     features = match_features(raw, crosswalk, ties, **limits)
     slim = features.select("match_id", "kickoff", "league", "HomeTeam", "AwayTeam", "match_concat")
-    # Read three times below (sizes and both sides), so written once: eight narrow columns.
-    features_xg = checkpointed(assemble.join_xg(slim, xg, by_league))
+    features_xg = assemble.join_xg(slim, xg, by_league)
     return assemble.select_model_columns(rolling_xg_table(features, features_xg, **limits))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-
-# A lookup of this many short rows stays around ten megabytes.
-BROADCAST_ROWS = 100_000
+SHIPPED = "spark.matchform.shipped"
 
 RUNTIME_SETTINGS = {
     # The JVM never compiles methods above 8000 bytes; let Spark generate smaller ones instead.
@@ -43,42 +44,42 @@ def build_session(app: str = "matchform", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a temporary one only on a local master."""
+    """Use the folder that ``spark.checkpoint.dir`` names; every executor must be able to reach it.
+
+    Where the setting is missing, a session that is one process makes a folder of its own; any other stops.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="matchform-checkpoint-"))
-    else:
+    one_process = context.master == "local" or context.master.startswith("local[")
+    if not configured and not one_process:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="matchform-checkpoint-"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed nor share a folder with the driver."""
+    if spark.conf.get(SHIPPED, None):
+        return
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(here.rglob("*.py")):
+            archive.write(file, file.relative_to(here.parent))
+    target = Path(spark.sparkContext._temp_dir) / f"{here.name}.zip"  # the driver serves it to the executors
+    target.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set(SHIPPED, "true")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that partition numbers survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows; larger ones join by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core, for costly row work.
-
-    A large scan has many more partitions than cores and is left alone, so nothing is shuffled.
-    Plans that already shuffle are left alone too.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

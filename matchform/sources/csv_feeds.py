@@ -23,6 +23,11 @@ MATCH_COLUMNS = (*TEXT_COLUMNS, *COUNT_COLUMNS, *PRICE_COLUMNS)
 XG_COLUMNS = ("date", "home_team", "away_team", "home_team_code", "away_team_code", "home_xg", "away_xg")
 
 
+def _file_part(group: int) -> Column:
+    """Of a file's path its folder's name (1) or its own without the ending (2)."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)\.csv$", group)
+
+
 def season_codes(start: int, end: int) -> list[str]:
     """``19, 21`` -> ``["1920", "2021"]``; the end is not included."""
     return [f"{year % 100:02d}{(year + 1) % 100:02d}" for year in range(start, end)]
@@ -37,7 +42,7 @@ def check_season(code: str | int) -> str:
     """The code as text, if it has four digits."""
     text = str(code)
     if len(text) != 4 or not text.isdigit():
-        raise ValueError("season must be a four-digit value such as 2526")
+        raise ValueError(f"a season code has four digits, like 2526; got {text!r}")
     return text
 
 
@@ -50,15 +55,15 @@ def _clean_header(names: Sequence[str]) -> list[str]:
     return cleaned
 
 
-def _read_by_header(spark: SparkSession, files: dict[str, dict[str, str]]) -> DataFrame:
-    """Read files (path -> extra columns) with one scan per header shape, stacked by name.
+def _read_by_header(spark: SparkSession, paths: Sequence[str], tags: dict[str, Column]) -> DataFrame:
+    """Read files with one scan per header shape, stacked by name, with the columns ``tags``.
 
-    Reading all of them at once would give every file the first one's header.
+    Reading all of them at once would give every file the first one's header. Tags are expressions
+    over the file's path.
     """
-    for path in files:
+    for path in paths:
         if not exists(spark, path):
-            raise FileNotFoundError(f"Could not find {path}")
-    paths = list(files)
+            raise FileNotFoundError(f"no such feed file: {path}")
     shapes: dict[str, list[str]] = defaultdict(list)
     for path, header in zip(paths, first_lines(spark, paths)):
         shapes[header.rstrip("\r\n")].append(path)
@@ -66,24 +71,10 @@ def _read_by_header(spark: SparkSession, files: dict[str, dict[str, str]]) -> Da
     for shape in shapes.values():
         frame = spark.read.csv(shape, header=True, encoding=ENCODING, enforceSchema=False)
         frame = frame.toDF(*_clean_header(frame.columns))
-        frames.append(frame.select("*", *_tags({path: files[path] for path in shape})))
+        frames.append(frame.select("*", *[tag.alias(name) for name, tag in tags.items()]))
     return union_by_name(frames)
 
 
-def _tags(files: dict[str, dict[str, str]]) -> list[Column]:
-    """Extra columns by file name; the end of the path identifies a requested file."""
-    path = F.col("_metadata.file_path")
-    names = next(iter(files.values()))
-    columns = []
-    for name in names:
-        value = F.lit(None).cast("string")
-        for file, tags in files.items():
-            tail = "/".join(file.rstrip("/").split("/")[-2:])
-            value = F.when(path.endswith(f"/{tail}"), F.lit(tags[name])).otherwise(value)
-        columns.append(value.alias(name))
-    return columns
-
-
 def _count(column: Column) -> Column:
     # Counts of a file with gaps may be written as decimals.
     return F.coalesce(column.try_cast("bigint"), column.try_cast("double").try_cast("bigint"))
@@ -106,36 +97,30 @@ def read_matches(
 ) -> DataFrame:
     """Match files ``root/<league>/<season>.csv`` with ``league``, ``season`` and typed columns.
 
-    ``keep_all`` also keeps the columns the feature build does not use, as text.
+    ``keep_all`` also keeps the columns the feature build does not use, as text. Every line with a field
+    is a row; the reader itself skips blank lines.
     """
-    files = {}
-    for league in leagues:
-        for code in map(check_season, seasons):
-            files[f"{root}/{league}/{code}.csv"] = {"league": league, "season": season_label(code)}
+    files = [f"{root}/{league}/{code}.csv" for league in leagues for code in map(check_season, seasons)]
     if not files:
-        raise ValueError("No match files were asked for")
-    df = _read_by_header(spark, files)
+        raise ValueError("a match feed needs at least one league and one season")
+    code = _file_part(2)
+    label = F.concat(F.lit("20"), F.substring(code, 1, 2), F.lit("/"), F.substring(code, 3, 2))
+    df = _read_by_header(spark, files, {"league": _file_part(1), "season": label})
     typed = _typed(df, MATCH_COLUMNS, COUNT_COLUMNS, PRICE_COLUMNS)
     others = [F.col(f"`{c}`") for c in df.columns if c not in (*MATCH_COLUMNS, "league", "season")]
-    return df.select(*typed, *(others if keep_all else []), "league", "season").filter(
-        F.coalesce(*[F.col(c) for c in TEXT_COLUMNS]).isNotNull()
-    )
+    return df.select(*typed, *(others if keep_all else []), "league", "season")
 
 
 def read_xg(spark: SparkSession, root: str, leagues: Sequence[str], start: int, end: int) -> DataFrame:
     """xG files ``root/<prefix>/<prefix>_<season>.csv`` of the given leagues, tagged with the league."""
-    files = {}
-    for league in leagues:
-        if league not in XG_PREFIXES:
-            raise ValueError(
-                f"No xG file prefix configured for {league}. Available leagues: {list(XG_PREFIXES)}"
-            )
-        prefix = XG_PREFIXES[league]
-        for code in season_codes(start, end):
-            files[f"{root}/{prefix}/{prefix}_{code}.csv"] = {"league": league}
+    unknown = [league for league in leagues if league not in XG_PREFIXES]
+    if unknown:
+        raise ValueError(f"no xG feed is known for {', '.join(unknown)}; there is one for {', '.join(XG_PREFIXES)}")
+    files = [f"{root}/{p}/{p}_{code}.csv" for p in map(XG_PREFIXES.get, leagues) for code in season_codes(start, end)]
     if not files:
-        raise ValueError("No xG rows were loaded")
-    df = _read_by_header(spark, files)
+        raise ValueError("an xG feed needs at least one league and one season")
+    by_prefix = F.create_map(*[F.lit(x) for league in leagues for x in (XG_PREFIXES[league], league)])
+    df = _read_by_header(spark, files, {"league": by_prefix[_file_part(1)]})
     return df.select(*_typed(df, XG_COLUMNS, (), ("home_xg", "away_xg")), "league")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from matchform.functions.feature_sets import CATEGORICAL_FEATURES
-from matchform.operators.models import encode
+from matchform.operators.summaries import category_index
 
 TEXT_COLUMNS = ("HomeTeam", "AwayTeam", "Div", "season", "FTR", "Referee")
 
@@ -29,7 +29,10 @@ def load_features(spark: SparkSession, path: str, with_categories: bool = False)
     df = df.withColumn("season", F.col("season").cast("string"))
     if not with_categories:
         return df
-    return encode(df, [c for c in CATEGORICAL_FEATURES if c in df.columns]).rows
+    for column in (c for c in CATEGORICAL_FEATURES if c in df.columns):
+        numbers = category_index(df, column).withColumnsRenamed({"category_index": f"index_{column}"})
+        df = df.join(numbers, column, "left")
+    return df
 
 
 def load_features_csv(spark: SparkSession, path: str) -> DataFrame:

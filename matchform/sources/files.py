@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists on whatever file system ``path`` names."""
+def _at(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """First line of a text file; reads no further than the first block."""
-    row = spark.read.text(path).first()
-    return row["value"] if row else ""
 
-
-def first_lines(spark: SparkSession, paths: list[str], parallelism: int = 8) -> list[str]:
-    """First lines of several files, a few at a time."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(lambda path: first_line(spark, path), paths)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists on whatever file system ``path`` names."""
+    system, target = _at(spark, path)
+    return system.exists(target)
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1") -> list[str]:
+    """The first line of every text file; opens each and reads no further, without a job."""
+    lines = []
+    for path in paths:
+        system, target = _at(spark, path)
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(system.open(target), encoding))
+        try:
+            lines.append(reader.readLine() or "")
+        finally:
+            reader.close()
+    return lines

@@ -9,12 +9,13 @@ from matchform.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "matchform-tests",
         "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")),
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")

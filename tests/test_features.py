@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchform.operators import assemble, checks, crosswalk, enrich, history, reshape
 from matchform.plans import features
-from tests.frames import alternating_season
+from tests.frames import earlier_means, points_of, triangle
 
 
 @pytest.fixture(scope="module")
@@ -21,32 +21,39 @@ def prematch(spark, pdf, codes):
     return features.prematch_table(matches).orderBy("match_id").toPandas()
 
 
-def test_only_previous_matches_count(spark, no_codes):
-    table = prematch(spark, alternating_season(), no_codes)
-    assert pd.isna(table.loc[0, "home_points_last_5"]) and pd.isna(table.loc[0, "away_points_last_5"])
-    assert table.loc[2, "HomeTeam"] == "Arsenal"
-    assert table.loc[2, "home_points_home_last_5"] == 3
-    assert table.loc[2, "home_points_last_5"] == pytest.approx(1.5)
+def test_form_equals_means_of_earlier_matches(spark, no_codes):
+    season = triangle(20)
+    table = prematch(spark, season, no_codes)
+    goals = lambda row, venue: row["FTHG" if venue == "home" else "FTAG"]
+    shots = lambda row, venue: row["HS" if venue == "home" else "AS"]
+    for name, value, size in (("points_last_5", points_of, 5), ("points_last_10", points_of, 10), ("goals_for_last_5", goals, 5), ("shots_for_last_5", shots, 5)):
+        for venue in ("home", "away"):
+            expected = [pair[venue] for pair in earlier_means(season, value, size)]
+            assert table[f"{venue}_{name}"].astype(object).where(table[f"{venue}_{name}"].notna(), None).tolist() == pytest.approx(expected)
+    for venue in ("home", "away"):
+        found = table[f"{venue}_points_{venue}_last_5"]
+        expected = [pair[venue] for pair in earlier_means(season, points_of, 5, venue)]
+        assert found.astype(object).where(found.notna(), None).tolist() == pytest.approx(expected)
     fair = table[["market_home_prob_fair", "market_draw_prob_fair", "market_away_prob_fair"]]
-    assert fair.sum(axis=1).tolist() == pytest.approx([1.0] * len(table))
-    assert list(table["match_id"]) == list(range(12))
-    assert table["match_concat"].iloc[0] == "2025-08-01__"
-    assert table.loc[3, "home_rest_days"] == 1.0
+    assert fair.sum(axis=1).tolist() == pytest.approx([1.0] * 20)
+    assert list(table["match_id"]) == list(range(20))
+    assert table["match_concat"].iloc[0] == "2025-08-02__"
+    assert table.loc[3, "home_rest_days"] > 0
 
 
 def test_row_order_does_not_matter(spark, no_codes):
-    pdf = alternating_season()
+    pdf = triangle()
     first = prematch(spark, pdf, no_codes)
     second = prematch(spark, pdf.sample(frac=1, random_state=4), no_codes)
     pd.testing.assert_frame_equal(first, second[first.columns])
 
 
 def test_own_result_and_later_matches_do_not_leak(spark, no_codes):
-    pdf = alternating_season()
+    pdf = triangle()
     wanted = [c for c in prematch(spark, pdf, no_codes).columns if "_last_" in c or c.endswith("rest_days")]
     before = prematch(spark, pdf, no_codes)[wanted]
     changed = pdf.copy()
-    changed.loc[6, ["FTR", "FTHG", "FTAG"]] = ["A", 0, 9]
+    changed.loc[6, ["FTR", "FTHG", "FTAG"]] = ["A", 0, 8]
     after = prematch(spark, changed, no_codes)[wanted]
     pd.testing.assert_frame_equal(before.iloc[:7], after.iloc[:7])
     assert not before.iloc[7:].equals(after.iloc[7:])
@@ -55,8 +62,7 @@ def test_own_result_and_later_matches_do_not_leak(spark, no_codes):
 
 
 def test_results_restart_each_season(spark, no_codes):
-    old, new = alternating_season(4), alternating_season(2)
-    new["season"], new["Date"] = "2026/27", [f"{d:02d}/08/2026" for d in (1, 2)]
+    old, new = triangle(7), triangle(3, "2026/27", "2026-08-08")
     table = prematch(spark, pd.concat([old, new]), no_codes)
     first = table[(table["season"] == "2026/27") & (table["match_id"] == 0)]
     assert first["home_points_last_5"].isna().all()
@@ -65,7 +71,7 @@ def test_results_restart_each_season(spark, no_codes):
 @pytest.fixture(scope="module")
 def xg_matches(spark):
     rows = [
-        (i, datetime(2025, 8, 1) + timedelta(days=7 * i), "E0", "Arsenal", "Chelsea", float(i + 1), 10.0 * (i + 1))
+        (i, datetime(2025, 8, 1) + timedelta(days=7 * i), "L1", "Otters", "Herons", 0.5 + i, 4.0 * (i + 1))
         for i in range(4)
     ]
     return spark.createDataFrame(
@@ -78,19 +84,19 @@ def test_rolling_xg(xg_matches):
     table = features.rolling_xg_table(xg_matches, xg_matches).orderBy("match_id").toPandas()
     assert pd.isna(table.loc[0, "home_xg_last_5"]) and pd.isna(table.loc[0, "home_xg_against_last_5"])
     row = table.loc[2, ["home_xg_last_5", "home_xg_against_last_5", "away_xg_last_5", "away_xg_against_last_5"]]
-    assert row.tolist() == [1.5, 15.0, 15.0, 1.5]
+    assert row.tolist() == [1.0, 6.0, 6.0, 1.0]
 
 
 def test_match_without_xg_stays_and_is_skipped_in_history(xg_matches):
     table = features.rolling_xg_table(xg_matches, xg_matches.filter("match_id <> 1")).orderBy("match_id").toPandas()
     assert len(table) == 4
     assert pd.isna(table.loc[1, "home_xg_last_5"])
-    assert table.loc[3, "home_xg_last_5"] == pytest.approx((1 + 3) / 2)
+    assert table.loc[3, "home_xg_last_5"] == pytest.approx((0.5 + 2.5) / 2)
 
 
 def xg_feed(spark, pdf):
     rows = [
-        (str(pd.to_datetime(d, dayfirst=True).date()), h, a, h[:3].upper(), a[:3].upper(), 1.0 + i, 0.5, "E0")
+        (str(pd.to_datetime(d, dayfirst=True).date()), h, a, h[:3].upper(), a[:3].upper(), 1.0 + i, 0.5, "L1")
         for i, (d, h, a) in enumerate(zip(pdf["Date"], pdf["HomeTeam"], pdf["AwayTeam"]))
     ]
     return spark.createDataFrame(
@@ -101,25 +107,28 @@ def xg_feed(spark, pdf):
 
 
 def test_full_build(spark):
-    pdf = alternating_season()
+    pdf = triangle()
     table = features.build_features(
         spark.createDataFrame(pdf), xg_feed(spark, pdf), crosswalk.curated_crosswalk(spark)
     )
     assert tuple(table.columns) == assemble.MODEL_COLUMNS and len(table.columns) == 35
     rows = table.orderBy("match_id").toPandas()
     assert list(rows["match_id"]) == list(range(1, 13))
-    assert rows.loc[2, "home_xg_last_5"] == pytest.approx((1.0 + 0.5) / 2)
-    assert rows["best_odds_home"].tolist() == [2.1] * 12
+    feed = [{"home": 1.0 + i, "away": 0.5} for i in range(12)]
+    pdf["n"] = range(12)
+    expected = [pair["home"] for pair in earlier_means(pdf, lambda row, venue: feed[row["n"]][venue], 5)]
+    assert rows["home_xg_last_5"].astype(object).where(rows["home_xg_last_5"].notna(), None).tolist() == pytest.approx(expected)
+    assert rows["best_odds_home"].tolist() == pytest.approx(pdf["MaxH"].tolist())
     found = checks.check_chronology(table).first()
     assert (found["backward_steps"], found["repeated_keys"]) == (0, 0)
 
 
 def test_full_build_is_the_same_in_blocks(spark):
-    pdf = pd.concat([alternating_season(12).assign(league=l, Div=l) for l in ("E0", "D1")])
+    pdf = pd.concat([triangle(12).assign(league=l, Div=l) for l in ("L1", "L2")])
     frames = spark.createDataFrame(pdf), xg_feed(spark, pdf), crosswalk.curated_crosswalk(spark)
     order = ["match_id", "home_xg_last_5", "away_xg_last_5"]
     plain = features.build_features(*frames).orderBy(*order).toPandas()
-    blocks = features.build_features(*frames, group_limit=1, block_rows=11).orderBy(*order).toPandas()
+    blocks = features.build_features(*frames, hot=True, block_rows=11).orderBy(*order).toPandas()
     pd.testing.assert_frame_equal(plain, blocks)
 
 
@@ -135,14 +144,14 @@ def test_league_can_join_the_xg_key(spark):
 
 
 def test_crosswalk_rules(spark):
-    seed = spark.createDataFrame([("Arsenal", "ARS", 3)], "team_name string, team_code string, count bigint")
+    seed = spark.createDataFrame([("Otters", "OTT", 3)], "team_name string, team_code string, count bigint")
     curated = spark.createDataFrame(
-        [(1, "Arsenal", "XXX"), (3, "Betis", "ZZZ"), (2, "Betis", "BET")],
+        [(5, "Otters", "XYZ"), (9, "Badgers", "BGR"), (7, "Badgers", "BAD")],
         "position int, team_name string, team_code string",
     )
     merged = {r["team_name"]: (r["team_code"], r["count"]) for r in crosswalk.merge_crosswalk(seed, curated).collect()}
-    assert merged == {"Arsenal": ("ARS", 3), "Betis": ("BET", None)}
-    clash = seed.unionAll(spark.createDataFrame([("Arsenal", "AFC", 1)], seed.schema))
+    assert merged == {"Otters": ("OTT", 3), "Badgers": ("BAD", None)}
+    clash = seed.unionAll(spark.createDataFrame([("Otters", "OTR", 1)], seed.schema))
     with pytest.raises(Exception, match="more than one code"):
         crosswalk.merge_crosswalk(clash, curated).collect()
 
@@ -163,17 +172,18 @@ def test_one_to_one_join_rejects_repeats(spark):
 
 
 def test_team_view_and_minimum_count(spark):
-    pdf = alternating_season(6)
+    pdf = triangle(9)
     matches = enrich.with_market_probs(spark.createDataFrame(pdf)).withColumn(
         "match_id", F.monotonically_increasing_id()
     )
     matches = matches.withColumn("kickoff", F.to_timestamp_ntz(F.col("Date"), F.lit("dd/MM/yyyy")))
     for name in ("home_xg_last_5", "away_xg_last_5", "home_points_home_last_5", "away_points_away_last_5"):
         matches = matches.withColumn(name, F.lit(1.0))
-    view = reshape.team_view(matches, "Arsenal")
+    view = reshape.team_view(matches, "Otters")
     rolled = history.rolling_mean(
         view, ("team",), ("kickoff", "match_id"), {"avg": ("win_prob", 10)}, include_current=True, min_count=3
     ).orderBy("kickoff").collect()
-    assert [r["venue"] for r in rolled] == ["home", "away"] * 3
-    assert [r["avg"] is None for r in rolled] == [True, True] + [False] * 4
+    own = pdf[(pdf["HomeTeam"] == "Otters") | (pdf["AwayTeam"] == "Otters")]
+    assert [r["venue"] for r in rolled] == ["home" if h == "Otters" else "away" for h in own["HomeTeam"]]
+    assert [r["avg"] is None for r in rolled] == [True, True] + [False] * (len(own) - 2)
     assert rolled[2]["avg"] == pytest.approx(sum(r["win_prob"] for r in rolled[:3]) / 3)

@@ -44,7 +44,7 @@ def test_form_in_blocks_equals_plain_windows(sides, block_rows):
     means = {k: v for k, v in history.TEAM_MEANS.items() if v[0] in history.LONG_MEASURES}
     names = ["match_id", "team", "rest_days", *means, *history.VENUE_MEANS]
     plain = history.form_features(sides, means)
-    blocks = history.form_features(sides, means, group_limit=1, block_rows=block_rows)
+    blocks = history.form_features(sides, means, hot=True, block_rows=block_rows)
     assert collected(plain, *names) == collected(blocks, *names)
 
 
@@ -61,21 +61,21 @@ def test_running_sums_in_blocks(sides, keys, block_rows):
     )
     expected = sides.withColumn("run", F.sum("goals_for").over(window))
     found = ordering.running_sums(
-        sides, keys, ("kickoff", "match_id"), {"run": F.col("goals_for")}, group_limit=1, block_rows=block_rows
+        sides, keys, ("kickoff", "match_id"), {"run": F.col("goals_for")}, hot=True, block_rows=block_rows
     )
     assert collected(expected, "match_id", "run") == collected(found, "match_id", "run")
 
 
 def test_running_sums_keep_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, v int")
-    found = ordering.running_sums(df, ("k",), ("v",), {"run": F.col("v")}, group_limit=1, block_rows=1)
+    found = ordering.running_sums(df, ("k",), ("v",), {"run": F.col("v")}, hot=True, block_rows=1)
     assert sorted((r["k"] or "", r["run"]) for r in found.collect()) == [("", 1), ("", 3), ("a", 3), ("a", 7)]
 
 
 def test_row_numbers_in_blocks(sides):
     plain = ordering.number_rows(sides, ("team",), ("kickoff", "match_id"), "n", start=0)
     blocks = ordering.number_rows(
-        sides, ("team",), ("kickoff", "match_id"), "n", start=0, group_limit=1, block_rows=9
+        sides, ("team",), ("kickoff", "match_id"), "n", start=0, hot=True, block_rows=9
     )
     assert collected(plain, "match_id", "n") == collected(blocks, "match_id", "n")
 
@@ -98,6 +98,23 @@ def test_empty_slice_is_an_error(sides):
         ordering.temporal_slice(sides, 0.0, 0.001, ("match_id",))
 
 
+def test_splits_of_moments_with_ties_and_gaps(sides):
+    rows = sorted(sides.collect(), key=lambda r: (r["kickoff"] is None, r["kickoff"] or 0, r["match_id"]))
+    for fraction in (0.001, 0.3, 0.5, 0.97, 0.999):
+        train, test = ordering.temporal_split(sides, fraction, ("kickoff", "match_id"))
+        cut = int(600 * fraction)
+        assert {r["match_id"] for r in train.collect()} == {r["match_id"] for r in rows[:cut]}
+        assert {r["match_id"] for r in test.collect()} == {r["match_id"] for r in rows[cut:]}
+
+
+def test_chronological_numbers_are_lazy_and_right(spark, sides):
+    found = ordering.chronological_number(sides, "kickoff", ("league", "match_id"), "number")
+    assert "SinglePartition" not in found.select("match_id").limit(1)._jdf.queryExecution().analyzed().toString()
+    rows = sorted(sides.collect(), key=lambda r: (r["kickoff"] is None, r["kickoff"] or 0, r["match_id"]))
+    numbers = {r["match_id"]: r["number"] for r in found.collect()}
+    assert numbers == {r["match_id"]: n for n, r in enumerate(rows, 1)}
+
+
 def test_global_order_has_no_single_partition_window(sides):
     plan = ordering.global_order(sides, ("kickoff", "match_id"))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan

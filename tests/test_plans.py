@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from matchform.operators import assemble, filters, ordering, reshape, scoring
 from matchform.sources import feature_store
-from tests.frames import seeded_seasons
+from tests.frames import priced_seasons
 
 
 def plan(df):
@@ -15,7 +15,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("features") / "table")
-    pdf = seeded_seasons(4, 50)
+    pdf = priced_seasons(4, 50)
     feature_store.write_features(spark.createDataFrame(pdf), path)
     return feature_store.load_features(spark, path)
 
@@ -27,7 +27,7 @@ def test_null_checks_reach_the_scan(stored):
 
 
 def test_seasons_are_pruned(stored):
-    kept = filters.scope(stored, ["E0"], "2020/21", "2021/22")
+    kept = filters.scope(stored, ["L1"], "2020/21", "2021/22")
     assert kept.count() == 100
     text = plan(kept)
     assert "season" in text[text.index("PartitionFilters"):].split("]")[0]
@@ -40,8 +40,8 @@ def test_sides_scan_once_and_stay_narrow(stored):
 
 def test_team_filter_moves_below_the_window(stored):
     form = stored.withColumn("n", F.row_number().over(Window.partitionBy("HomeTeam").orderBy("match_id")))
-    text = plan(form.filter(F.col("HomeTeam") == "A"))
-    assert "EqualTo(HomeTeam,A)" in text
+    text = plan(form.filter(F.col("HomeTeam") == "North"))
+    assert "EqualTo(HomeTeam,North)" in text
 
 
 def test_rejoin_shuffles_each_input_once(spark, stored):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchform.functions import scalars as S
 from matchform.operators import backtest, scoring
-from tests.frames import seeded_seasons
+from tests.frames import priced_seasons
 
 PROBS = ["h", "d", "a"]
 
@@ -79,7 +79,7 @@ def test_priors_have_zero_for_an_absent_class(spark):
 
 
 def test_rows_without_a_probability_are_not_scored(spark):
-    pdf = seeded_seasons(1, 20)
+    pdf = priced_seasons(1, 20)
     df = spark.createDataFrame(pdf)
     model = {p: F.when(F.col("match_id") > 4, F.col(m)) for p, m in zip(scoring.MODEL_PROBS, scoring.MARKET_PROBS)}
     scored = scoring.add_scores(df.withColumns(model))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from matchform.operators import folds, models, scoring, selection
 from matchform.plans.training import train_and_evaluate
 from matchform.sources.result_store import load_results
-from tests.frames import seeded_seasons
+from tests.frames import priced_seasons
 
 FAST = selection.Settings(kind="logistic", max_selected=2)
 SMALL_SPACE = {"num_leaves": [7], "max_depth": [3], "min_child_samples": [20], "reg_lambda": [0.0]}
@@ -18,7 +18,7 @@ MARKET = ["market_home_prob_fair", "market_away_prob_fair"]
 
 @pytest.fixture(scope="module")
 def seasons(spark):
-    return spark.createDataFrame(seeded_seasons()).cache()
+    return spark.createDataFrame(priced_seasons()).cache()
 
 
 def test_folds():
@@ -53,6 +53,28 @@ def test_correlations_equal_pandas(spark):
     assert len(found) == 10
 
 
+def test_an_outlier_without_partner_changes_nothing(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(size=400)})
+    pdf["b"] = pdf["a"] + rng.normal(0, 0.05, 400)
+    pdf.loc[400] = [-1e7, np.nan]
+    pdf["tiny"], pdf["flat"] = pdf["b"] * 1e-100, 0.1
+    found = {(r["left"], r["right"]): r["correlation"] for r in folds.correlation_pairs(spark.createDataFrame(pdf), list(pdf)).collect()}
+    assert found["a", "b"] == pytest.approx(pdf["a"].corr(pdf["b"])) and found["a", "b"] > 0.99
+    assert found["b", "tiny"] == pytest.approx(1.0) and found["a", "flat"] is None
+    assert folds.drop_correlated(spark.createDataFrame(pdf), ["a", "b"], ["a", "b"], 0.9) == ["a"]
+
+
+def test_a_million_names_are_coded_without_the_driver(spark):
+    rows = spark.range(1_000_000).select(F.concat(F.lit("club "), "id").alias("HomeTeam"), F.when(F.col("id") % 2 == 0, "H").otherwise("A").alias("FTR"))
+    data = models.encode(rows, ["HomeTeam"])
+    rates = models.category_rates(data.rows, "HomeTeam")
+    coded = models.with_rates(data.rows.limit(1000), "HomeTeam", rates)
+    assert "SinglePartition" not in rates._jdf.queryExecution().executedPlan().toString()
+    ends = {(r["FTR"], round(r["__HomeTeam_home"], 6)) for r in coded.collect()}
+    assert ends == {("H", round((1 + 10 / 3) / 11, 6)), ("A", round(10 / 3 / 11, 6))}
+
+
 def test_redundant_candidates_are_dropped(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.normal(size=200)})
@@ -80,7 +102,7 @@ def test_parameters():
 def test_no_features_scores_the_priors(spark, seasons):
     data = selection.prepare(seasons, MARKET, FAST)
     labels = folds.ordered_seasons(seasons)
-    found = selection.inner_score(data, labels[:2], [], {}, FAST)
+    found = selection.mean_loss([selection.split_at(data, labels[:1], labels[1], FAST)], [], {}, FAST)
     pdf = seasons.toPandas()
     prior = pdf[pdf["season"] == labels[0]]["FTR"].value_counts(normalize=True)
     expected = np.mean([-math.log(prior[o]) for o in pdf[pdf["season"] == labels[1]]["FTR"]])
@@ -94,6 +116,7 @@ def test_walk_forward(spark, seasons):
     assert best["cv_fold_count"] == 2 and found.holdout_season == "2023/24"
     assert set(best["last_fold_features"]) <= set(features)
     assert "2023/24" not in {row["validation_season"] for row in found.selections}
+    assert {t.feature for t in found.trials if t.fold == 2} == set(best["last_fold_features"])
     # The outcomes follow the market's probabilities, so one of them must be found and beat the priors.
     assert {"market_home_prob_fair", "market_away_prob_fair"} & set(best["last_fold_features"])
 

@@ -38,14 +38,24 @@ def test_seasons_are_tagged_by_path(spark, feeds):
     assert {(r["season"], r["HomeTeam"]) for r in df.collect()} == {("2025/26", "A"), ("2026/27", "B")}
 
 
+def test_lines_without_text_are_rows(spark, feeds):
+    from pathlib import Path
+
+    Path(f"{feeds}/m/E0/2728.csv").write_text(f"{PLAIN}\n,,,,,3,1,,,,2.5,,\n\n,,,,,,,,9,,,,\n,,,,,,,,,,,,\n")
+    rows = csv_feeds.read_matches(spark, f"{feeds}/m", ["E0"], ["2728"]).collect()
+    assert sorted(((r["FTHG"], r["HS"], r["AvgH"], r["season"]) for r in rows), key=repr) == [
+        (3, None, 2.5, "2027/28"), (None, 9, None, "2027/28"), (None, None, None, "2027/28")
+    ]
+
+
 def test_bad_requests(spark, feeds):
-    with pytest.raises(ValueError, match="four-digit"):
+    with pytest.raises(ValueError, match="four digits"):
         csv_feeds.read_matches(spark, f"{feeds}/m", ["E0"], ["25"])
     with pytest.raises(FileNotFoundError):
         csv_feeds.read_matches(spark, f"{feeds}/m", ["D1"], ["2627"])
-    with pytest.raises(ValueError, match="prefix"):
+    with pytest.raises(ValueError, match="no xG feed"):
         csv_feeds.read_xg(spark, f"{feeds}/x", ["N1"], 25, 26)
-    with pytest.raises(ValueError, match="No xG"):
+    with pytest.raises(ValueError, match="at least one"):
         csv_feeds.read_xg(spark, f"{feeds}/x", ["E0"], 25, 25)
 
 
@@ -76,8 +86,8 @@ def test_feature_table_round_trip(spark, tmp_path):
     assert feature_store.write_features(df, path) == 2
     back = feature_store.load_features(spark, path, with_categories=True)
     assert dict(back.dtypes)["season"] == "string"
-    codes = {r["HomeTeam"]: r["__index_HomeTeam"] for r in back.collect()}
-    assert codes == {"A": 0.0, "B": 1.0}
+    codes = {r["HomeTeam"]: (r["index_HomeTeam"], r["index_Referee"]) for r in back.collect()}
+    assert codes == {"A": (0, 0), "B": (1, None)}
     assert feature_store.write_features(df.filter("match_id = 1"), path) == 1
     assert feature_store.load_features(spark, path).count() == 1
 
