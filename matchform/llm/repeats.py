@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchform.llm.texts import RangeHash, blocks, column_of, keyed, text_bytes, word_spans
+from matchform.llm.texts import RangeHash, blocks, column_of, keyed, release, text_bytes, word_spans
 from matchform.session import checkpointed
 
 SECOND_BASE = 0x2545F4914F6CDD1D
@@ -195,31 +195,45 @@ class Groups:
         return pa.RecordBatch.from_arrays([pa.array(rows[n].astype(np.int64)) if n in rows else pa.nulls(count, pa.int64()) for n in names], names)
 
 
-def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: bool) -> DataFrame:
-    """``keyed`` documents with ``spans``: (start, length) in symbols of what repeated windows cover.
-
-    A window counts if it also stands in a document with a smaller id, or with ``elsewhere`` in any
-    other place. Documents without such a window have null spans.
-    """
-    texts = keyed(documents)
+def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
+    """Segments whose anchor occurs more than once."""
     found = occurrences(texts, kind)
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    found = checkpointed(found.join(shared, "anchor"))
+    times = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"))
+    # Written first, so that the join reads two plain shuffles and an anchor that many segments have can be split.
+    shared = checkpointed(times.where("times > 1").select("anchor"))
+    return checkpointed(found.join(shared, "anchor"))
+
+
+def _runs(texts: DataFrame, found: DataFrame, groups: Groups) -> DataFrame:
+    """Runs of repeated windows in the classes of segments, and single windows of lengthened keys."""
     classes = found.groupBy("anchor", "content", "windows").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "version", "begin", "stop")).alias("of")
     )
     wanted = classes.groupBy(F.col("of.doc_id").alias("doc_id"), F.col("of.version").alias("version")).agg(
         F.collect_list(F.struct("anchor", "content", "windows", "copies", "of.begin", "of.stop")).alias("classes")
     )
-    # The class texts are cut out of the documents they first stand in; the same shuffle of the texts serves the end.
+    # A class's text is cut out of the first document it stands in.
     cut = texts.join(wanted, ["doc_id", "version"]).select("doc_id", F.col("text").cast("binary").alias("text"), F.explode("classes").alias("c"))
     cut = cut.select(
         "c.anchor", "c.content", "c.windows", "c.copies", F.col("doc_id").alias("least"),
         F.expr("substring(text, cast(c.begin as int) + 1, cast(c.stop - c.begin as int))").alias("text"),
     )
-    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "content", "windows")
-    runs = checkpointed(dealt.mapInArrow(groups, RUNS))
+    return checkpointed(dealt.mapInArrow(groups, RUNS))
+
+
+def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: bool) -> DataFrame:
+    """``keyed`` documents with ``spans``: (start, length) in symbols of what repeated windows cover.
+
+    A window counts if it also stands in a document with a smaller id, or with ``elsewhere`` in any
+    other place. Documents without such a window have null spans.
+    """
+    spark, texts = documents.sparkSession, keyed(documents)
+    found = _shared(texts, kind)
+    release(spark)
+    runs = _runs(texts, found, groups)
+    release(spark)
     key = ["anchor", "content", "windows"]
     long_runs = runs.where("one is not null")
     totals = long_runs.groupBy("one", "two").agg(F.sum("copies").alias("total"), F.min("least").alias("lowest")).where("total > 1")
