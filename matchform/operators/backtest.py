@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from matchform.functions import scalars as S
 from matchform.operators.ordering import BLOCK_ROWS, cut_blocks, running_sums
 from matchform.operators.scoring import MARKET_PROBS, MODEL_PROBS
+from matchform.session import checkpointed
 
 BEST_ODDS = ("best_odds_home", "best_odds_draw", "best_odds_away")
 FAVOURITE = "Model favourite"
@@ -111,10 +112,11 @@ def settled_bets(
 def cumulative_pnl(settled: DataFrame, **limits) -> DataFrame:
     """Running profit per strategy.
 
-    A handful of strategies share all bets, so their groups are cut into blocks unmeasured.
+    A handful of strategies share all bets, so their groups are cut into blocks. The sort reads its input
+    twice, so the bets are written first.
     """
     return running_sums(
-        settled, ("strategy",), PNL_ORDER, {"cumulative_profit": F.col("profit")}, hot=True, **limits
+        checkpointed(settled), ("strategy",), PNL_ORDER, {"cumulative_profit": F.col("profit")}, hot=True, **limits
     )
 
 
@@ -124,9 +126,8 @@ def bet_summary(settled: DataFrame, stake: float = 10.0, block_rows: int = BLOCK
     The fall is found from four numbers per block (sum, highest, lowest and inner fall of the
     block's own running sum), so only one row per block is ever ordered across blocks.
     """
-    blocks = cut_blocks(
-        settled.select("strategy", *PNL_ORDER, "won", "profit"), ("strategy",), PNL_ORDER, block_rows
-    )
+    bets = checkpointed(settled.select("strategy", *PNL_ORDER, "won", "profit"))
+    blocks = cut_blocks(bets, ("strategy",), PNL_ORDER, block_rows)
     so_far = blocks.window.rowsBetween(Window.unboundedPreceding, 0)
     inner = blocks.rows.withColumn("run", F.sum("profit").over(so_far)).withColumn(
         "peak", F.max("run").over(so_far)
