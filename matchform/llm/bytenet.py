@@ -24,7 +24,7 @@ CHUNK = 2 * HOP
 PAD = 256
 SLAB = 1 << 14
 # At most this many labelled documents are collected for fitting.
-SAMPLE = 2000
+SAMPLE = 4000
 THRESHOLD = 0.7
 
 
@@ -159,8 +159,20 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
     return [by_filters.reshape(net.filters.shape), by_offset, by_hidden, by_hidden_offset, by_output, by_output_offset]
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 400, size: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
-    """Train on labelled texts (1: keep) by Adam; each step draws as many texts of one label as of the other."""
+def _short_piece(text: bytes, rng: np.random.Generator) -> bytes:
+    """Up to a dozen neighbouring words."""
+    words = text.split(b" ")
+    at = rng.integers(len(words))
+    return b" ".join(words[at : at + rng.integers(1, 13)])
+
+
+def fit(
+    texts: list[bytes], labels: list[int], steps: int = 700, size: int = 48, pieces: int = 8, rate: float = 0.01, seed: int = 7
+) -> Network:
+    """Train on labelled texts (1: keep) by Adam; each step draws as many texts of one label as of the other.
+
+    Few good texts are very short, so every step adds ``pieces`` of a few words each, cut from good ones.
+    """
     net, rng = untrained(seed=seed), np.random.default_rng(seed)
     labels = np.asarray(labels)
     sides = [np.flatnonzero(labels == side) for side in (0, 1)]
@@ -172,7 +184,11 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 400, size: int = 48,
     for step in range(1, steps + 1):
         drawn = np.concatenate([rng.choice(side, size // len(sides)) for side in sides])
         pace = rate * min(1, 2 * (1 - step / (steps + 1)))
-        for p, g, m, v in zip(net.parts(), _gradients(net, [texts[i] for i in drawn], labels[drawn]), first, second):
+        batch, marks = [texts[i] for i in drawn], labels[drawn]
+        good = drawn[marks == 1][:pieces]
+        batch += [_short_piece(texts[i], rng) for i in good]
+        marks = np.concatenate((marks, np.ones(len(good), marks.dtype)))
+        for p, g, m, v in zip(net.parts(), _gradients(net, batch, marks), first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
