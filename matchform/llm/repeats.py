@@ -105,7 +105,10 @@ def occurrences(documents: DataFrame, kind: Windows) -> DataFrame:
     return documents.mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "version", *NUMBERS)))
 
 
-RUNS = "anchor long, content long, windows long, first long, length long, least long, one long, two long, copies long"
+CLASS = ("anchor", "content", "windows")
+RUN = "struct<first: long, length: long, least: long>"
+# A class with its runs of repeated windows; or, where the key is lengthened, one window of a class and its two hashes.
+RUNS = f"anchor long, content long, windows long, runs array<{RUN}>, one long, two long, copies long"
 
 
 class Groups:
@@ -174,25 +177,35 @@ class Groups:
         new = more.copy()
         new[1:] &= ~more[:-1] | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
         first = np.flatnonzero(new)
-        length = np.add.reduceat(more, first).astype(np.int64) if len(first) else first
-        if len(first):  # a run ends where the next begins, even if no gap lies between
-            step = np.diff(np.append(first, len(more)))
-            length = np.minimum(length, step)
-        return self._batch({n: columns[n][owner[first]] for n in ("anchor", "content", "windows")} | {"first": offset[first], "length": length, "least": least[first]})
+        if not len(first):
+            return self._batch({n: first for n in CLASS} | {"runs": self._runs(first, first, first, first)})
+        # A run ends where the next begins, even if no gap lies between.
+        length = np.minimum(np.add.reduceat(more, first), np.diff(np.append(first, len(more))))
+        per_class = np.bincount(owner[first], minlength=len(columns["windows"]))
+        kept = np.flatnonzero(per_class)
+        runs = self._runs(per_class[kept], offset[first], length, least[first])
+        return self._batch({n: columns[n][kept] for n in CLASS} | {"runs": runs})
+
+    @staticmethod
+    def _runs(counts: np.ndarray, first: np.ndarray, length: np.ndarray, least: np.ndarray) -> pa.ListArray:
+        """Lists of so many runs each."""
+        parts = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in (first, length, least)], ["first", "length", "least"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), parts)
 
     def _lengthened(self, held: pa.RecordBatch) -> pa.RecordBatch:
         symbols, bounds, columns, owner, offset = self._read(held)
         at = bounds[owner] + offset
-        rows = {n: columns[n][owner] for n in ("anchor", "content", "windows", "least", "copies")}
-        rows |= {"first": offset, "length": np.ones(len(offset), np.int64)}
+        rows = {n: columns[n][owner] for n in (*CLASS, "copies")}
+        one = np.ones(len(offset), np.int64)
+        rows["runs"] = self._runs(one, offset, one, columns["least"][owner])
         rows |= {n: RangeHash(symbols, base)(at, at + self.kind.length).view(np.int64) for n, base in (("one", SECOND_BASE), ("two", SECOND_BASE * 3 % 2**64))}
         return self._batch(rows)
 
     @staticmethod
-    def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        names = [part.split()[0] for part in RUNS.split(", ")]
-        count = len(rows["anchor"])
-        return pa.RecordBatch.from_arrays([pa.array(rows[n].astype(np.int64)) if n in rows else pa.nulls(count, pa.int64()) for n in names], names)
+    def _batch(rows: dict) -> pa.RecordBatch:
+        names, count = [*CLASS, "runs", "one", "two", "copies"], len(rows["anchor"])
+        columns = [rows["runs"] if n == "runs" else pa.array(rows[n].astype(np.int64)) if n in rows else pa.nulls(count, pa.int64()) for n in names]
+        return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
@@ -234,17 +247,19 @@ def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: boo
     release(spark)
     runs = _runs(texts, found, groups)
     release(spark)
-    key = ["anchor", "content", "windows"]
-    long_runs = runs.where("one is not null")
-    totals = long_runs.groupBy("one", "two").agg(F.sum("copies").alias("total"), F.min("least").alias("lowest")).where("total > 1")
-    long_runs = long_runs.join(totals, ["one", "two"]).select(*key, "first", "length", F.col("lowest").alias("least"))
-    runs = runs.where("one is null").select(*key, "first", "length", "least").union(long_runs)
-    spans = found.select(*key, "doc_id", "version", "start").join(runs, key)
-    if not elsewhere:
-        spans = spans.where("least < doc_id")
-    spans = spans.groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("length") + (kind.length - 1)).alias("length"))).alias("spans")
+    single = F.col("runs")[0]
+    long_runs = runs.where("one is not null").select(*CLASS, "one", "two", "copies", single.alias("run"))
+    totals = long_runs.groupBy("one", "two").agg(F.sum("copies").alias("total"), F.min("run.least").alias("lowest")).where("total > 1")
+    long_runs = long_runs.join(totals, ["one", "two"]).groupBy(*CLASS).agg(
+        F.collect_list(F.struct("run.first", "run.length", F.col("lowest").alias("least"))).alias("runs")
     )
+    runs = runs.where("one is null").select(*CLASS, "runs").union(long_runs)
+    # One row for each place of a class, however many runs it has.
+    placed = found.select(*CLASS, "doc_id", "version", "start").join(runs, list(CLASS))
+    counted = F.col("runs") if elsewhere else F.filter("runs", lambda run: run["least"] < F.col("doc_id"))
+    own = F.transform(counted, lambda run: F.struct((F.col("start") + run["first"]).alias("start"), (run["length"] + (kind.length - 1)).alias("length")))
+    spans = placed.select("doc_id", "version", own.alias("spans")).where(F.size("spans") > 0)
+    spans = spans.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return texts.join(spans, ["doc_id", "version"], "left")
 
 
