@@ -39,9 +39,13 @@ def public_id(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage.
+
+    Python's objects let go of the JVM's with the next call, so it takes two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
