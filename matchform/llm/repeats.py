@@ -217,6 +217,31 @@ def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
     return checkpointed(found.join(shared, "anchor"))
 
 
+# Places of a class that travel in one row.
+PLACES = 64
+
+
+def _bundled(found: DataFrame) -> DataFrame:
+    """Places of equal classes in lists of bounded length, made where the rows lie: a class with many places joins as few rows."""
+    names = ("doc_id", "version", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [column_of(batch, n).to_numpy() for n in CLASS]
+            order = np.lexsort(keys)
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+            head = np.flatnonzero(new)
+            nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+            head = np.flatnonzero(nth % PLACES == 0)
+            places = pa.StructArray.from_arrays([column_of(batch, n).take(pa.array(order)) for n in names], list(names))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), places)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[order][head]) for k in keys), lists], [*CLASS, "places"])
+
+    kinds = ", ".join(f"{n} long" for n in CLASS) + ", places array<struct<doc_id: long, version: long, start: long>>"
+    return found.select(*CLASS, *names).mapInArrow(run, kinds)
+
+
 def _runs(texts: DataFrame, found: DataFrame, groups: Groups) -> DataFrame:
     """Runs of repeated windows in the classes of segments, and single windows of lengthened keys."""
     classes = found.groupBy("anchor", "content", "windows").agg(
@@ -254,8 +279,10 @@ def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: boo
         F.collect_list(F.struct("run.first", "run.length", F.col("lowest").alias("least"))).alias("runs")
     )
     runs = runs.where("one is null").select(*CLASS, "runs").union(long_runs)
-    # One row for each place of a class, however many runs it has.
-    placed = found.select(*CLASS, "doc_id", "version", "start").join(runs, list(CLASS))
+    # Bundles of places are dealt out evenly before each place gets its spans.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = _bundled(found).join(runs, list(CLASS)).select("places", "runs").repartition(tasks, F.xxhash64("places"))
+    placed = placed.select("runs", F.explode("places").alias("at")).select("runs", "at.*")
     counted = F.col("runs") if elsewhere else F.filter("runs", lambda run: run["least"] < F.col("doc_id"))
     own = F.transform(counted, lambda run: F.struct((F.col("start") + run["first"]).alias("start"), (run["length"] + (kind.length - 1)).alias("length")))
     spans = placed.select("doc_id", "version", own.alias("spans")).where(F.size("spans") > 0)
