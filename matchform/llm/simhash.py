@@ -262,13 +262,12 @@ def near_duplicates(documents: DataFrame, distance: int = 4, words: int = 4) ->
     )
 
 
-def representatives(documents: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
-    """The documents, with all their columns, that come first in their component: one row of each.
+def first_rows(documents: DataFrame, joined: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that come first under a ``root`` (by ``least``): one row of each.
 
     The first has the smallest id (null last), then the smallest hash of the text; of rows equal in both
     any one stays.
     """
-    _, joined = _components(documents, distance, words)
     first = joined.groupBy("root").agg(F.min("least").alias("of")).select(F.col("of.doc_id").alias("own_id"), F.col("of.version").alias("own_version"))
     own_id = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NO_ID))
     own_version = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
