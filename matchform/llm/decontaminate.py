@@ -51,6 +51,17 @@ def share(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
     return float(np.isin(wanted, RangeHash(words).sliding(width)).mean()) if width else 1.0
 
 
+def aligned(item: np.ndarray, words: np.ndarray) -> float:
+    """One less the share of an item's words that must be changed, left out or added to make a stretch of the words."""
+    steps = np.arange(len(words) + 1)
+    cost = np.zeros(len(words) + 1, np.int64)
+    for word in item:
+        new = cost + 1
+        new[1:] = np.minimum(new[1:], cost[:-1] + (words != word))
+        cost = np.minimum.accumulate(new - steps) + steps
+    return 1 - int(cost.min()) / len(item)
+
+
 @dataclass
 class Index:
     """Postings of a set of items by term, their bounds, and what verification needs."""
@@ -65,6 +76,7 @@ class Index:
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
     longest: int
+    whole: list[np.ndarray]  # all words of every item
 
 
 def build_index(ids: list[int], texts: list[str], answers: list[str | None] | None = None) -> Index | None:
@@ -98,7 +110,7 @@ def build_index(ids: list[int], texts: list[str], answers: list[str | None] | No
     bound = np.zeros((len(terms), -(-len(words) // BLOCK_ITEMS)), np.float32)
     np.maximum.at(bound, (term, item // BLOCK_ITEMS), impact)
     first = np.searchsorted(term, np.arange(len(terms) + 1))
-    return Index(np.array(kept), terms, first, item, impact, bound.max(axis=1), bound, question, answer, int(lengths.max()))
+    return Index(np.array(kept), terms, first, item, impact, bound.max(axis=1), bound, question, answer, int(lengths.max()), words)
 
 
 def _distinct_terms(index: Index, words: np.ndarray, first: np.ndarray):
@@ -155,13 +167,16 @@ def search(index: Index, words: np.ndarray, first: np.ndarray, threshold: float)
                     yield row, int(passage[start] - base[row]) * index.longest, item, score
 
 
-def matches(index: Index, words: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
-    """Verified (row, item, score, question overlap, answer overlap, first word); of an item's passages in a row the best."""
+def matches(index: Index, words: np.ndarray, first: np.ndarray, threshold: float, overlap: float, whole: bool = False) -> list[tuple]:
+    """Verified (row, item, score, question overlap, answer overlap, first word); of an item's passages in a row the best.
+
+    ``whole``: an item is also found where its words, aligned as one, have the overlap.
+    """
     best: dict[tuple[int, int], tuple] = {}
     for row, start, item, score in search(index, words, first, threshold):
         text = words[first[row] + start : min(first[row] + start + 2 * index.longest, first[row + 1])]
         shares = [share(part, text) for part in (index.question[item], index.answer[item])]
-        if min(shares) >= overlap:
+        if min(shares) >= overlap or whole and aligned(index.whole[item], text) >= overlap - 1e-9:
             found = (row, item, score, *shares, start)
             best[row, item] = max(best.get((row, item), found), found, key=lambda f: (f[2], -f[5]))
     return list(best.values())
@@ -188,23 +203,28 @@ def indexes(benchmark: DataFrame, size: int = INDEX_ITEMS) -> Iterator[Index]:
         yield index
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(
+    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: bool = False
+) -> DataFrame:
     """One row for each document and test item it contains: ``doc_id``, ``item_id``, scores and place.
 
     Passages are twice as long as the longest item and overlap by its length, so an item lies whole in
     one of them. A hit has a BM25 share of at least ``threshold``, and at least ``overlap`` of the
-    five-word shingles of the question and of the answer lie in the passage. Null and empty texts have
+    five-word shingles of the question and of the answer lie in the passage. With ``whole``, an item without
+    a given answer is also found where at most 1 - ``overlap`` of its words are changed, left out or added;
+    the two overlaps remain those of its parts. Null and empty texts have
     no rows, repeated documents have a row each, a null item id is shown as -1, items without words are
     never found, and other columns are ignored. Items are broadcast in indexes of bounded size; a longer
     test set takes several passes.
     """
+    whole = whole and "answer" not in benchmark.columns
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def over(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches):
                 words, first = word_hashes(*text_bytes(column_of(batch, "text")))
-                found = matches(index, words, first, threshold, overlap)
+                found = matches(index, words, first, threshold, overlap, whole)
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [column_of(batch, "doc_id").take(rows), pa.array([int(index.item_ids[f[1]]) for f in found], pa.int64())]
@@ -221,8 +241,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     return found if found is not None else documents.sparkSession.createDataFrame([], SCHEMA)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def clean(
+    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: bool = False
+) -> DataFrame:
     """The documents, with all their columns, that contain no test item."""
+    whole = whole and "answer" not in benchmark.columns
     at, schema = documents.columns.index("text"), documents.schema
 
     def without(index):
@@ -230,7 +253,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for batch in blocks(batches):
                 words, first = word_hashes(*text_bytes(batch.column(at)))
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in matches(index, words, first, threshold, overlap)]] = False
+                keep[[f[0] for f in matches(index, words, first, threshold, overlap, whole)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
