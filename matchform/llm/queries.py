@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchform.llm import archives, bytenet, chat, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
+from matchform.llm import alignment, archives, bytenet, chat, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,9 @@ def op3(spark, folder):
 @query("op5_arc_to_warc", ARCHIVE_SQL)
 def op5(spark, folder):
     return archives.archived(table(spark, folder, "pages"))
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, folder, "documents"), a, b)
