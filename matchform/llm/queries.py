@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchform.llm import alignment, archives, bytenet, chat, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
+from matchform.llm import alignment, archives, bytenet, chat, collocations, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,25 @@ SELECT doc_id, cast(length(h) // 2 AS BIGINT) AS n_bytes, cast(coalesce(n_remove
   sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256 FROM docs LEFT JOIN cut USING (doc_id)"""
 
 
+PHRASES_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+f AS (SELECT lang, list_slice(w, i, i + k - 1) AS ws, count(*) AS a FROM places, range(1, 5) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, cast(sum(a) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE len(ws) > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.ws, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k) JOIN f r ON r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, len(c.ws))),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+around AS (SELECT lang, list_slice(ws, i, i + k - 1) AS ws, max(a) AS most FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i
+  FROM (SELECT *, unnest(range(2, len(ws))) AS k FROM candidates)) GROUP BY ALL),
+ranked AS (SELECT lowest.lang, array_to_string(lowest.ws, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN around ON around.lang = lowest.lang AND around.ws = lowest.ws
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, cast(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -142,3 +161,8 @@ def op5(spark, folder):
 def op12(spark, folder):
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.aligned(table(spark, folder, "documents"), a, b)
+
+
+@query("op13_phrase_collocations", PHRASES_SQL)
+def op13(spark, folder):
+    return collocations.phrases(table(spark, folder, "documents"))
