@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchform.llm import alignment, archives, bytenet, chat, collocations, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
+from matchform.llm import alignment, archives, bytenet, chat, collocations, contexts, decontaminate, licences, linecrf, packing, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,8 @@ def op12(spark, folder):
 @query("op13_phrase_collocations", PHRASES_SQL)
 def op13(spark, folder):
     return collocations.phrases(table(spark, folder, "documents"))
+
+
+@query("op11_suffix_tree_scores")
+def op11(spark, folder):
+    return contexts.judged(table(spark, folder, "documents"))
