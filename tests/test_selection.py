@@ -95,8 +95,9 @@ def test_parameters():
     assert models.clean_params({"max_depth": 3.0, "param_id": 7, "subsample": 0.7}) == {"max_depth": 3, "subsample": 0.7}
     with pytest.raises(ValueError):
         models.clean_params({"n_estimators": 10})
-    settings = models.stage_params("boosted", {"num_leaves": 7, "max_depth": 6, "learning_rate": 0.05, "colsample_bytree": 1.0})
-    assert settings == {"maxDepth": 3, "featureSubsetStrategy": "all", "stepSize": 0.05}
+    given = {"num_leaves": 7, "max_depth": 6, "learning_rate": 0.05, "colsample_bytree": 1.0}
+    assert models.stage_params("forest", given) == {"maxDepth": 3, "featureSubsetStrategy": "all"}
+    assert models.boosted_params(given | {"param_id": 3}).depth == 3 and models.boosted_params({}).learning_rate == 0.1
 
 
 def test_no_features_scores_the_priors(spark, seasons):
@@ -121,6 +122,24 @@ def test_walk_forward(spark, seasons):
     assert {"market_home_prob_fair", "market_away_prob_fair"} & set(best["last_fold_features"])
 
 
+def test_walk_forward_side_by_side_equals_one_by_one(spark, seasons):
+    """Boosted fits of a step share their jobs; each must be what a fit of its own gives."""
+    settings = replace(FAST, kind="boosted", trees=4)
+    data = selection.prepare(seasons, ["HomeTeam", *MARKET], settings)
+    labels = folds.ordered_seasons(data.rows)
+    bench = selection.bench_of(data, labels, ["HomeTeam", *MARKET], settings)
+    params = {"max_depth": 3, "num_leaves": 7, "min_child_samples": 10, "learning_rate": 0.2}
+    wanted = [(MARKET, labels[:2], labels[2]), (["HomeTeam"], labels[:3], labels[3])]
+    together = bench.losses(wanted, params, settings)
+    for ask, pair in zip(wanted, together):
+        assert bench.losses([ask], params, settings)[0] == pytest.approx(pair)
+    alone = selection.losses(selection.split_at(data, labels[:2], labels[2], settings), MARKET, params, settings)
+    assert alone[0] == pytest.approx(together[0][0], abs=0.02)
+    found = selection.walk_forward(seasons, ["HomeTeam", *MARKET], settings, count=1)
+    assert {"market_home_prob_fair", "market_away_prob_fair"} & set(found.results[0]["last_fold_features"])
+    assert found.results[0]["mean_log_loss"] < found.trials[0].inner_loss + 0.5
+
+
 def test_groups_limit_candidates(spark, seasons):
     found = selection.walk_forward(
         seasons, MARKET, FAST, count=1, groups={"one": ["market_home_prob_fair"]}, space=SMALL_SPACE
