@@ -13,6 +13,8 @@ from matchform.llm.texts import column_of, mixed
 
 # A set of hashes has 2**26 bits (8 MB), however many members; a full one lets more strangers through, never fewer members.
 BITS = 26
+# Most frequent words that are sent as their rank, whatever the size of the corpus; others are sent as hashes.
+RANKED = 49_152
 
 
 def packed(arrays: Sequence[np.ndarray]) -> bytes:
@@ -86,3 +88,35 @@ class HashBits:
         words = np.zeros(1 << (BITS - 6), np.uint64)
         words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
         return cls(words)
+
+
+class Ranks:
+    """Codes of words: zero for none, then the ranks of the most frequent, then places in a bundle's own list of others."""
+
+    def __init__(self, hashes: np.ndarray):
+        """``hashes`` in the order of their frequency."""
+        self.hashes = np.append(np.uint64(0), hashes)
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Codes of ranked words; -1 for others."""
+        place = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[place] == words, self.order[place], -1)
+
+    def bundle(self, words: np.ndarray, codes: np.ndarray, times: np.ndarray) -> bytes:
+        other = codes < 0
+        own, number = np.unique(words[other], return_inverse=True)
+        codes = codes.copy()
+        codes[other] = len(self.hashes) + number
+        return packed([own, small(codes.reshape(-1)), small(times)])
+
+    def words(self, data: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        own, codes, times = unpacked(data)
+        return np.concatenate((self.hashes, own))[codes].reshape(rows, -1), times.astype(np.int64)
+
+    @classmethod
+    def of(cls, counts: DataFrame, word: str, times: str) -> Ranks:
+        """The most frequent words of a table of counts."""
+        top = counts.orderBy(F.desc(times), word).limit(RANKED).select(word).toArrow()
+        return cls(top[word].to_numpy().view(np.uint64))

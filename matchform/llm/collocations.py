@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from matchform.llm.bundles import HashBits, cut_out, heads, joined, packed, small, unpacked
+from matchform.llm.bundles import HashBits, Ranks, cut_out, heads, joined
 from matchform.llm.decontaminate import FOLD
 from matchform.llm.texts import RangeHash, blocks, column_of, mixed, release, text_bytes, word_spans
 from matchform.session import checkpointed
@@ -29,7 +29,7 @@ BETWEEN[[0x20, 0x09]] = True
 LONGEST, LEAST, SHARE, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 NO_LANG = "und"
 # Words whose pointers are summed before they are sent, pointers of a bucket, the most leading phrases dealt out further.
-RUN, BUCKET, HOT = 1 << 21, 1 << 20, 1 << 16
+RUN, BUCKET, HOT = 1 << 21, 1 << 19, 1 << 16
 # Parts in which a language's best are found before all of them are ranked.
 PARTS = 64
 WORDS = "lang string, word string, hash long, leading int, times long"
@@ -153,24 +153,23 @@ def pointers(own: Words, frequent: HashBits) -> np.ndarray:
     return words
 
 
-def _bundles(documents: DataFrame, frequent, routes: Routes, limit: int) -> DataFrame:
+def _bundles(documents: DataFrame, frequent, routes: Routes, ranks, limit: int) -> DataFrame:
     """Pointers with their counts, summed in each run of texts and bundled by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, limit):
             words = np.concatenate([pointers(own, frequent.value) for own in part], axis=1)
             route = routes(words)
-            full = joined(joined(joined(words[0], words[1]), words[2]), words[3])
-            order = np.lexsort((full, route))
-            first = heads(full[order])
+            order = np.lexsort((joined(joined(joined(words[0], words[1]), words[2]), words[3]), route))
+            words, route = words[:, order], route[order]
+            first = np.ones(len(order), bool)
+            first[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+            first = np.flatnonzero(first)
             times = np.diff(np.append(first, len(order)))
-            order = order[first]
-            words, bucket = words[:, order], routes.bucket(route[order])
-            begin = heads(bucket)
-            rows = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)] if len(order) else []):
-                own, codes = np.unique(words[:, a:b], return_inverse=True)
-                rows.append(packed([own, small(codes.reshape(-1)), small(times[a:b])]))
+            words, bucket = words[:, first], routes.bucket(route[first])
+            codes, begin = ranks.value.codes(words), heads(bucket)
+            stops = [*begin[1:].tolist(), len(first)] if len(first) else []
+            rows = [ranks.value.bundle(words[:, a:b], codes[:, a:b], times[a:b]) for a, b in zip(begin.tolist(), stops)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "data"])
 
@@ -241,7 +240,7 @@ def _frequent(words: np.ndarray, times: np.ndarray, routes: Routes, least: int)
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64())], ["words", "times"])
 
 
-def phrase_counts(bundles: DataFrame, routes: Routes, least: int) -> DataFrame:
+def phrase_counts(bundles: DataFrame, routes: Routes, ranks, least: int) -> DataFrame:
     """``words`` (hashes) and ``times`` of all phrases of two to four words that occur at least ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +256,9 @@ def phrase_counts(bundles: DataFrame, routes: Routes, least: int) -> DataFrame:
             yield searched(held)
 
     def searched(data: list[bytes]) -> pa.RecordBatch:
-        parts = [unpacked(d) for d in data]
-        words = np.concatenate([own[codes].reshape(LONGEST, -1) for own, codes, _ in parts], axis=1)
-        return _frequent(words, np.concatenate([times for *_, times in parts]).astype(np.int64), routes, least)
+        parts = [ranks.value.words(d, LONGEST) for d in data]
+        words, times = (np.concatenate(columns, axis=-1) for columns in zip(*parts))
+        return _frequent(words, times, routes, least)
 
     tasks = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = bundles.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PHRASES)
@@ -314,7 +313,8 @@ def phrases(documents: DataFrame, least: int = LEAST, share: int = SHARE, scale:
     routes = Routes(known[2], known[3], buckets)
     single = counted.where("leading = 1")
     frequent = spark.sparkContext.broadcast(HashBits.of(single, "hash"))
-    found = checkpointed(phrase_counts(_bundles(documents, frequent, routes, run), routes, least))
+    ranks = spark.sparkContext.broadcast(Ranks.of(single, "hash", "times"))
+    found = checkpointed(phrase_counts(_bundles(documents, frequent, routes, ranks, run), routes, ranks, least))
     release(spark)
     judged = _scored(found, single, scale).join(_inside(found), "words", "left")
     free = F.coalesce(F.col("around").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * share, F.lit(True))

@@ -104,3 +104,11 @@ def test_bundles_and_bits(spark):
     bits = bundles.HashBits.of(keys, "h")
     own = np.array([r.h for r in keys.collect()]).view(np.uint64)
     assert bits.has(own).all() and bits.has(own + np.uint64(1)).mean() < 0.01
+
+
+def test_codes_of_ranked_and_other_words():
+    words = np.array([[5, 9, 7, 5], [9, 0, 1 << 63, 9], [0, 0, 3, 2], [0, 0, 0, 2]], np.uint64)
+    for ranked in ([9, 5], []):
+        ranks = bundles.Ranks(np.array(ranked, np.uint64))
+        back, times = ranks.words(ranks.bundle(words, ranks.codes(words), np.array([1, 2, 300, 4])), 4)
+        assert np.array_equal(back, words) and times.tolist() == [1, 2, 300, 4]
