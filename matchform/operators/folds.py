@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from matchform.functions import scalars as S
@@ -86,29 +91,78 @@ def season_holdout(df: DataFrame, season: str = "season") -> tuple[DataFrame, Da
     return df.filter(year < last), df.filter(year == last)
 
 
+# What is kept of a pair (x, y) over rows where both are known: size, means, co-moment, squared distances, extremes.
+MOMENTS = ("n", "mean_x", "mean_y", "shared", "of_x", "of_y", "low_x", "high_x", "low_y", "high_y")
+
+
+def pair_moments(values: np.ndarray) -> np.ndarray:
+    """``MOMENTS`` of every pair of columns, by pair; NaN is unknown. Distances are taken from the pair's own means."""
+    known = ~np.isnan(values)
+    filled = np.where(known, values, 0.0)
+    found = []
+    for i in range(values.shape[1] - 1):
+        both = known[:, i + 1 :] & known[:, i, None]
+        x, y = filled[:, i, None], filled[:, i + 1 :]
+        n = both.sum(axis=0)
+        mean_x, mean_y = (np.where(both, v, 0.0).sum(axis=0) / np.maximum(n, 1) for v in (x, y))
+        dx, dy = np.where(both, x - mean_x, 0.0), np.where(both, y - mean_y, 0.0)
+        ends = [side(np.where(both, v, worst), axis=0, initial=worst) for v in (x, y) for side, worst in ((np.min, np.inf), (np.max, -np.inf))]
+        found.append(np.stack((n, mean_x, mean_y, (dx * dy).sum(axis=0), (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), *ends)))
+    return np.concatenate(found, axis=1)
+
+
+def merged_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together."""
+    n = a[0] + b[0]
+    weight = a[0] * b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    part = b[0] / np.maximum(n, 1)
+    means = (a[1] + dx * part, a[2] + dy * part)
+    spread = (a[3] + b[3] + dx * dy * weight, a[4] + b[4] + dx * dx * weight, a[5] + b[5] + dy * dy * weight)
+    ends = (np.minimum(a[6], b[6]), np.maximum(a[7], b[7]), np.minimum(a[8], b[8]), np.maximum(a[9], b[9]))
+    return np.stack((n, *means, *spread, *ends))
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute Pearson correlation of every pair, over the rows where both are known.
 
-    Every row becomes one small row per pair, which is added up before the shuffle. Covariance and
-    variances are kept as distances from running means, so a constant column has the variance zero
-    exactly; a pair with such a member, or without rows, has no correlation (NULL). NaN counts as unknown.
+    Each partition adds up the moments of all pairs in blocks and sends one row for each pair; these are merged in the
+    order of the partitions. A pair with a constant member (its least value is its greatest), or without rows, has no
+    correlation (NULL). NaN counts as unknown.
     """
     columns = list(columns)
-    value = {name: F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")) for name in columns}
-    pairs = [
-        F.struct(F.lit(left).alias("left"), F.lit(right).alias("right"), value[left].alias("x"), value[right].alias("y"))
-        for left, right in combinations(columns, 2)
-    ]
-    known = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(known, F.col("x")), F.when(known, F.col("y"))
-    moments = df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").groupBy("left", "right").agg(
-        F.covar_pop(x, y).alias("shared"), F.var_pop(x).alias("of_x"), F.var_pop(y).alias("of_y")
-    )
-    # Roots are taken one by one: a product of two variances may leave the range of doubles.
-    both = F.sqrt("of_x") * F.sqrt("of_y")
-    return moments.select(
-        "left", "right", F.when((F.col("of_x") > 0) & (F.col("of_y") > 0), F.abs(F.try_divide("shared", both))).alias("correlation")
-    )
+    pairs = list(combinations(columns, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            own = pair_moments(values)
+            held = own if held is None else merged_moments(held, own)
+        if held is not None:
+            part = pa.array(np.full(len(pairs), TaskContext.get().partitionId()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), part, *map(pa.array, held)], ["pair", "part", *MOMENTS])
+
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
+    values = df.select(*[F.col(name).cast("double").alias(f"v{k}") for k, name in enumerate(columns)])
+    sent = values.mapInArrow(run, ", ".join(["pair long", "part long", *(f"{m} double" for m in MOMENTS)]))
+    lists = sent.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("part", *MOMENTS))).alias("parts"))
+
+    @F.pandas_udf("double")
+    def correlation(parts: pd.Series) -> pd.Series:
+        out = []
+        for rows in parts:
+            total = reduce(merged_moments, (np.array([[r[m]] for m in MOMENTS]) for r in rows))[:, 0]
+            n, _, _, shared, of_x, of_y, low_x, high_x, low_y, high_y = total
+            # Roots are taken one by one: a product of two variances may leave the range of doubles.
+            known = n > 0 and low_x != high_x and low_y != high_y and of_x > 0 and of_y > 0
+            out.append(abs(shared / (np.sqrt(of_x) * np.sqrt(of_y))) if known else None)
+        return pd.Series(out, dtype="float64")
+
+    named = df.sparkSession.createDataFrame([(k, *pair) for k, pair in enumerate(pairs)], "pair long, left string, right string")
+    found = lists.select("pair", correlation("parts").alias("correlation"))
+    return named.join(found, "pair", "left").select("left", "right", "correlation")
 
 
 def drop_correlated(
