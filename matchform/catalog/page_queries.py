@@ -23,10 +23,10 @@ def html_comments(t):
     return weblog.html_comments(t.pages)
 
 
-# Links that the pages lack: in single quotes, in none, without a text before one with, and never with a text.
+# Links that the pages lack: in single quotes, in none, with an address that begins with a character reference, without a text before one with, and never with a text.
 INJECTED = (
     """<a href='/single/{}'>Single</a><a rel=x href=/bare/b>Bare &amp; short</a><a href="/logo/first"><img alt=">"></a>"""
-    """<a href="/logo/second"> Name&nbsp;&eacute; </a><a href="/void/z"> </a><A title='a>b' HREF = "/odd/q">&lt;odd&gt;</A>"""
+    """<a href="/logo/second"> Name&nbsp;&eacute; </a><a href="/void/z"> </a><A title='a>b' HREF = "/odd/q">&lt;odd&gt;</A><a href="&#47;coded/c&amp;d">Coded</a>"""
 ).split("{}")
 _TAG_SQL = r"""(?s)</?[a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
 _LINK_SQL = r"""(?is)<a\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>.*?</a>"""
@@ -34,7 +34,7 @@ _HREF_SQL = r"""(?is)^<a\b(?:[^>"'']|"[^"]*"|''[^'']*'')*?\shref\s*=\s*(?:"([^"]
 
 
 def _plain(expression: str) -> str:
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&eacute;", "é"), ("&amp;", "&")):
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#47;", "/"), ("&nbsp;", " "), ("&eacute;", "é"), ("&amp;", "&")):
         expression = f"replace({expression}, '{entity}', '{plain}')"
     return expression
 
@@ -52,7 +52,7 @@ def _quoted(text: str) -> str:
           FROM anchors, LATERAL (SELECT unnest(generate_series(1, len(found))) AS i)),
         parts AS (SELECT page_id, i, regexp_extract({_plain("href")}, '{LINK}', 1) AS link_id, regexp_extract({_plain("href")}, '{LINK}', 2) AS slug,
           regexp_replace({_plain(f"regexp_replace(anchor, '{_TAG_SQL}', '', 'g')")}, '^\s+|\s+$', '', 'g') AS text
-          FROM links WHERE regexp_matches(href, '{LINK}'))
+          FROM links WHERE regexp_matches({_plain("href")}, '{LINK}'))
         SELECT page_id, link_id, arg_min(slug, i) AS slug, arg_min(text, i) AS text FROM parts WHERE text <> '' GROUP BY page_id, link_id""",
 )
 def link_harvest(t):

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchform.functions import scalars as S
-from matchform.operators.ordering import BLOCK_ROWS, cut_blocks, running_sums
+from matchform.operators.ordering import ascending, cut_blocks, running_sums
 from matchform.operators.scoring import MARKET_PROBS, MODEL_PROBS
 from matchform.session import checkpointed
 
@@ -120,18 +120,22 @@ def cumulative_pnl(settled: DataFrame, **limits) -> DataFrame:
     )
 
 
-def bet_summary(settled: DataFrame, stake: float = 10.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bet_summary(settled: DataFrame, stake: float = 10.0, block_rows: int | None = None) -> DataFrame:
     """Bets, win rate, stakes, profit, return and largest fall from the peak, per strategy.
 
-    The fall is found from four numbers per block (sum, highest, lowest and inner fall of the
-    block's own running sum), so only one row per block is ever ordered across blocks.
+    The fall is merged from four numbers per day (sum, highest, lowest and inner fall of the day's own running
+    sum), so days are summed where they lie and only one row per day is ordered across days. ``block_rows`` takes
+    blocks of so many rows of the sorted bets in place of days, for days larger than a task should bear.
     """
-    bets = checkpointed(settled.select("strategy", *PNL_ORDER, "won", "profit"))
-    blocks = cut_blocks(bets, ("strategy",), PNL_ORDER, block_rows)
-    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, 0)
-    inner = blocks.rows.withColumn("run", F.sum("profit").over(so_far)).withColumn(
-        "peak", F.max("run").over(so_far)
-    )
+    bets = settled.select("strategy", *PNL_ORDER, "won", "profit")
+    if block_rows is None:
+        parts = bets.withColumn("__block", F.to_date(PNL_ORDER[0]))
+        window = Window.partitionBy("strategy", "__block").orderBy(*ascending(*PNL_ORDER))
+    else:
+        blocks = cut_blocks(checkpointed(bets), ("strategy",), PNL_ORDER, block_rows)
+        parts, window = blocks.rows, blocks.window
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    inner = parts.withColumn("run", F.sum("profit").over(so_far)).withColumn("peak", F.max("run").over(so_far))
     block = inner.groupBy("__block", "strategy").agg(
         F.count("*").alias("bets"),
         F.sum(F.when(F.col("won"), 1).otherwise(0)).alias("wins"),
@@ -140,7 +144,7 @@ def bet_summary(settled: DataFrame, stake: float = 10.0, block_rows: int = BLOCK
         F.min("run").alias("low"),
         F.max(F.col("peak") - F.col("run")).alias("fall"),
     )
-    before = Window.partitionBy("strategy").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("strategy").orderBy(*ascending("__block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = block.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
     carried = carried.withColumn(
         "peak_before",

@@ -216,12 +216,17 @@ def global_order(df: DataFrame, order: Sequence[str], column: str = "match_id")
     return placed.drop(column).withColumnRenamed("__new_id", column)
 
 
-def chronological_number(df: DataFrame, moment: str, then: Sequence[str], column: str) -> DataFrame:
+def chronological_number(
+    df: DataFrame, moment: str, then: Sequence[str], column: str, hot: bool = False
+) -> DataFrame:
     """Number all rows 1..N by ``moment`` (missing last) and ``then``, without running anything yet.
 
     A row's number is its place among its day's rows plus the rows of all earlier days. Only one row
-    per day (and per first tie-break value of rows without a moment) is ordered in one place.
+    per day (and per first tie-break value of rows without a moment) is ordered in one place. With ``hot``
+    a day may hold any share of the rows: they are range sorted on the whole key, and that runs at once.
     """
+    if hot:
+        return global_order(df, (moment, *then), column)
     day = F.to_date(moment)
     undated = F.when(F.col(moment).isNull(), F.col(then[0]).cast("string"))
     rows = df.withColumns({"__day": day, "__undated": undated})
@@ -240,7 +245,7 @@ def chronological_number(df: DataFrame, moment: str, then: Sequence[str], column
     )
 
 
-# A cut is looked for among this many parts of the leading sort key's range.
+# A cut is looked for among this many parts of the leading sort key's range; so many counts reach the driver.
 PARTS = 4096
 
 
@@ -264,33 +269,59 @@ class Cut:
         return before | tied
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+_PART = "__part"
+
+
+def _measure(name: str, kind: str) -> Column | None:
+    """The leading key as a number in the same order (not strictly), or None for kinds that have none."""
+    if kind.startswith(NUMBERS):
+        return F.col(name).cast("double")
+    if kind.startswith(("timestamp", "date")):
+        return F.datediff(F.to_date(name), F.lit("1970-01-01")).cast("double")
+    return None
+
+
+def _by_part(keys: DataFrame, measure: Column) -> tuple[DataFrame, dict]:
+    """The keys with a part of the leading one's range, and the rows of every part."""
+    finite = measure.isNotNull() & (measure > float("-inf")) & (measure < float("inf"))
+    low, high = keys.agg(F.min(F.when(finite, measure)), F.max(F.when(finite, measure))).first()
+    width = ((high - low) / PARTS or 1.0) if low is not None else 1.0
+    inside = F.least(F.floor((measure - F.lit(low or 0.0)) / F.lit(width)), F.lit(PARTS - 1))
+    # Before all: minus infinity; behind all: infinity, then NaN, then missing keys.
+    part = (
+        F.when(measure.isNull(), PARTS + 2).when(F.isnan(measure), PARTS + 1).when(finite, inside)
+        .when(measure > 0, PARTS).otherwise(-1).cast("int")
+    )
+    parted = keys.withColumn(_PART, part)
+    return parted, {row[_PART]: row["count"] for row in parted.groupBy(_PART).count().collect()}
+
+
 def find_cuts(df: DataFrame, order: Sequence[str], places: Callable[[int], Sequence[int]]) -> list[Cut]:
     """The cuts after the row numbers that ``places`` gives for the number of rows.
 
-    Rows are counted by day or by equal ranges of the leading key, one small row for each; only the
-    range that holds a cut is ordered, and of it only the sort keys. ``order`` ends in a unique key.
+    The sort keys are written once, so the source runs once. Rows are counted in equal parts of the leading key's
+    range (at most 4096 counts reach the driver, whatever the key), and only the part that holds a cut is sorted; a
+    key without a measure, like a text, is sorted as a whole, over all tasks. ``order`` ends in a unique key.
     """
-    keys = df.select(*order)
-    lead, kind = F.col(order[0]), dict(df.dtypes)[order[0]]
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        low, high = keys.agg(F.min(lead), F.max(lead)).first()
-        part = lead if low is None else F.floor((lead - low) / max(1, -(-(high - low + 1) // PARTS)))
+    keys = checkpointed(df.select(*order))
+    measure = _measure(order[0], dict(df.dtypes)[order[0]])
+    if measure is None:
+        parted, counts = keys.withColumn(_PART, F.lit(0)), {0: keys.count()}
     else:
-        part = F.to_date(lead) if kind.startswith(("timestamp", "date")) else lead
-    counts = keys.groupBy(part.alias("part")).count().orderBy(F.col("part").asc_nulls_last()).collect()
-    total = sum(row["count"] for row in counts)
-    cuts = []
+        parted, counts = _by_part(keys, measure)
+    total, cuts, sorted_parts = sum(counts.values()), [], {}
     for wanted in places(total):
-        seen = 0
-        for row in counts:
-            if 0 < wanted <= seen + row["count"]:
-                own = keys.filter(part.eqNullSafe(F.lit(row["part"])))
-                placed = place(own, ascending(*order))
-                cuts.append(Cut(total, tuple(placed.rows.filter(F.col(placed.column) == wanted - seen).select(*order).first())))
+        seen, last = 0, None
+        for part in sorted(counts):
+            if 0 < wanted <= seen + counts[part]:
+                if part not in sorted_parts:
+                    sorted_parts[part] = place(parted.filter(F.col(_PART) == part).select(*order), ascending(*order))
+                placed = sorted_parts[part]
+                last = tuple(placed.rows.filter(F.col(placed.column) == wanted - seen).select(*order).first())
                 break
-            seen += row["count"]
-        else:
-            cuts.append(Cut(total, None))
+            seen += counts[part]
+        cuts.append(Cut(total, last))
     return cuts
 
 

@@ -152,7 +152,7 @@ def _read_page(html: str) -> Iterator[tuple[dict, bool]]:
     tables, comments = _tables(html or "")
     yield from ((table, False) for table in tables)
     for comment in comments:
-        if "<table" in comment:
+        if "<table" in comment.lower():
             yield from ((table, True) for table in _tables(comment)[0])
 
 
@@ -233,9 +233,9 @@ def link_harvest(pages: DataFrame, pattern: str, id_group: int = 1, slug_group:
     links = (
         pages.select("page_id", F.posexplode(anchors).alias("position", "anchor"))
         .select("page_id", "position", href.alias("href"), plain.alias("text"))
-        .filter(F.col("href").rlike(pattern))
-        .withColumns({"href": decoded("href"), "text": F.regexp_replace(decoded("text"), r"^\s+|\s+$", "")})
-        .filter(F.col("text") != "")
+        .select("page_id", "position", decoded_links("href", "text").alias("link"))
+        .select("page_id", "position", "link.href", F.regexp_replace("link.text", r"^\s+|\s+$", "").alias("text"))
+        .filter(F.col("href").rlike(pattern) & (F.col("text") != ""))
         .select(
             "page_id",
             F.regexp_extract("href", pattern, id_group).alias("link_id"),
@@ -246,12 +246,17 @@ def link_harvest(pages: DataFrame, pattern: str, id_group: int = 1, slug_group:
     return first.select("page_id", "link_id", "link.slug", "link.text")
 
 
-@F.pandas_udf(T.StringType())
 def decoded(texts: pd.Series) -> pd.Series:
     """Texts with every character reference of HTML replaced; a no-break space becomes a plain one."""
     return texts.map(lambda text: unescape(text).replace("\xa0", " ") if text and "&" in text else text)
 
 
+@F.pandas_udf(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
+def decoded_links(href: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """Both texts of a link, decoded before anything is matched against them."""
+    return pd.DataFrame({"href": decoded(href), "text": decoded(text)})
+
+
 def log_tables(cells: DataFrame) -> DataFrame:
     """Per page the first table that has the columns a match log needs."""
     has = [F.max(F.col("header") == name) for name in NEEDED_COLUMNS]

@@ -33,7 +33,7 @@ def match_features(
     """
     matches = enrich_matches(raw, crosswalk, ties, hot=hot, **limits)
     numbers = chronological_number(
-        matches.select(*MATCH_KEY, "kickoff"), GLOBAL_ORDER[0], GLOBAL_ORDER[1:], "__number"
+        matches.select(*MATCH_KEY, "kickoff"), GLOBAL_ORDER[0], GLOBAL_ORDER[1:], "__number", hot
     ).select("__number", *[F.col(name).alias(f"__{name}") for name in MATCH_KEY])
     same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in MATCH_KEY]
     table = prematch_table(matches, hot=hot, **limits).join(numbers, same)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from matchform.functions.fixed_values import XG_PREFIXES
 from matchform.operators.reshape import union_by_name
-from matchform.sources.files import exists, first_lines
+from matchform.sources.files import by_first_line, missing
 
 ENCODING = "ISO-8859-1"
 # A UTF-8 byte-order mark as it reads in the feeds' own encoding, and as itself.
@@ -61,14 +60,10 @@ def _read_by_header(spark: SparkSession, paths: Sequence[str], tags: dict[str, C
     Reading all of them at once would give every file the first one's header. Tags are expressions
     over the file's path.
     """
-    for path in paths:
-        if not exists(spark, path):
-            raise FileNotFoundError(f"no such feed file: {path}")
-    shapes: dict[str, list[str]] = defaultdict(list)
-    for path, header in zip(paths, first_lines(spark, paths)):
-        shapes[header.rstrip("\r\n")].append(path)
+    if lost := missing(spark, paths):
+        raise FileNotFoundError(f"no such feed file: {', '.join(lost[:5])}")
     frames = []
-    for shape in shapes.values():
+    for shape in by_first_line(spark, paths):
         frame = spark.read.csv(shape, header=True, encoding=ENCODING, enforceSchema=False)
         frame = frame.toDF(*_clean_header(frame.columns))
         frames.append(frame.select("*", *[tag.alias(name) for name, tag in tags.items()]))

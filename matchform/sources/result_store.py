@@ -1,18 +1,24 @@
-"""Saved results: validation summary, holdout predictions and run information."""
+"""Saved results: validation summary, holdout predictions and run information, one folder for each run.
+
+A run's three artefacts are written to a folder of their own; only when all are there does the manifest name it.
+Readers follow the manifest, so a save that fails leaves the set before it in place.
+"""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from matchform.operators.assemble import join_one_to_one
 from matchform.operators.selection import SUMMARY_SCHEMA, Evaluation
-from matchform.sources.files import exists
+from matchform.sources.files import exists, read_text, replace_text
 
 SUMMARY = "grouping_cv"
 PREDICTIONS = "holdout_predictions"
 RUN_INFO = "run_info"
+MANIFEST = "current_run"
 
 MATCH_COLUMNS = (
     "match_id", "kickoff", "season", "Div", "HomeTeam", "AwayTeam", "FTR",
@@ -35,11 +41,12 @@ RUN_SCHEMA = T.StructType(
 
 
 def save_results(summary: DataFrame, holdout: Evaluation, features: DataFrame, folder: str) -> str:
-    """Write the three artefacts; predictions carry their match's columns."""
-    spark = summary.sparkSession
-    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/{SUMMARY}")
+    """Write the three artefacts of a run and switch the manifest to it; predictions carry their match's columns."""
+    spark, name = summary.sparkSession, f"run-{uuid.uuid4()}"
+    own = f"{folder}/{name}"
+    summary.coalesce(1).write.json(f"{own}/{SUMMARY}")
     predictions = join_one_to_one(holdout.predictions, features.select(*MATCH_COLUMNS), "match_id")
-    predictions.write.mode("overwrite").parquet(f"{folder}/{PREDICTIONS}")
+    predictions.write.parquet(f"{own}/{PREDICTIONS}")
     best = summary.orderBy("best_mean_log_loss").first()
     metrics = holdout.metrics
     run = (
@@ -53,12 +60,16 @@ def save_results(summary: DataFrame, holdout: Evaluation, features: DataFrame, f
         metrics["holdout_log_loss"],
         metrics["holdout_brier_score"],
     )
-    spark.createDataFrame([run], RUN_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{folder}/{RUN_INFO}")
+    spark.createDataFrame([run], RUN_SCHEMA).coalesce(1).write.json(f"{own}/{RUN_INFO}")
+    replace_text(spark, f"{folder}/{MANIFEST}", name)
     return folder
 
 
 def load_results(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
-    """The three artefacts, or None while one of them is missing."""
+    """The three artefacts of the run the manifest names, or None while there is none or one of them is missing."""
+    if not exists(spark, f"{folder}/{MANIFEST}"):
+        return None
+    folder = f"{folder}/{read_text(spark, f'{folder}/{MANIFEST}')}"
     if not all(exists(spark, f"{folder}/{name}") for name in (SUMMARY, PREDICTIONS, RUN_INFO)):
         return None
     predictions = spark.read.parquet(f"{folder}/{PREDICTIONS}")

@@ -115,6 +115,32 @@ def test_chronological_numbers_are_lazy_and_right(spark, sides):
     assert numbers == {r["match_id"]: n for n, r in enumerate(rows, 1)}
 
 
+def test_a_hot_day_spreads_over_tasks(spark):
+    """95 % of the rows have one moment: numbered with ``hot`` they lie in several partitions, in the right order."""
+    moment = F.when(F.col("id") % 20 == 0, F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id % 700 as int))")).otherwise(F.expr("timestamp_ntz'2021-05-05'"))
+    df = spark.range(40_000).select(F.when(F.col("id") % 97 > 0, moment).alias("kickoff"), F.concat(F.lit("L"), F.col("id") % 3).alias("league"), F.col("id").alias("match_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would be drawn together
+    try:
+        found = ordering.chronological_number(df, "kickoff", ("league", "match_id"), "number", hot=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    share = found.where("kickoff = '2021-05-05'").groupBy(F.spark_partition_id()).count().agg(F.max("count") / F.sum("count")).first()[0]
+    assert share < 0.6
+    lazy = ordering.chronological_number(df, "kickoff", ("league", "match_id"), "number")
+    assert collected(found, "match_id", "number") == collected(lazy, "match_id", "number")
+
+
+@pytest.mark.parametrize("lead", ["cast(id % 97 as string)", "case when id % 7 = 0 then null when id % 11 = 0 then double('nan') when id % 13 = 0 then double('inf') when id % 17 = 0 then double('-inf') else id % 30 / 7 end", "cast(id * id as decimal(30, 2))", "id % 3 = 0", "case when id = 5 then 9223372036854775807 else id end", "cast(null as int)"])
+def test_cuts_of_any_leading_key(spark, monkeypatch, lead):
+    monkeypatch.setattr(ordering, "PARTS", 16)
+    df = spark.range(500).repartition(5).select(F.expr(lead).alias("k"), "id")
+    rows = [r["id"] for r in df.orderBy(*ordering.ascending("k", "id")).collect()]
+    for fraction in (0.01, 0.5, 0.93):
+        train, test = ordering.temporal_split(df, fraction, ("k", "id"))
+        cut = int(500 * fraction)
+        assert {r["id"] for r in train.collect()} == set(rows[:cut]) and {r["id"] for r in test.collect()} == set(rows[cut:])
+
+
 def test_global_order_has_no_single_partition_window(sides):
     plan = ordering.global_order(sides, ("kickoff", "match_id"))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan

@@ -114,7 +114,7 @@ def test_strategies(spark):
     assert ev == {1: "H", 4: "D"}
 
 
-@pytest.mark.parametrize("block_rows", [1, 2, 1000])
+@pytest.mark.parametrize("block_rows", [None, 1, 2, 1000])
 def test_summary_and_drawdown(spark, block_rows):
     settled = backtest.settled_bets(bets_frame(spark), stake=10.0)
     rows = {r["strategy"]: r for r in backtest.bet_summary(settled, 10.0, block_rows).collect()}
@@ -125,6 +125,16 @@ def test_summary_and_drawdown(spark, block_rows):
     assert rows["Value edge"]["max_drawdown"] == 10.0
 
 
+def test_drawdown_by_days_equals_blocks(spark):
+    rows = spark.range(3000).select(
+        F.element_at(F.array(*map(F.lit, backtest.STRATEGIES)), (F.col("id") % 2 + 1).cast("int")).alias("strategy"),
+        F.when(F.col("id") % 41 > 0, F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, cast(xxhash64(id) % 2000 as int))")).alias("kickoff"),
+        F.col("id").alias("match_id"), (F.xxhash64(F.col("id") + 7) % 2 == 0).alias("won"), (F.xxhash64("id") % 19).cast("double").alias("profit"),
+    )
+    by_day, in_blocks = (sorted(map(tuple, backtest.bet_summary(rows, 10.0, n).collect())) for n in (None, 77))
+    assert by_day == in_blocks and by_day[0][-1] > 0
+
+
 def test_drawdown_counts_from_zero(spark):
     settled = backtest.settled_bets(bets_frame(spark).filter("match_id = 4"))
     row = {r["strategy"]: r for r in backtest.bet_summary(settled).collect()}["Model favourite"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchform.operators import folds, models, scoring, selection
 from matchform.plans.training import train_and_evaluate
+from matchform.sources import result_store
 from matchform.sources.result_store import load_results
 from tests.frames import priced_seasons
 
@@ -184,3 +185,24 @@ def test_training_round_trip(spark, seasons, tmp_path):
     row = loaded["grouping_cv"].first()
     assert len(row["fold_log_losses"]) == 2 and set(row["best_params"]) == set(SMALL_SPACE)
     assert loaded["predictions"].filter("kickoff is null or HomeTeam is null").count() == 0
+
+
+def test_a_save_that_fails_leaves_the_set_before_it(spark, seasons, tmp_path, monkeypatch):
+    folder = str(tmp_path / "results")
+    done = selection.evaluate_holdout(seasons, MARKET, {}, settings=FAST)
+    row = {"grouping": "first", "feature_count": 2, "best_mean_log_loss": 1.0, "best_mean_brier_score": 0.6, "selected_features": MARKET,
+           "validation_seasons": [], "fold_log_losses": [1.0], "best_params": {}}
+    result_store.save_results(selection.summary_frame(spark, [row]), done, seasons, folder)
+    second = selection.summary_frame(spark, [row | {"grouping": "second"}])
+
+    def lost(*_):
+        raise OSError("the disk is gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(result_store, "join_one_to_one", lost)
+        with pytest.raises(OSError):
+            result_store.save_results(second, done, seasons, folder)
+    kept = load_results(spark, folder)
+    assert kept["grouping_cv"].first()["grouping"] == kept["run_info"].first()["best_grouping"] == "first" and kept["predictions"].count() == 120
+    result_store.save_results(second, done, seasons, folder)
+    assert load_results(spark, folder)["run_info"].first()["best_grouping"] == "second"

@@ -48,6 +48,19 @@ def test_lines_without_text_are_rows(spark, feeds):
     ]
 
 
+def test_many_files_of_three_shapes(spark, tmp_path):
+    shapes = [PLAIN, WITH_REFEREE, f"{PLAIN},MaxH"]
+    names = [f"{a:02d}{b:02d}" for a in range(100) for b in range(20)]
+    (tmp_path / "E0").mkdir()
+    for i, name in enumerate(names):
+        header = shapes[i % 3]
+        cells = {"Div": "E0", "HomeTeam": f"club {i}", "FTHG": str(i % 7), "Referee": f"whistle {i}", "MaxH": "2.5"}
+        (tmp_path / "E0" / f"{name}.csv").write_text(f"{header}\n{','.join(cells.get(c, '') for c in header.split(','))}\n")
+    found = csv_feeds.read_matches(spark, str(tmp_path), ["E0"], names).select("HomeTeam", "FTHG", "Referee", "MaxH").collect()
+    expected = {(f"club {i}", i % 7, f"whistle {i}" if i % 3 == 1 else None, 2.5 if i % 3 == 2 else None) for i in range(2000)}
+    assert len(found) == 2000 and set(map(tuple, found)) == expected
+
+
 def test_bad_requests(spark, feeds):
     with pytest.raises(ValueError, match="four digits"):
         csv_feeds.read_matches(spark, f"{feeds}/m", ["E0"], ["25"])

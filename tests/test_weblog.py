@@ -69,6 +69,18 @@ def test_links_of_all_forms_first_with_text_per_id(spark):
     assert {(r["link_id"], r["slug"], r["text"]) for r in found} == {("9", "second", "Second one"), ("12", "plain", "Café €"), ("8", "x?y=1&z", "<8>")}
 
 
+def test_addresses_are_decoded_before_they_are_matched(spark):
+    html = """<a href="&#47;club/3/coded">Coded</a><a href="/club&#x2F;4/half">Half</a><a href="&amp;#47;club/5/twice">no</a>"""
+    found = weblog.link_harvest(pages(spark, html), r"^/club/([0-9]+)/(.*)").collect()
+    assert {(r["link_id"], r["slug"], r["text"]) for r in found} == {("3", "coded", "Coded"), ("4", "half", "Half")}
+
+
+def test_commented_tables_in_capitals(spark):
+    html = "<!-- <TABLE ID=up><TR><TH>Name</TH></TR><TR><TD>Otters</TD></TR></TABLE> -->"
+    (row,) = weblog.html_tables(pages(spark, html)).collect()
+    assert (row["table_id"], row["in_comment"], row["header"], row["text"]) == ("up", True, "Name", "Otters")
+
+
 def test_comments_span_lines(spark):
     found = weblog.html_comments(pages(spark, "<!--a\nb--><p></p><!-- c -->")).orderBy("position").collect()
     assert [r["comment"] for r in found] == ["a\nb", " c "]
