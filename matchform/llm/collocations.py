@@ -29,7 +29,7 @@ BETWEEN[[0x20, 0x09]] = True
 LONGEST, LEAST, SHARE, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 NO_LANG = "und"
 # Words whose pointers are summed before they are sent, pointers of a bucket, the most leading phrases dealt out further.
-RUN, BUCKET, HOT = 1 << 21, 1 << 19, 1 << 16
+RUN, BUCKET, HOT = 1 << 20, 1 << 19, 1 << 16
 # Parts in which a language's best are found before all of them are ranked.
 PARTS = 64
 WORDS = "lang string, word string, hash long, leading int, times long"
