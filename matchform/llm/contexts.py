@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from matchform.llm.bundles import HashBits, heads, joined, packed, small, unpacked
+from matchform.llm.bundles import HashBits, Ranks, heads, joined, packed, small, unpacked
 from matchform.llm.decontaminate import FOLD
-from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, public_id, release, text_bytes, word_spans
-from matchform.session import checkpointed
+from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, public_id, release, stored, text_bytes, word_spans
 
 # The longest context, how often contexts and their kept next words occur at least, the least gain in nats, the discount.
 DEPTH, CONTEXT, FOLLOWER, GAIN, DISCOUNT = 3, 32, 4, 8.0, 0.75
 # Tokens worked off together, and phrases of a bucket: both bound what a task holds.
-RUN, BUCKET = 1 << 21, 1 << 22
+RUN, BUCKET = 1 << 20, 1 << 21
 # What stands for the end of a text.
 END = np.uint64(1)
 
@@ -104,7 +103,7 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def followers(texts: DataFrame, depth: int, frequent, least: int, buckets: int, run: int = RUN) -> DataFrame:
+def followers(texts: DataFrame, depth: int, frequent, ranks, least: int, buckets: int, run: int = RUN) -> DataFrame:
     """What follows contexts of ``depth`` words at least ``least`` times: see ``FOLLOWERS``.
 
     ``phrase`` is the context with the word, ``parent`` the context without its oldest word (zero: none), ``below`` the
@@ -127,17 +126,26 @@ def followers(texts: DataFrame, depth: int, frequent, least: int, buckets: int,
             begin = heads(bucket)
             rows = []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)] if len(order) else []):
+                if depth == 1:
+                    pairs = np.stack((context[a:b], word[a:b]))
+                    rows.append(ranks.value.bundle(pairs, ranks.value.codes(pairs), times[a:b]))
+                    continue
                 contexts, one, code = np.unique(context[a:b], return_index=True, return_inverse=True)
-                words, other = np.unique(word[a:b], return_inverse=True)
-                rows.append(packed([contexts, parent[a:b][one], words, small(code), small(other), small(times[a:b])]))
+                words = ranks.value.bundle(word[a:b], ranks.value.codes(word[a:b]), times[a:b])
+                rows.append(packed([contexts, parent[a:b][one], small(code), np.frombuffer(words, np.uint8)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "data"])
 
+    def opened(data: bytes) -> tuple[np.ndarray, ...]:
+        if depth == 1:
+            (context, word), times = ranks.value.words(data, 2)
+            return context, np.zeros(len(word), np.uint64), word, times
+        contexts, parents, code, words = unpacked(data)
+        (word,), times = ranks.value.words(words.tobytes(), 1)
+        return contexts[code], parents[code], word, times
+
     def summed(data: list[bytes]) -> pa.RecordBatch:
-        parts = [unpacked(d) for d in data]
-        context, parent, word, times = (
-            np.concatenate(columns) for columns in zip(*((c[i], p[i], w[j], n.astype(np.int64)) for c, p, w, i, j, n in parts))
-        )
+        context, parent, word, times = (np.concatenate(columns) for columns in zip(*map(opened, data)))
         phrase = joined(context, word)
         order = np.argsort(phrase, kind="stable")
         first = heads(phrase[order])
@@ -192,7 +200,7 @@ def _distributions(found: DataFrame, occurs: DataFrame, below: DataFrame, discou
     contexts = contexts.withColumn("rest", (F.col("occurs") - F.col("kept") + discount * F.col("kinds")) / F.col("occurs"))
     shares = found.drop("parent").join(contexts, "context").join(below.select(F.col("phrase").alias("below"), F.col("p").alias("p_below")), "below")
     shares = shares.withColumn("p", (F.col("times") - discount) / F.col("occurs") + F.col("rest") * F.col("p_below"))
-    shares = checkpointed(shares.select("phrase", "context", "parent", "times", "occurs", "kept", "rest", "p", "p_below"))
+    shares = stored(shares.select("phrase", "context", "parent", "times", "occurs", "kept", "rest", "p", "p_below"))
     gained = F.sum(F.col("times") * F.ln(F.col("p") / F.col("p_below")))
     gain = shares.groupBy("context", "parent", "rest").agg((gained + F.first(F.col("occurs") - F.col("kept")) * F.ln("rest")).alias("gain"))
     return shares, gain
@@ -210,32 +218,44 @@ def learn(
     repeated rows count as often as they occur, and columns other than ``doc_id`` and ``text`` are ignored.
     """
     spark, texts = documents.sparkSession, _texts(documents)
-    single = checkpointed(token_counts(texts, run))
+    single = stored(token_counts(texts, run))
     tokens, kinds = single.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = 1 << ceil(log2(max(1, tokens / bucket)))
     base = single.select("phrase", "times", ((F.col("times") + 1) / (tokens + kinds + 1)).alias("p"))
+    ranks = spark.sparkContext.broadcast(Ranks.of(single, "phrase", "times"))
     occurs, below, levels = single, base, []
     for length in range(1, depth + 1):
         occurs = occurs.where(F.col("times") >= context)
         frequent = spark.sparkContext.broadcast(HashBits.of(occurs, "phrase"))
-        found = checkpointed(followers(texts, length, frequent, follower, buckets, run))
+        found = stored(followers(texts, length, frequent, ranks, follower, buckets, run))
         release(spark)
         shares, gains = _distributions(found, occurs, below, discount)
-        levels.append((shares, checkpointed(gains)))
+        levels.append((shares, stored(gains)))
         occurs, below = found.select("phrase", "times"), shares.select("phrase", "p")
     values, stay, kept = base.select("phrase", F.log10("p").alias("value"), F.log10("p").alias("base")), None, None
     none = F.lit(None).cast("double").alias("base")
     for length, (shares, gains) in reversed(list(enumerate(levels, 1))):
         own = gains.where(F.col("gain") >= gain).select("context")
         staying = own if stay is None else own.union(stay.select(F.col("parent").alias("context"))).distinct()
-        stay = checkpointed(gains.join(staying, "context").select("context", "parent", "rest"))
+        stay = stored(gains.join(staying, "context").select("context", "parent", "rest"))
         taken = stay.select(F.col("context").alias("phrase"), F.log10("rest").alias("value"), none)
         back = shares.join(stay.select("context"), "context").select("phrase", F.log10(F.col("p") / F.col("p_below") / F.col("rest")).alias("value"), none)
         values = values.union(taken).union(back)
         nodes = stay.select(F.lit(length).alias("length"), "context", "rest")
         kept = nodes if kept is None else nodes.union(kept)
-    values = values.groupBy("phrase").agg(F.sum("value").alias("value"), F.max("base").alias("base"))
-    return Tree(checkpointed(values), tokens, kinds, kept)
+    values = stored(values.groupBy("phrase").agg(F.sum("value").alias("value"), F.max("base").alias("base")))
+    release(spark)
+    return Tree(values, tokens, kinds, kept)
+
+
+# Rows of the exchange between texts and tree: the tree's table, what runs of texts ask of it, the runs' documents, answers.
+TABLE, ASKED, OWNERS, ANSWER = range(4)
+EXCHANGE = "run long, kind int, bucket long, data binary"
+
+
+def _rows(runs: np.ndarray, kinds: np.ndarray, buckets: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(runs), pa.array(kinds.astype(np.int32)), pa.array(buckets), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["run", "kind", "bucket", "data"])
 
 
 def _asked(texts: DataFrame, known, depth: int, buckets: int, run: int) -> DataFrame:
@@ -246,7 +266,7 @@ def _asked(texts: DataFrame, known, depth: int, buckets: int, run: int) -> DataF
             name = (TaskContext.get().partitionId() << 32) + number
             ids = np.concatenate([column_of(b, "doc_id").to_numpy() for b in held])
             rows = [packed([ids, np.concatenate([t.sizes for t in tokens])])]
-            asked, owner = [hashes], [row]
+            asked, owner, row = [hashes], [small(row)], small(row)
             for length, ending in enumerate(phrases(hashes, depth + 1)[1:], 2):
                 at = np.flatnonzero(before >= length - 1)
                 at = at[known.value.has(ending[at])]
@@ -254,7 +274,7 @@ def _asked(texts: DataFrame, known, depth: int, buckets: int, run: int) -> DataF
                 owner.append(row[at])
             asked, owner = np.concatenate(asked), np.concatenate(owner)
             order = np.argsort(asked, kind="stable")
-            asked, owner = asked[order], small(owner[order])
+            asked, owner = asked[order], owner[order]
             first = heads(asked)
             times = np.diff(np.append(first, len(asked)))
             bucket = _buckets(asked[first], buckets)
@@ -262,14 +282,14 @@ def _asked(texts: DataFrame, known, depth: int, buckets: int, run: int) -> DataF
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(first)]):
                 stop = first[b] if b < len(first) else len(asked)
                 rows.append(packed([asked[first[a:b]], small(times[a:b]), owner[first[a] : stop]]))
-            columns = [np.full(len(rows), name), np.append(-1, bucket[begin])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(rows, pa.binary())], ["run", "bucket", "data"])
+            kinds = np.append(OWNERS, np.full(len(begin), ASKED))
+            yield _rows(np.full(len(rows), name), kinds, np.append(name % buckets, bucket[begin]), rows)
 
-    return texts.mapInArrow(sent, "run long, bucket long, data binary")
+    return texts.mapInArrow(sent, EXCHANGE)
 
 
 def _given(values: DataFrame, buckets: int) -> DataFrame:
-    """The tree's table in bundles; they come before what is asked of them."""
+    """The tree's table in bundles."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,28 +300,32 @@ def _given(values: DataFrame, buckets: int) -> DataFrame:
             bucket = _buckets(phrase, buckets)
             begin = heads(bucket)
             rows = [packed([phrase[a:b], value[a:b], base[a:b]]) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(phrase)] if len(phrase) else [])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["run", "bucket", "data"])
+            none = np.zeros(len(rows), np.int64)
+            yield _rows(none, none + TABLE, bucket[begin], rows)
 
-    return values.mapInArrow(sent, "run long, bucket long, data binary")
+    return values.mapInArrow(sent, EXCHANGE)
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every run that asks a bucket the sums of its documents."""
+    """For every run that asks a bucket the sums of its documents; a bucket's table comes first, owners go on as they are."""
     last, parts, table = None, [], None
     for batch in batches:
-        for run, bucket, data in zip(column_of(batch, "run").to_pylist(), column_of(batch, "bucket").to_pylist(), column_of(batch, "data")):
+        answers = []
+        for run, kind, bucket, data in zip(*(column_of(batch, n).to_pylist() for n in ("run", "kind", "bucket", "data"))):
             if bucket != last:
                 last, parts, table = bucket, [], None
-            if run is None:
-                parts.append(unpacked(data.as_py()))
+            if kind == TABLE:
+                parts.append(unpacked(data))
+                continue
+            if kind == OWNERS:
+                answers.append((run, OWNERS, data))
                 continue
             if table is None:
                 columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.uint64), np.empty(0), np.empty(0)]
                 order = np.argsort(columns[0])
                 table, parts = [c[order] for c in columns], []
             phrase, value, base = table
-            asked, times, owner = unpacked(data.as_py())
+            asked, times, owner = unpacked(data)
             place = np.minimum(np.searchsorted(phrase, asked), len(phrase) - 1)
             there = phrase[place] == asked if len(phrase) else np.zeros(len(asked), bool)
             values, bases = (np.where(there, v[place], np.nan) if len(phrase) else np.full(len(asked), np.nan) for v in (value, base))
@@ -309,12 +333,14 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = owner.astype(np.int64)
             sums = [np.bincount(docs, np.repeat(v, times)) for v in (np.nan_to_num(values), np.nan_to_num(bases), known)]
             touched = np.unique(docs)
-            row = packed([small(touched), *(s[touched] for s in sums)])
-            yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([bucket]), pa.array([row], pa.binary())], ["run", "bucket", "data"])
+            answers.append((run, ANSWER, packed([small(touched), *(s[touched] for s in sums)])))
+        if answers:
+            runs, kinds, rows = zip(*answers)
+            yield _rows(np.array(runs, np.int64), np.array(kinds), np.full(len(rows), last), list(rows))
 
 
 def _totals(unknown: float):
-    """Sums of each run's documents; the row with the documents themselves comes first."""
+    """Sums of each run's documents; the row with its documents comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -327,9 +353,9 @@ def _totals(unknown: float):
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in RESULT.split(", ")])
 
         for batch in batches:
-            for bucket, data in zip(column_of(batch, "bucket").to_pylist(), column_of(batch, "data")):
-                parts = unpacked(data.as_py())
-                if bucket < 0:
+            for kind, data in zip(column_of(batch, "kind").to_pylist(), column_of(batch, "data").to_pylist()):
+                parts = unpacked(data)
+                if kind == OWNERS:
                     if held is not None:
                         yield done()
                     held = (*parts, *(np.zeros(len(parts[0])) for _ in range(3)))
@@ -353,11 +379,10 @@ def scores(documents: DataFrame, tree: Tree, depth: int = DEPTH, run: int = RUN,
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << ceil(log2(max(1, tree.tokens / bucket)))
     known = spark.sparkContext.broadcast(HashBits.of(tree.values.where("base is null"), "phrase"))
-    # Written once, so that a run's name means the same texts in both of its uses.
-    asked = checkpointed(_asked(_texts(documents), known, depth, buckets, run))
-    dealt = asked.where("bucket >= 0").union(_given(tree.values, buckets)).repartition(tasks, "bucket")
-    answers = dealt.sortWithinPartitions("bucket", F.asc_nulls_first("run")).mapInArrow(_answered, "run long, bucket long, data binary")
-    answers = answers.union(asked.where("bucket < 0")).repartition(tasks, "run").sortWithinPartitions("run", "bucket")
+    # A run's documents and what it asks come from one task, so its name means the same texts to both.
+    dealt = _asked(_texts(documents), known, depth, buckets, run).union(_given(tree.values, buckets)).repartition(tasks, "bucket")
+    answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(_answered, EXCHANGE)
+    answers = answers.repartition(tasks, "run").sortWithinPartitions("run", "kind")
     return public_id(answers.mapInArrow(_totals(tree.unknown), RESULT))
 
 

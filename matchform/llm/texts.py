@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from matchform.session import ensure_checkpoint_dir
+
 # A null id sorts behind every real one.
 NO_ID = 2**63 - 1
 # Text handled at once by the array code; a longer document is handled alone.
@@ -38,6 +41,15 @@ def public_id(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Write a table once, as Parquet in the shared checkpoint folder, and read it back: smaller than checkpointed rows."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage.
 
