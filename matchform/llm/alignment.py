@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -69,6 +70,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(t) for t in tokens]) for tokens in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), [f"|{i}" for i in range(len(self.b_bytes))]
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_control(i) or self.b.is_unknown(i):
@@ -83,16 +85,15 @@ class Aligner:
         """Alignments of pieces, each with a space ahead of it; ``texts`` also writes the groups."""
         a_ids = [self._a_ids(" " + p) for p in pieces]
         b_ids = self.b.encode(pieces, num_threads=1)
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        exact = np.zeros(len(pieces), bool)
-        for i, (p, x, y) in enumerate(zip(pieces, a_ids, b_ids)):
-            raw = b" " + p.encode()
-            exact[i] = b"".join(map(a_of, x)) == raw and b"".join(map(b_of, y)) == raw
+        raws = [b" " + p.encode() for p in pieces]
+        exact = np.ones(len(pieces), bool)
+        for ids, tokens, size in ((a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)):
+            exact &= self._gives_back(raws, ids, tokens, size)
         if not exact.all():
             a_ids = [ids if good else [] for ids, good in zip(a_ids, exact)]
             b_ids = [ids if good else [] for ids, good in zip(b_ids, exact)]
         n_a, n_b = (np.array([len(ids) for ids in all_ids], np.int64) for all_ids in (a_ids, b_ids))
-        a, b = (np.fromiter((i for ids in all_ids for i in ids), np.int64) for all_ids in (a_ids, b_ids))
+        a, b = (np.array([*chain.from_iterable(all_ids)], np.int64) for all_ids in (a_ids, b_ids))
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # Between two ends of either kind lie the bytes of one token of each.
         ends = np.union1d(a_ends, b_ends)
@@ -104,10 +105,22 @@ class Aligner:
         return Aligned(n_a, n_b, n_groups, np.bincount(owner, minlength=len(pieces)), exact, a[at_a] << 32 | b[at_b], groups)
 
     @staticmethod
-    def _written(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
-        x, y, since_a, since_b, found = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0, []
+    def _gives_back(raws: list[bytes], ids: list[list[int]], tokens: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Which pieces the bytes of their tokens spell; all are compared at once, one by one only where that fails."""
+        flat, counts = [*chain.from_iterable(ids)], np.array([len(i) for i in ids], np.int64)
+        ends = np.append(0, np.cumsum(size[np.array(flat, np.int64)]))[np.append(0, np.cumsum(counts))]
+        if np.array_equal(np.diff(ends), [len(r) for r in raws]) and b"".join(map(tokens.__getitem__, flat)) == b"".join(raws):
+            return np.ones(len(raws), bool)
+        return np.array([b"".join(map(tokens.__getitem__, own)) == raw for own, raw in zip(ids, raws)], bool)
+
+    def _written(self, a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
+        x, y = list(map(self.a_text.__getitem__, a.tolist())), list(map(self.b_text.__getitem__, b.tolist()))
+        since_a, since_b, found = 0, 0, []
         for stop_a, stop_b in zip(a_stops.tolist(), b_stops.tolist()):
-            found.append(f"{','.join(x[since_a:stop_a])}|{','.join(y[since_b:stop_b])}")
+            if stop_a - since_a == 1 == stop_b - since_b:
+                found.append(x[since_a] + y[since_b])
+            else:
+                found.append(f"{','.join(x[since_a:stop_a])}{y[since_b]}{''.join(y[since_b + 1 : stop_b]).replace('|', ',')}")
             since_a, since_b = stop_a, stop_b
         stops = np.cumsum(n_groups).tolist()
         return [";".join(found[i:j]).encode() for i, j in zip([0, *stops], stops)]
