@@ -285,8 +285,8 @@ def convert(paths: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
         .where("path != of.path or place != of.place")
         .groupBy("path").agg(F.collect_list(F.struct("place", "of.record_id", "of.url", "of.date")).alias("revisits"))
     )
-    # An archive's own revisits are bounded by its size.
-    todo = paths.select("path").join(revisits, "path", "left")
+    # An archive's own revisits are bounded by its size. Written, so that the files are dealt out anew and not as the join left them.
+    todo = checkpointed(paths.select("path").join(revisits, "path", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, counts = Writer(folder, "warc.gz", warc_opening), {}
