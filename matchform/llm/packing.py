@@ -7,6 +7,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,12 @@ def parts_of(word: str) -> list[str]:
     return [base, word[len(base) :]] if len(base) < len(word) and base.lstrip(" ").isalpha() else [word]
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """A worker reads the vocabulary once and goes on with the words it remembers."""
+    return Encoder(path)
+
+
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """The pieces of every document: its ids and a closing id ``end``, cut after every ``capacity`` ids.
 
@@ -113,7 +120,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in blocks(batches):
             row, start, length, crc, total = [], [], [], [], []
             texts = [t or "" for t in column_of(batch, "text").to_pylist()]
