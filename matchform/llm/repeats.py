@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchform.llm.texts import RangeHash, blocks, column_of, keyed, release, text_bytes, word_spans
+from matchform.llm.texts import BLOCK_BYTES, RangeHash, blocks, column_of, keyed, release, text_bytes, word_spans
 from matchform.session import checkpointed
 
 SECOND_BASE = 0x2545F4914F6CDD1D
@@ -46,6 +46,20 @@ class Windows:
         starts, stops, first = word_spans(raw, ends)
         return RangeHash(raw)(starts, stops), first, starts, stops
 
+    @property
+    def block(self) -> int:
+        """Bytes of text handled at once: several numbers are held for every symbol of it."""
+        return BLOCK_BYTES if self.words else BLOCK_BYTES // 4
+
+    def slices(self, raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """A block as it is, or one long text of bytes in slices: every window lies whole in one, the first number is its place."""
+        if self.words or len(ends) != 2 or len(raw) <= self.block + self.length:
+            yield 0, raw, ends
+            return
+        for at in range(0, len(raw) - self.length + 1, self.block):
+            part = raw[at : at + self.block + self.length - 1]
+            yield at, part, np.array([0, len(part)])
+
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` consecutive keys."""
@@ -95,12 +109,15 @@ def occurrences(documents: DataFrame, kind: Windows) -> DataFrame:
     """A row for every segment of every document, without its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            found = segments(kind, *text_bytes(column_of(batch, "text")))
-            if found:
-                rows = pa.array(found["row"])
-                keys = [column_of(batch, name).take(rows) for name in ("doc_id", "version")]
-                yield pa.RecordBatch.from_arrays(keys + [pa.array(found[n]) for n in NUMBERS], ["doc_id", "version", *NUMBERS])
+        for batch in blocks(batches, limit=kind.block):
+            for at, raw, ends in kind.slices(*text_bytes(column_of(batch, "text"))):
+                found = segments(kind, raw, ends)
+                if found:
+                    rows = pa.array(found["row"])
+                    keys = [column_of(batch, name).take(rows) for name in ("doc_id", "version")]
+                    for name in ("start", "begin", "stop"):
+                        found[name] = found[name] + at
+                    yield pa.RecordBatch.from_arrays(keys + [pa.array(found[n]) for n in NUMBERS], ["doc_id", "version", *NUMBERS])
 
     return documents.mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "version", *NUMBERS)))
 
@@ -286,7 +303,8 @@ def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: boo
     counted = F.col("runs") if elsewhere else F.filter("runs", lambda run: run["least"] < F.col("doc_id"))
     own = F.transform(counted, lambda run: F.struct((F.col("start") + run["first"]).alias("start"), (run["length"] + (kind.length - 1)).alias("length")))
     spans = placed.select("doc_id", "version", own.alias("spans")).where(F.size("spans") > 0)
-    spans = spans.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # Rows that repeat an id and text have the same spans, which are collected once.
+    spans = spans.groupBy("doc_id", "version").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return texts.join(spans, ["doc_id", "version"], "left")
 
 

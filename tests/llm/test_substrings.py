@@ -38,6 +38,14 @@ def test_documents_and_edge_cases_equal_brute_force(as_documents, texts):
     assert found_in(substrings.removed_words(as_documents(rows))) == plain_removed(rows, 50)
 
 
+def test_many_equal_rows_without_id_have_the_spans_of_one(as_documents, texts):
+    text = next(t for t in texts.values() if t and len(t.split()) > 120)
+    other = [(i, t) for i, t in texts.items() if t != text][:20]
+    found = substrings._with_spans(as_documents([*other, (-5, text), *[(None, text)] * 2000]), 50, 8)
+    sizes = [r.n for r in found.where(f"doc_id = {2**63 - 1}").selectExpr("size(spans) as n").collect()]
+    assert len(sizes) == 2000 and len(set(sizes)) == 1 and sizes[0] < len(text.split())
+
+
 @pytest.mark.parametrize(("group", "most"), [(40, 60), (500, 10**6), (1 << 18, 1 << 20)])
 def test_groups_of_any_size_give_the_same(monkeypatch, as_documents, group, most):
     rng = random.Random(4)

@@ -44,6 +44,14 @@ def test_groups_and_shards_of_any_size_give_the_same(monkeypatch, as_documents,
     assert found_in(suffixes.removed_bytes(as_documents(rows), length=10, gram=4)) == plain_removed(rows, 10)
 
 
+def test_long_texts_in_slices_give_the_same(monkeypatch, as_documents):
+    rng = random.Random(9)
+    part = "".join(rng.choices("abcde ", k=700))
+    rows = [(i, "".join(rng.choices("xyz uvw", k=rng.randrange(4000))) + part + "".join(rng.choices("kl mn", k=rng.randrange(3000))) + part[:400]) for i in range(12)]
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 4 * 512)
+    assert found_in(suffixes.removed_bytes(as_documents(rows))) == plain_removed(rows, 200)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 250):
