@@ -38,6 +38,15 @@ def small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
+def planes(ascending: np.ndarray) -> np.ndarray:
+    """Ascending hashes as the bytes of their distances, all first bytes, then all second ones: their upper ones are zero."""
+    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.reshape(-1)
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A hash of two hashes in this order."""
     return mixed(first * np.uint64(0xA24BAED4963EE407) + second)

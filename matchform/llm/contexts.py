@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log2, log10
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from matchform.llm.bundles import HashBits, Ranks, heads, joined, packed, small, unpacked
+from matchform.llm.bundles import HashBits, Ranks, from_planes, heads, joined, packed, planes, small, unpacked
 from matchform.llm.decontaminate import FOLD
 from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, public_id, release, stored, text_bytes, word_spans
 
@@ -112,47 +113,36 @@ def followers(texts: DataFrame, depth: int, frequent, ranks, least: int, buckets
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, _, before, *_ in _runs(batches, run):
-            ending = phrases(hashes, depth)
+            ending = phrases(hashes, depth)[-1]
             at = np.flatnonzero(before >= depth)
-            at = at[frequent.value.has(ending[-1][at - 1])]
-            context, word = ending[-1][at - 1], hashes[at]
-            phrase = joined(context, word)
+            at = at[frequent.value.has(ending[at - 1])]
+            phrase = joined(ending[at - 1], hashes[at])
             order = np.argsort(phrase, kind="stable")
             first = heads(phrase[order])
-            times, order = np.diff(np.append(first, len(order))), order[first]
-            context, word, phrase = context[order], word[order], phrase[order]
-            parent = ending[-2][at[order] - 1] if depth > 1 else np.zeros(len(order), np.uint64)
-            bucket = _buckets(phrase, buckets)
+            times, at = np.diff(np.append(first, len(order))), at[order[first]]
+            bucket = _buckets(phrase[order[first]], buckets)
+            # Sent as its words, of which the frequent ones are short numbers, in their order within a bundle.
+            words = np.stack([hashes[at - k] for k in range(depth, -1, -1)])
+            codes = ranks.value.codes(words)
+            order = np.lexsort((codes[1], codes[0], bucket))
+            words, codes, times, bucket = words[:, order], codes[:, order], times[order], bucket[order]
             begin = heads(bucket)
-            rows = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)] if len(order) else []):
-                if depth == 1:
-                    pairs = np.stack((context[a:b], word[a:b]))
-                    rows.append(ranks.value.bundle(pairs, ranks.value.codes(pairs), times[a:b]))
-                    continue
-                contexts, one, code = np.unique(context[a:b], return_index=True, return_inverse=True)
-                words = ranks.value.bundle(word[a:b], ranks.value.codes(word[a:b]), times[a:b])
-                rows.append(packed([contexts, parent[a:b][one], small(code), np.frombuffer(words, np.uint8)]))
+            stops = [*begin[1:].tolist(), len(at)] if len(at) else []
+            rows = [ranks.value.bundle(words[:, a:b], codes[:, a:b], times[a:b]) for a, b in zip(begin.tolist(), stops)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "data"])
 
-    def opened(data: bytes) -> tuple[np.ndarray, ...]:
-        if depth == 1:
-            (context, word), times = ranks.value.words(data, 2)
-            return context, np.zeros(len(word), np.uint64), word, times
-        contexts, parents, code, words = unpacked(data)
-        (word,), times = ranks.value.words(words.tobytes(), 1)
-        return contexts[code], parents[code], word, times
-
     def summed(data: list[bytes]) -> pa.RecordBatch:
-        context, parent, word, times = (np.concatenate(columns) for columns in zip(*map(opened, data)))
-        phrase = joined(context, word)
+        words, times = (np.concatenate(columns, axis=-1) for columns in zip(*(ranks.value.words(d, depth + 1) for d in data)))
+        phrase = reduce(joined, words)
         order = np.argsort(phrase, kind="stable")
         first = heads(phrase[order])
         total = np.add.reduceat(times[order], first)
         kept = order[first[total >= least]]
-        below = joined(parent[kept], word[kept]) if depth > 1 else word[kept]
-        columns = [phrase[kept], context[kept], parent[kept], below]
+        own = words[:, kept]
+        none = np.zeros(len(kept), np.uint64)
+        parent = reduce(joined, own[1:-1]) if depth > 1 else none
+        columns = [phrase[kept], reduce(joined, own[:-1]), parent, reduce(joined, own[1:])]
         return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(total[total >= least])], [c.split()[0] for c in FOLLOWERS.split(", ")])
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -281,7 +271,7 @@ def _asked(texts: DataFrame, known, depth: int, buckets: int, run: int) -> DataF
             begin = heads(bucket)
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(first)]):
                 stop = first[b] if b < len(first) else len(asked)
-                rows.append(packed([asked[first[a:b]], small(times[a:b]), owner[first[a] : stop]]))
+                rows.append(packed([planes(asked[first[a:b]]), small(times[a:b]), owner[first[a] : stop]]))
             kinds = np.append(OWNERS, np.full(len(begin), ASKED))
             yield _rows(np.full(len(rows), name), kinds, np.append(name % buckets, bucket[begin]), rows)
 
@@ -326,6 +316,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table, parts = [c[order] for c in columns], []
             phrase, value, base = table
             asked, times, owner = unpacked(data)
+            asked = from_planes(asked)
             place = np.minimum(np.searchsorted(phrase, asked), len(phrase) - 1)
             there = phrase[place] == asked if len(phrase) else np.zeros(len(asked), bool)
             values, bases = (np.where(there, v[place], np.nan) if len(phrase) else np.full(len(asked), np.nan) for v in (value, base))

@@ -100,6 +100,8 @@ def test_empty_and_short_tables(spark):
 def test_bundles_and_bits(spark):
     arrays = [np.arange(5, dtype=np.uint64), bundles.small(np.array([3, 300])), np.empty(0, np.int64)]
     assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(arrays, bundles.unpacked(bundles.packed(arrays))))
+    hashes = np.sort(np.random.default_rng(2).integers(0, 2**64, 999, np.uint64))
+    assert np.array_equal(bundles.from_planes(bundles.planes(hashes)), hashes) and len(bundles.from_planes(bundles.planes(hashes[:0]))) == 0
     keys = spark.range(2000).selectExpr("xxhash64(id) as h")
     bits = bundles.HashBits.of(keys, "h")
     own = np.array([r.h for r in keys.collect()]).view(np.uint64)
