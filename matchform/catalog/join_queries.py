@@ -134,7 +134,7 @@ def best_odds(t):
     return t.raw().withColumnsRenamed(assemble.BEST_ODDS)
 
 
-def _model_sql() -> str:
+def model_sql() -> str:
     """The whole feature build with plain windows and a join per side."""
     picked = {"match_id": "f.match_id", "best_odds_home": 'f."MaxH"', "best_odds_draw": 'f."MaxD"',
               "best_odds_away": 'f."MaxA"', "rest_days_diff": "f.home_rest_days - f.away_rest_days"}
@@ -181,7 +181,7 @@ LEFT JOIN xg_rolled h ON f.match_id = h.match_id AND h.venue = 'home'
 LEFT JOIN xg_rolled a ON f.match_id = a.match_id AND a.venue = 'away'"""
 
 
-@query("q_model_table", _model_sql())
+@query("q_model_table", model_sql())
 def model_table(t):
     raw = t.raw_with_measures().withColumnRenamed("match_id", "source_id")
     return rounded(features.build_features(raw, t.xg(), t.curated_codes(), ties=("source_id",)))

@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from matchform.catalog import sql_common as Q
 from matchform.catalog.fold_queries import NUMERIC
 from matchform.catalog.history_queries import HISTORY, SIDE_JOINS
-from matchform.catalog.registry import query
-from matchform.functions.feature_sets import SEARCH_SPACE
+from matchform.catalog.join_queries import model_sql, model_table
+from matchform.catalog.registry import query, rounded
+from matchform.functions.feature_sets import FEATURE_GROUPS, SEARCH_SPACE
 from matchform.operators import folds, history, reshape, selection
 from matchform.operators.assemble import rejoin_sides, with_differences
 from matchform.operators.scoring import MODEL_PROBS
+from matchform.plans import features
 
 FEATURES = ["points_difference_last_5", "goals_difference_last_5", "market_home_prob_fair"]
 PARAMS = {"num_leaves": 15, "max_depth": 4, "min_child_samples": 20, "subsample": 0.8, "colsample_bytree": 1.0}
-GROUPS = {"form": FEATURES[:2], "market": FEATURES[2:]}
 THRESHOLD = 0.5
 
 
@@ -94,24 +95,33 @@ def final_season_model(t):
     return _with_sum(selection.evaluate_final_season(_form_table(t), [*FEATURES, "Div"], PARAMS).predictions)
 
 
-def _group_sql(name: str, features) -> str:
-    return f"""SELECT '{name}' AS grouping, cast({len(features)} AS INTEGER) AS feature_count, string_agg(season, ' ' ORDER BY season) AS validation_seasons,
-        cast(count(*) AS INTEGER) AS folds, true AS within_bounds, true AS known_features FROM (
+@query(
+    "q_prematch_from_results",
+    f"""WITH {HISTORY}, form AS (SELECT *, {Q.means(Q.FORM, [(m, 5) for m in ("points", "goals_for", "goals_against")])} FROM history)
+        SELECT m.season, m.league, m.match_id, m."HomeTeam", m."AwayTeam",
+          round(home.points_last_5 - away.points_last_5, 6) AS points_difference_last_5,
+          round(home.goals_for_last_5 - away.goals_for_last_5, 6) AS goals_difference_last_5,
+          round(home.goals_against_last_5, 6) AS home_goals_against_last_5, round(away.goals_against_last_5, 6) AS away_goals_against_last_5
+        FROM matches m {SIDE_JOINS}""",
+)
+def prematch_from_results(t):
+    wanted = ["points_difference_last_5", "goals_difference_last_5", "home_goals_against_last_5", "away_goals_against_last_5"]
+    found = features.prematch_from_results(t.matches())
+    return rounded(found.select("season", "league", "match_id", "HomeTeam", "AwayTeam", *wanted))
+
+
+def _group_sql(name: str, members) -> str:
+    known = " AND ".join(f'"{c}" IS NOT NULL' for c in ("match_id", "season", "FTR", *members))
+    return f"""SELECT '{name}' AS grouping, cast({len(members)} AS INTEGER) AS feature_count, string_agg(season, ' ' ORDER BY season) AS validation_seasons,
+        cast(count(*) AS INTEGER) AS folds FROM (
           SELECT season, row_number() OVER (ORDER BY season) AS n, count(*) OVER () AS total
-          FROM (SELECT DISTINCT season FROM form_table WHERE {_known([*features, "season"])})) WHERE n > 2 AND n < total"""
+          FROM (SELECT DISTINCT season FROM model WHERE {known})) WHERE n > 2 AND n < total"""
 
 
-@query("q_group_comparison", f"WITH {_COMPLETE} {' UNION ALL '.join(_group_sql(*g) for g in GROUPS.items())}")
+@query("q_group_comparison", f"WITH model AS ({model_sql()}) {' UNION ALL '.join(_group_sql(*g) for g in FEATURE_GROUPS.items())}")
 def group_comparison(t):
-    """One parameter sample of the full space for each group; logistic, so that a search of many fits ends in a minute."""
-    settings = selection.Settings(kind="logistic", max_selected=2)
-    found = selection.compare_groups(_form_table(t), GROUPS, settings, count=1, space=SEARCH_SPACE)
-    named = F.array(*[F.lit(f) for f in FEATURES])
-    return found.select(
-        "grouping",
-        "feature_count",
-        F.array_join("validation_seasons", " ").alias("validation_seasons"),
-        F.size("fold_log_losses").alias("folds"),
-        F.col("best_mean_log_loss").between(0.0, 1.2).alias("within_bounds"),
-        (F.size(F.array_except("selected_features", named)) == 0).alias("known_features"),
-    )
+    """All published groups and their features, up to eight selected; one parameter sample of the full space, four rounds."""
+    settings = selection.Settings(trees=4)
+    found = selection.compare_groups(model_table(t), FEATURE_GROUPS, settings, count=1, space=SEARCH_SPACE)
+    seasons = F.array_join("validation_seasons", " ").alias("validation_seasons")
+    return found.select("grouping", "feature_count", seasons, F.size("fold_log_losses").alias("folds"))

@@ -132,3 +132,10 @@ def log_tables(t):
 )
 def match_logs(t):
     return weblog.clean_match_log(weblog.match_logs(log_pages(t)), "League-One")
+
+
+@query("q_pages_without_log", f"WITH {Q.MATCHES} SELECT match_id AS page_id FROM matches WHERE match_id % 3 = 0")
+def pages_without_log(t):
+    """Every third page's log table lacks one of the columns that make it one."""
+    other = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<th>Result</th>"), F.lit("<th>Score</th>"))).otherwise(F.col("html"))
+    return weblog.pages_without_log(log_pages(t).withColumn("html", other))

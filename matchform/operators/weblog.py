@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from matchform.operators.filters import clean_log, filter_competition, played_only
@@ -49,75 +52,112 @@ TAG_PATTERN = r"""(?s)</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
 HREF_PATTERN = r"""(?is)^<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-_TOKENS = re.compile(
-    r"""(?is)<!--(?P<comment>.*?)(?:-->|\Z)
-    |<(?P<raw>script|style)\b.*?</(?P=raw)\s*>
-    |<(?P<close>/?)(?P<tag>table|thead|tbody|tfoot|tr|td|th)\b(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.VERBOSE,
+# Splits a page into texts and, between them, what the parser looks at: comments, scripts, styles and tags of tables.
+_SPLIT = re.compile(
+    r"""(?is)(<!--.*?(?:-->|\Z)|<script\b.*?</script\s*>|<style\b.*?</style\s*>"""
+    r"""|</?(?:table|thead|tbody|tfoot|tr|td|th)\b(?:[^>"']|"[^"]*"|'[^']*')*>)"""
 )
+_NAME = re.compile(r"(?i)</?([a-z]+)(.*)>\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?i)\b(id|colspan|rowspan)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _TAG = re.compile(r"<[^>]*>")
+CLOSING, OPENING, HIDDEN = range(3)
 
 
-def _tables(html: str) -> tuple[list[dict], list[str]]:
-    """Tables of a text as ``{id, rows}``, and its comments; nested tables follow their outer one."""
-    tables, comments, open_tables, last = [], [], [], 0
-    for token in _TOKENS.finditer(html):
-        if open_tables and open_tables[-1]["cell"] is not None:
-            open_tables[-1]["cell"]["text"].append(html[last : token.start()])
-        last = token.end()
-        tag = (token["tag"] or "").lower()
-        if token["comment"] is not None:
-            comments.append(token["comment"])
-        elif tag == "table" and not token["close"]:
-            table = {"id": _attributes(token["attrs"]).get("id"), "rows": [], "part": None, "cell": None}
-            tables.append(table)
-            open_tables.append(table)
-        elif tag and open_tables:
-            _apply(open_tables, tag, bool(token["close"]), token["attrs"])
-    return tables, comments
+class Token(NamedTuple):
+    """A tag as the parser needs it; equal tags are read once."""
 
+    kind: int
+    name: str
+    id: str | None = None
+    span: int = 1
+    down: int = 1
 
-def _apply(open_tables: list[dict], tag: str, closing: bool, attrs: str) -> None:
-    table = open_tables[-1]
-    if closing:
-        if tag == "table":
-            open_tables.pop()
-        elif tag in ("td", "th", "tr"):
-            table["cell"] = None
-        else:
-            table["part"] = None
-    elif tag in ("td", "th"):
-        if not table["rows"]:
-            table["rows"].append({"cells": [], "part": table["part"]})
-        names = _attributes(attrs)
-        table["cell"] = {
-            "tag": tag,
-            "span": _span(names.get("colspan")),
-            "down": _span(names.get("rowspan")),
-            "text": [],
-        }
-        table["rows"][-1]["cells"].append(table["cell"])
-    elif tag == "tr":
-        table["rows"].append({"cells": [], "part": table["part"]})
-        table["cell"] = None
-    else:
-        table["part"] = tag
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return {name.lower(): one or two or three for name, one, two, three in _ATTRIBUTE.findall(text or "")}
+
+@lru_cache(maxsize=1 << 14)
+def _token(text: str) -> Token:
+    name, attributes = _NAME.match(text).groups()
+    name = name.lower()
+    if name in ("script", "style"):
+        return Token(HIDDEN, name)
+    if text[1] == "/":
+        return Token(CLOSING, name)
+    found = {key.lower(): one or two or three for key, one, two, three in _ATTRIBUTE.findall(attributes)}
+    return Token(OPENING, name, found.get("id"), _span(found.get("colspan")), _span(found.get("rowspan")))
 
 
 def _span(value: str | None) -> int:
     return max(int(value), 1) if value and value.isdigit() else 1
 
 
-def _grid(rows: Sequence[dict]) -> list[list[str]]:
+class Cell:
+    """A cell with the texts between its tags."""
+
+    __slots__ = ("tag", "texts")
+
+    def __init__(self, tag: Token):
+        self.tag, self.texts = tag, []
+
+    def text(self) -> str:
+        whole = self.texts[0] if len(self.texts) == 1 else "".join(self.texts)
+        if "<" in whole:
+            whole = _TAG.sub("", whole)
+        return " ".join((unescape(whole) if "&" in whole else whole).split())
+
+
+class Table:
+    """A table's rows as (part, cells); ``part`` is thead, tbody, tfoot or None."""
+
+    __slots__ = ("id", "rows", "part", "cell")
+
+    def __init__(self, id: str | None):
+        self.id, self.rows, self.part, self.cell = id, [], None, None
+
+
+def _tables(html: str) -> tuple[list[Table], list[str]]:
+    """Tables of a text and its comments; nested tables follow their outer one."""
+    tables, comments, opened = [], [], []
+    parts = _SPLIT.split(html)
+    for before, text in zip(parts[::2], parts[1::2]):
+        table = opened[-1] if opened else None
+        if table is not None and table.cell is not None:
+            table.cell.texts.append(before)
+        if text[1] == "!":
+            comments.append(text[4:-3] if text.endswith("-->") and len(text) >= 7 else text[4:])
+            continue
+        token = _token(text)
+        kind, name = token.kind, token.name
+        if kind == OPENING and name == "table":
+            tables.append(Table(token.id))
+            opened.append(tables[-1])
+        elif table is None or kind == HIDDEN:
+            continue
+        elif name in ("td", "th"):
+            if kind == CLOSING:
+                table.cell = None
+                continue
+            if not table.rows:
+                table.rows.append((table.part, []))
+            table.cell = Cell(token)
+            table.rows[-1][1].append(table.cell)
+        elif name == "tr":
+            table.cell = None
+            if kind == OPENING:
+                table.rows.append((table.part, []))
+        elif name == "table":
+            opened.pop()
+        else:
+            table.part = name if kind == OPENING else None
+    return tables, comments
+
+
+def _grid(rows: Sequence[Sequence[Cell]]) -> list[list[str]]:
     """Cell texts by column, with cells repeated over the columns and rows they span."""
+    if not any(cell.tag.span > 1 or cell.tag.down > 1 for cells in rows for cell in cells):
+        return [[cell.text() for cell in cells] for cells in rows]
     grid, hanging = [], {}
-    for row in rows:
+    for cells in rows:
         texts: list[str] = []
+        below: dict[int, tuple[int, str]] = {}
 
         def take_hanging():
             while len(texts) in hanging:
@@ -126,13 +166,12 @@ def _grid(rows: Sequence[dict]) -> list[list[str]]:
                     below[len(texts)] = (left - 1, text)
                 texts.append(text)
 
-        below: dict[int, tuple[int, str]] = {}
-        for cell in row["cells"]:
+        for cell in cells:
             take_hanging()
-            text = " ".join(unescape(_TAG.sub("", "".join(cell["text"]))).split())
-            for _ in range(cell["span"]):
-                if cell["down"] > 1:
-                    below[len(texts)] = (cell["down"] - 1, text)
+            text = cell.text()
+            for _ in range(cell.tag.span):
+                if cell.tag.down > 1:
+                    below[len(texts)] = (cell.tag.down - 1, text)
                 texts.append(text)
         take_hanging()
         hanging = below
@@ -147,7 +186,7 @@ def flatten_header(rows: Sequence[Sequence[str]]) -> list[str]:
     return [padded[-1][i] or padded[0][i] for i in range(width)]
 
 
-def _read_page(html: str) -> Iterator[tuple[dict, bool]]:
+def _read_page(html: str) -> Iterator[tuple[Table, bool]]:
     """Tables of the page itself, then those inside its comments."""
     tables, comments = _tables(html or "")
     yield from ((table, False) for table in tables)
@@ -156,51 +195,70 @@ def _read_page(html: str) -> Iterator[tuple[dict, bool]]:
             yield from ((table, True) for table in _tables(comment)[0])
 
 
-def _parts(table: dict) -> tuple[list[str], list[list[str]]]:
-    """Column names and body rows of one table."""
-    rows = [row for row in table["rows"] if row["cells"]]
-    head = [row for row in rows if row["part"] == "thead"]
-    if not head and rows and all(cell["tag"] == "th" for cell in rows[0]["cells"]):
+def _parted(table: Table) -> tuple[list[str], list[list[Cell]]]:
+    """Column names of one table, and the cells of its body rows, whose texts are not read yet."""
+    rows = [row for row in table.rows if row[1]]
+    head = [row for row in rows if row[0] == "thead"]
+    if not head and rows and all(cell.tag.name == "th" for cell in rows[0][1]):
         head = rows[:1]
-    body = [row for row in rows if not any(row is one for one in head)]
-    return flatten_header(_grid(head)), _grid(body)
+    body = [cells for row in rows if not any(row is one for one in head) for cells in (row[1],)]
+    return flatten_header(_grid([cells for _, cells in head])), body
 
 
-def _cells(page_id: int, html: str) -> Iterator[tuple]:
+def _cells(page_id: int, html: str, columns: list[list]) -> None:
+    """Add the body cells of a page's tables to the columns of ``CELL_SCHEMA``."""
     for table_no, (table, in_comment) in enumerate(_read_page(html)):
-        names, body = _parts(table)
-        for row_no, texts in enumerate(body):
-            for col_no, text in enumerate(texts):
-                name = names[col_no] if col_no < len(names) else str(col_no)
-                yield page_id, table_no, table["id"], in_comment, row_no, col_no, name, text or None
+        names, body = _parted(table)
+        for row_no, texts in enumerate(_grid(body)):
+            size = len(texts)
+            header = names[:size] if size <= len(names) else [*names, *map(str, range(len(names), size))]
+            same = (page_id, table_no, table.id, in_comment, row_no)
+            values = [*([value] * size for value in same), range(size), header, [text or None for text in texts]]
+            for column, own in zip(columns, values):
+                column.extend(own)
+
+
+def _log_of(html: str) -> tuple[list[str], list[list[Cell]]] | None:
+    """Names and body of the first table that has the needed columns; the bodies of others are not read."""
+    for table, _ in _read_page(html):
+        names, body = _parted(table)
+        if set(NEEDED_COLUMNS) <= set(names):
+            return names, body
+    return None
 
 
-def _log_rows(page_id: int, html: str) -> Iterator[tuple]:
-    """Rows of the first table that has the needed columns, in the expected columns."""
-    for table, _ in _read_page(html):
-        names, body = _parts(table)
-        if not set(NEEDED_COLUMNS) <= set(names):
-            continue
-        places = [names.index(name) if name in names else None for name in EXPECTED_COLUMNS]
-        for row_no, texts in enumerate(body):
-            values = [texts[p] or None if p is not None and p < len(texts) else None for p in places]
-            yield (page_id, row_no, *values)
+def _log_rows(page_id: int, season: str, team: str, html: str, columns: list[list]) -> None:
+    """Add the rows of a page's log to the columns of ``LOG_SCHEMA``."""
+    found = _log_of(html)
+    if found is None:
         return
+    names, body = found
+    places = [names.index(name) if name in names else None for name in EXPECTED_COLUMNS]
+    for row_no, texts in enumerate(_grid(body)):
+        values = [texts[p] or None if p is not None and p < len(texts) else None for p in places]
+        for column, value in zip(columns, (page_id, row_no, season, team, *values)):
+            column.append(value)
+
 
+def _reader(parse, inputs: Sequence[str], schema: T.StructType):
+    """A batch function that parses pages and hands on batches of a bounded number of rows."""
+    arrow, names = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}, schema.fieldNames()
+    kinds = [arrow[field.dataType] for field in schema]
 
-def _reader(parse, names: Sequence[str]):
-    """A batch function that parses pages and hands on frames of a bounded number of rows."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in names]
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
         for batch in batches:
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                rows.extend(parse(page_id, html))
-                if len(rows) >= ROWS_PER_FRAME:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+            for values in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in inputs)):
+                parse(*values, columns)
+                if len(columns[0]) >= ROWS_PER_FRAME:
+                    yield batch_of()
+                    columns = [[] for _ in names]
+        if columns[0]:
+            yield batch_of()
 
     return read
 
@@ -212,7 +270,7 @@ def _with_tables(pages: DataFrame) -> DataFrame:
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """Every body cell of every table, commented-out tables included, with its column's name."""
-    return _with_tables(pages.select("page_id", "html")).mapInPandas(_reader(_cells, CELL_SCHEMA.fieldNames()), CELL_SCHEMA)
+    return _with_tables(pages.select("page_id", "html")).mapInArrow(_reader(_cells, ("page_id", "html"), CELL_SCHEMA), CELL_SCHEMA)
 
 
 def html_comments(pages: DataFrame) -> DataFrame:
@@ -271,33 +329,19 @@ def match_logs(pages: DataFrame) -> DataFrame:
     A page is read as a whole, so its log table is chosen and shaped where it is parsed and
     nothing is shuffled. A column a page lacks is NULL; where a header repeats, the first counts.
     """
-    columns = pages.select("page_id", "Season", "Team", "html")
-    return _with_tables(columns).mapInPandas(_read_logs, LOG_SCHEMA)
-
-
-def _read_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (page_id, row_no, season, team, *values)
-            for page_id, season, team, html in batch[["page_id", "Season", "Team", "html"]].itertuples(index=False)
-            for _, row_no, *values in _log_rows(page_id, html)
-        ]
-        yield pd.DataFrame(rows, columns=LOG_SCHEMA.fieldNames())
+    inputs = ("page_id", "Season", "Team", "html")
+    return _with_tables(pages.select(*inputs)).mapInArrow(_reader(_log_rows, inputs, LOG_SCHEMA), LOG_SCHEMA)
 
 
 def pages_without_log(pages: DataFrame) -> DataFrame:
     """``page_id`` of the pages that ``match_logs`` has no rows for because none of their tables is a match log."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            missing = [
-                page_id
-                for page_id, html in zip(batch["page_id"], batch["html"])
-                if not any(set(NEEDED_COLUMNS) <= set(_parts(table)[0]) for table, _ in _read_page(html))
-            ]
-            yield pd.DataFrame({"page_id": pd.Series(missing, dtype="int64")})
-
-    return pages.select("page_id", "html").repartition("page_id").mapInPandas(read, "page_id long")
+    def missing(page_id: int, html: str, columns: list[list]) -> None:
+        if _log_of(html) is None:
+            columns[0].append(page_id)
+
+    schema = T.StructType([T.StructField("page_id", T.LongType())])
+    return pages.select("page_id", "html").repartition("page_id").mapInArrow(_reader(missing, ("page_id", "html"), schema), schema)
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
