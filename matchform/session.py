@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def with_settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Run-time settings for the jobs that run inside; what was set before is put back."""
+    names = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in names}
+    for key, value in names.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def build_session(app: str = "matchform", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators are tuned for; ``conf`` overrides any of them."""
     settings = {
