@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchform.llm.texts import BLOCK_BYTES, RangeHash, blocks, column_of, keyed, release, text_bytes, word_spans
+from matchform.llm.texts import BLOCK_BYTES, RangeHash, blocks, column_of, keyed, release, stored, text_bytes, word_spans
 from matchform.session import checkpointed
 
 SECOND_BASE = 0x2545F4914F6CDD1D
@@ -231,7 +231,7 @@ def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
     times = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"))
     # Written first, so that the join reads two plain shuffles and an anchor that many segments have can be split.
     shared = checkpointed(times.where("times > 1").select("anchor"))
-    return checkpointed(found.join(shared, "anchor"))
+    return stored(found.join(shared, "anchor"))
 
 
 # Places of a class that travel in one row.
@@ -275,7 +275,7 @@ def _runs(texts: DataFrame, found: DataFrame, groups: Groups) -> DataFrame:
     )
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "content", "windows")
-    return checkpointed(dealt.mapInArrow(groups, RUNS))
+    return stored(dealt.mapInArrow(groups, RUNS))
 
 
 def repeated(documents: DataFrame, kind: Windows, groups: Groups, elsewhere: bool) -> DataFrame:
