@@ -28,6 +28,8 @@ CLASSES = 3
 NUMBER_BINS, CATEGORY_BINS = 64, 256
 # Rows of a block, rounds between checkpoints, partial sums added before they reach the driver.
 BLOCK_ROWS, CHECKPOINT_ROUNDS, FAN_IN = 1 << 14, 10, 16
+# Rows (times fits) that make a task of its own worth it.
+TASK_ROWS = 1 << 15
 LEAST_HESSIAN = 1e-3
 # Added to a category's hessian where categories are ordered, and to a side's where they are split.
 CATEGORY_SMOOTH, CATEGORY_PENALTY = 10.0, 10.0
@@ -291,6 +293,9 @@ def boost(data: RDD, bins: Bins, fits: Sequence[Fit], params: Params, trees: int
     """
     counted = data.map(lambda b: np.stack([np.stack([((b.label == k) & np.isin(b.group, list(f.learn))).sum() for k in range(CLASSES)]) for f in fits]))
     counts = _summed(counted) + 1e-9
+    # Little work goes to few tasks: a round is a handful of jobs, and each of their tasks costs its start.
+    work = data.map(lambda b: len(b.label)).sum() * len(fits)
+    data = data.coalesce(max(1, min(data.getNumPartitions(), ceil(work / TASK_ROWS))))
     starts = np.log(counts / counts.sum(axis=1, keepdims=True))
     models, older = [Ensemble(start, params.depth) for start in starts], []
     state = data.map(lambda b: replace(b, margins=np.repeat(starts[:, None], len(b.label), axis=1))).persist(StorageLevel.MEMORY_AND_DISK)
