@@ -20,7 +20,7 @@ from math import ceil, log2, log10
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchform.llm.bundles import HashBits, Ranks, from_planes, heads, joined, packed, planes, small, unpacked
 from matchform.llm.decontaminate import FOLD
@@ -99,6 +99,11 @@ def token_counts(texts: DataFrame, run: int = RUN) -> DataFrame:
     return texts.select("text").mapInArrow(counted, "phrase long, times long").groupBy("phrase").agg(F.sum("times").alias("times"))
 
 
+def bucket_count(spark: SparkSession, tokens: int, bucket: int) -> int:
+    """As many buckets as there are tasks, or more where they would be larger than ``bucket``; a power of two."""
+    return 1 << ceil(log2(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), tokens / bucket)))
+
+
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     bits = int(log2(buckets))
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
@@ -210,7 +215,7 @@ def learn(
     spark, texts = documents.sparkSession, _texts(documents)
     single = stored(token_counts(texts, run))
     tokens, kinds = single.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = 1 << ceil(log2(max(1, tokens / bucket)))
+    buckets = bucket_count(spark, tokens, bucket)
     base = single.select("phrase", "times", ((F.col("times") + 1) / (tokens + kinds + 1)).alias("p"))
     ranks = spark.sparkContext.broadcast(Ranks.of(single, "phrase", "times"))
     occurs, below, levels = single, base, []
@@ -296,11 +301,51 @@ def _given(values: DataFrame, buckets: int) -> DataFrame:
     return values.mapInArrow(sent, EXCHANGE)
 
 
+# Documents whose sums a task holds before it sends them.
+HELD_DOCUMENTS = 1 << 20
+
+
+class Sums:
+    """Sums of each run's documents over the buckets of a task."""
+
+    def __init__(self):
+        self.runs, self.size = {}, 0
+
+    def add(self, run: int, docs: np.ndarray, parts: list[np.ndarray]) -> None:
+        """``parts`` are values to add for each of ``docs``."""
+        size = int(docs.max()) + 1
+        held = self.runs.get(run)
+        if held is None or held.shape[1] < size:
+            more = np.zeros((len(parts), size))
+            if held is not None:
+                more[:, : held.shape[1]] = held
+                self.size -= held.shape[1]
+            self.runs[run], self.size = more, self.size + size
+        for total, part in zip(self.runs[run], parts):
+            total[:size] += np.bincount(docs, part, minlength=size)
+
+    def rows(self, bucket: int) -> pa.RecordBatch:
+        data = [packed(list(total)) for total in self.runs.values()]
+        names = np.array(list(self.runs), np.int64)
+        self.runs, self.size = {}, 0
+        return _rows(names, np.full(len(data), ANSWER), np.full(len(data), bucket), data)
+
+
+def _looked_up(asked: np.ndarray, table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and base scores of phrases (zero: none), and which of them are known tokens."""
+    phrase, *columns = table
+    if not len(phrase):
+        return np.zeros(len(asked)), np.zeros(len(asked)), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(phrase, asked), len(phrase) - 1)
+    there = phrase[place] == asked
+    value, base = (np.where(there, column[place], np.nan) for column in columns)
+    return np.nan_to_num(value), np.nan_to_num(base), ~np.isnan(base)
+
+
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every run that asks a bucket the sums of its documents; a bucket's table comes first, owners go on as they are."""
-    last, parts, table = None, [], None
+    """For every run the sums of its documents over a task's buckets; a bucket's table comes first, owners go on as they are."""
+    last, parts, table, sums = None, [], None, Sums()
     for batch in batches:
-        answers = []
         for run, kind, bucket, data in zip(*(column_of(batch, n).to_pylist() for n in ("run", "kind", "bucket", "data"))):
             if bucket != last:
                 last, parts, table = bucket, [], None
@@ -308,26 +353,18 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(unpacked(data))
                 continue
             if kind == OWNERS:
-                answers.append((run, OWNERS, data))
+                yield _rows(np.array([run]), np.array([OWNERS]), np.array([bucket]), [data])
                 continue
             if table is None:
                 columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.uint64), np.empty(0), np.empty(0)]
                 order = np.argsort(columns[0])
                 table, parts = [c[order] for c in columns], []
-            phrase, value, base = table
             asked, times, owner = unpacked(data)
-            asked = from_planes(asked)
-            place = np.minimum(np.searchsorted(phrase, asked), len(phrase) - 1)
-            there = phrase[place] == asked if len(phrase) else np.zeros(len(asked), bool)
-            values, bases = (np.where(there, v[place], np.nan) if len(phrase) else np.full(len(asked), np.nan) for v in (value, base))
-            known = ~np.isnan(bases)
-            docs = owner.astype(np.int64)
-            sums = [np.bincount(docs, np.repeat(v, times)) for v in (np.nan_to_num(values), np.nan_to_num(bases), known)]
-            touched = np.unique(docs)
-            answers.append((run, ANSWER, packed([small(touched), *(s[touched] for s in sums)])))
-        if answers:
-            runs, kinds, rows = zip(*answers)
-            yield _rows(np.array(runs, np.int64), np.array(kinds), np.full(len(rows), last), list(rows))
+            sums.add(run, owner.astype(np.int64), [np.repeat(v, times) for v in _looked_up(from_planes(asked), table)])
+            if sums.size > HELD_DOCUMENTS:
+                yield sums.rows(last)
+    if sums.size:
+        yield sums.rows(last)
 
 
 def _totals(unknown: float):
@@ -351,8 +388,8 @@ def _totals(unknown: float):
                         yield done()
                     held = (*parts, *(np.zeros(len(parts[0])) for _ in range(3)))
                     continue
-                for total, part in zip(held[2:], parts[1:]):
-                    total[parts[0]] += part
+                for total, part in zip(held[2:], parts):
+                    total[: len(part)] += part
         if held is not None:
             yield done()
 
@@ -368,7 +405,7 @@ def scores(documents: DataFrame, tree: Tree, depth: int = DEPTH, run: int = RUN,
     """
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << ceil(log2(max(1, tree.tokens / bucket)))
+    buckets = bucket_count(spark, tree.tokens, bucket)
     known = spark.sparkContext.broadcast(HashBits.of(tree.values.where("base is null"), "phrase"))
     # A run's documents and what it asks come from one task, so its name means the same texts to both.
     dealt = _asked(_texts(documents), known, depth, buckets, run).union(_given(tree.values, buckets)).repartition(tasks, "bucket")

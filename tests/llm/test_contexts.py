@@ -3,9 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 from math import log, log10
 
+import numpy as np
 import pytest
 
-from matchform.llm import contexts
+from matchform.llm import bundles, contexts
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -99,6 +100,17 @@ def test_equals_brute_force(as_documents, rows, depth, context, follower, gain,
         assert {len(s) for s in stay} == {1, 2, 3}
 
 
+def test_sums_of_a_task():
+    sums = contexts.Sums()
+    sums.add(7, np.array([0, 2, 2]), [np.array([1.0, 2.0, 3.0]), np.array([True, False, True])])
+    sums.add(9, np.array([1]), [np.array([4.0]), np.array([True])])
+    sums.add(7, np.array([4]), [np.array([0.5]), np.array([True])])
+    assert sums.size == 7
+    rows = sums.rows(3).to_pylist()
+    found = {r["run"]: [a.tolist() for a in bundles.unpacked(r["data"])] for r in rows}
+    assert found == {7: [[1, 0, 5, 0, 0.5], [1, 0, 1, 0, 1]], 9: [[0, 4], [0, 1]]} and sums.size == 0
+
+
 def test_contexts_make_held_out_texts_likelier(as_documents, rows):
     found = [r for r in contexts.judged(as_documents(rows)).collect() if r.held_out and r.doc_id is not None and r.doc_id < 300]
     assert len(found) > 20 and sum(r.score for r in found) > sum(r.base_score for r in found) * 0.9
