@@ -206,3 +206,25 @@ def test_a_save_that_fails_leaves_the_set_before_it(spark, seasons, tmp_path, mo
     assert kept["grouping_cv"].first()["grouping"] == kept["run_info"].first()["best_grouping"] == "first" and kept["predictions"].count() == 120
     result_store.save_results(second, done, seasons, folder)
     assert load_results(spark, folder)["run_info"].first()["best_grouping"] == "second"
+
+
+def test_a_fit_is_made_once_and_few_go_side_by_side(spark, seasons, monkeypatch):
+    """Folds ask for the same inner fits; what goes side by side is bounded, whatever is asked for."""
+    settings = replace(FAST, kind="boosted", trees=2)
+    data = selection.prepare(seasons, ["HomeTeam", *MARKET], settings)
+    labels = folds.ordered_seasons(data.rows)
+    bench = selection.bench_of(data, labels, ["HomeTeam", *MARKET], settings)
+    params = {"max_depth": 2, "num_leaves": 3, "min_child_samples": 10}
+    inner = [split for known, _ in folds.outer_folds(labels) for split in folds.inner_folds(known)]
+    wanted = [(features, *split) for split in inner for features in (MARKET, MARKET[:1], ["HomeTeam"])]
+    expected, runs, boost = bench.losses(wanted, params, settings), [], selection.boosting.boost
+
+    def counted(data, bins, fits, *others):
+        runs.append(fits)
+        return boost(data, bins, fits, *others)
+
+    monkeypatch.setattr(selection.boosting, "boost", counted)
+    monkeypatch.setattr(selection, "FIT_COLUMNS", 3)
+    assert bench.losses(wanted, params, settings) == [pytest.approx(pair) for pair in expected]
+    assert sum(map(len, runs)) == len({tuple(learn) for learn, _ in inner}) * 3 < len(wanted)
+    assert all(sum(len(fit.features) for fit in run) <= 3 for run in runs)
