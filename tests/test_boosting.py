@@ -112,3 +112,16 @@ def test_categories_do_not_carry_their_own_result(spark, kind):
     chosen = F.when(F.col("FTR") == "H", columns[0]).when(F.col("FTR") == "D", columns[1]).otherwise(columns[2])
     (loss,) = model.probabilities(spark.createDataFrame(fresh)).agg(F.avg(-F.ln(F.greatest(chosen, F.lit(1e-12))))).first()
     assert abs(loss - math.log(3)) < 0.06
+
+
+def test_equal_rows_share_their_margins(spark):
+    """Margins are kept for the rows that differ, not for every row; equal rows lie in one block."""
+    df = spark.range(200_000).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("c"), F.col("id") % 5).alias("c"),
+                                     F.pmod(F.xxhash64("id"), F.lit(3)).alias("label"), (F.col("id") % 2).alias("part"), "id")
+    bins = bo.find_bins(df, ["x", "c"], ["c"])
+    data = bo.blocks(df, bins, "label", "part", "id", together=True)
+    _, state = bo.boost(data, bins, [bo.Fit((0, 1), frozenset([0]))], bo.Params(subsample=0.7, max_depth=2, num_leaves=4), 3)
+    blocks = state.collect()
+    assert sum(len(b.label) for b in blocks) == 200_000 and all(len(b.label) <= bo.BLOCK_ROWS for b in blocks)
+    # Seven numbers, five categories, three classes and two parts; a cell may be cut by the ends of a block.
+    assert sum(len(own) for b in blocks for own in b.scores) <= 210 + 6 * len(blocks)
