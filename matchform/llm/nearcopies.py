@@ -1,5 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: prefixes of a global order, exact verification, components.
+"""Near copies by Jaccard similarity of word shingles: SimHash grid, prefixes of a global order, exact verification, components.
 
+SimHash fingerprints of the shingle sets that lie within four bits are found by the grid join of ``simhash`` and
+compared exactly; these are most near copies, and all of large groups. What lies further apart is found by prefixes:
 Two sets whose similarity is at least t share a member among the first n - ceil(t n) + 1 of each, in any one order
 of all shingles. So no pair is missed, whatever the order; shingles that are frequent in a sample come last in it,
 which keeps common passages from making candidates.
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from matchform.llm.components import components
 from matchform.llm.decontaminate import FOLD
-from matchform.llm.simhash import SEED, first_rows
+from matchform.llm.simhash import SEED, first_rows, links as grid_links, majority
 from matchform.llm.texts import RangeHash, blocks, column_of, keyed, release, stored, text_bytes, word_spans
 from matchform.session import checkpointed, with_settings
 
@@ -26,10 +28,14 @@ WORDS = 5
 SIMILARITY = 0.8
 # Distinct texts in which frequent shingles are looked for; they only set the order.
 SAMPLE = 4096
+# Bits by which the fingerprints of sets that are compared first may differ.
+DISTANCE = 4
 # Rounds in which a group of texts that share a shingle is compared with one of them, before all that is left.
-STARS = 3
+STARS = 2
 # Pairs, and bytes of sets, that are broadcast at most.
 SMALL_ROWS, SMALL_BYTES = 1 << 18, 8 << 20
+# Rows and bytes of sets that go to Python at once: a batch of pairs carries two sets each.
+PAIRS_AT_ONCE = {"spark__sql__execution__arrow__maxRecordsPerBatch": "256", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
 
 # Bits in which a set's members are counted modulo two, as longs: two sets differ in at least as many members as bits.
 SKETCH = [f"bits{k}" for k in range(8)]
@@ -167,17 +173,18 @@ def _candidates(turn: int | None, similarity: float):
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``print``, ``size``, ``members`` and sketch of the texts whose ``doc_id``, ``version`` and ``print`` are wanted."""
+    """``print``, ``size``, ``members``, ``simhash`` and sketch of the texts whose ``doc_id``, ``version`` and ``print`` are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = list(word_sets(column_of(batch, "text"), words))
             bits = np.array([sketch_of(s) for s in sets]).T
             members = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([column_of(batch, "print"), pa.array([len(s) for s in sets], pa.int64()), members, *map(pa.array, bits)], ["print", "size", "members", *SKETCH])
+            simhash = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([column_of(batch, "print"), pa.array([len(s) for s in sets], pa.int64()), members, simhash, *map(pa.array, bits)], ["print", "size", "members", "simhash", *SKETCH])
 
     texts = keyed(documents).join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("print", "text")
-    return texts.mapInArrow(run, ", ".join(["print long, size long, members binary", *(f"{name} long" for name in SKETCH)]))
+    return texts.mapInArrow(run, ", ".join(["print long, size long, members binary, simhash long", *(f"{name} long" for name in SKETCH)]))
 
 
 def _small(frame: DataFrame, rows: int) -> DataFrame:
@@ -209,13 +216,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return theirs.join(mine.drop("size"), "a").select("a", "b", "mine", "theirs").mapInArrow(run, "a long, b long")
 
 
+def simhash_pairs(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect all sets whose fingerprints lie within ``distance``: by the grid, equal ones by their first."""
+    heads = checkpointed(sets.groupBy("simhash").agg(F.min("print").alias("head")))
+    equal = sets.select("simhash", "print").join(heads, "simhash").where("print != head").select(F.col("head").alias("a"), F.col("print").alias("b"))
+    near = checkpointed(grid_links(heads.select(F.col("simhash").alias("bits")), distance))
+    for side in ("a", "b"):
+        near = near.join(heads.select(F.col("simhash").alias(side), F.col("head").alias(f"{side}_head")), side)
+    return equal.union(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
+
+
 def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``print``, ``least`` (first ``doc_id`` and ``version``) and ``root`` of every distinct set of shingles.
 
     Sets are linked where their Jaccard similarity is at least ``similarity``; texts with equal sets meet before any
-    comparison. A group of sets that share a shingle is first compared with one of its members, a few times over, so
-    that a large group of near copies becomes one component by as many pairs as it has members; then all pairs that
-    are still in different components are compared. Pairs whose sizes or sketches rule the similarity out are left out.
+    comparison. Sets whose SimHash fingerprints are near are compared first; then a group of sets that share a shingle
+    is compared with one of its members, a few times over, so that a large group of near copies becomes one component by
+    as many pairs as it has members; then all pairs that are still in different components are compared, so none is
+    missed. Pairs whose sizes or sketches rule the similarity out are left out.
     """
     spark = documents.sparkSession
     classes = checkpointed(_prints(documents, words).groupBy("print").agg(F.min(F.struct("doc_id", "version")).alias("least")))
@@ -234,23 +252,24 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     sets = stored(_sets(documents, wanted, words))
     all_sizes = sets.agg(F.sum("size")).first()[0] or 0
     release(spark)
-    shared = stored(shared.join(sets.drop("members"), "print"))
+    shared = stored(shared.join(sets.drop("members", "simhash"), "print"))
     release(spark)
     links, roots = None, None
-    for turn in [*range(STARS), None]:
-        placed = shared.withColumn("root", F.col("print"))
-        if roots is not None:
+    for turn in ["grid", *range(STARS), None]:
+        if turn == "grid":
+            pairs = simhash_pairs(sets)
+        else:
             placed = shared.join(roots, shared["print"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "print").alias("root"))
-        pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
+            pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
         pairs = checkpointed(pairs)
-        # Rows of the comparison carry two sets each: few of them go to Python at once, and pairs whose sets are larger than
-        # half of all sets together are compared in several rounds, each of which lets its shuffle go.
+        # Pairs whose sets are larger than half of all sets together are compared in several rounds, each of which lets
+        # its shuffle go.
         sizes = [sets.select(F.col("print").alias(side), F.col("size").alias(f"of_{side}")) for side in ("a", "b")]
         moved = pairs.join(sizes[0], "a").join(sizes[1], "b").agg(F.sum(F.col("of_a") + F.col("of_b"))).first()[0] or 0
         rounds = max(1, ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)))
         for number in range(rounds):
             part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number)
-            with with_settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="512"):
+            with with_settings(spark, **PAIRS_AT_ONCE):
                 new = checkpointed(_verified(part, sets, similarity))
             links = new if links is None else links.union(new)
             release(spark)

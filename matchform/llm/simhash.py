@@ -32,6 +32,12 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones = np.packbits(2 * _bits(hashes) > len(hashes), bitorder="little")
+    return int(ones.view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, words: int = 4) -> int:
     """SimHash of the lower-cased shingles of a text; 0 without words."""
     parts = text.lower().split()
@@ -48,8 +54,7 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     hashes = np.fromiter(
         (digest(line[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)
     )
-    ones = np.packbits(2 * _bits(hashes) > len(hashes), bitorder="little")
-    return int(ones.view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:

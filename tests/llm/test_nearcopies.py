@@ -49,3 +49,20 @@ def test_stage_equals_all_pairs(spark, as_documents, texts, monkeypatch, small):
 
 def test_empty_table(spark, as_documents):
     assert nearcopies.representatives(as_documents([])).count() == 0
+
+
+def test_near_fingerprints_are_compared_first(spark, as_documents, monkeypatch):
+    """Sets meet by the SimHash grid before any prefixes; those it links and those it misses are all found."""
+    rng, found, grid = random.Random(8), [], nearcopies.grid_links
+    bases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(8)]
+    rows = [(10 * k + i, edited(base, rng, share) if share else base) for k, base in enumerate(bases) for i, share in enumerate((0, 0.003, 0.02))]
+
+    def recorded(bits, distance):
+        links = grid(bits, distance)
+        found.append((distance, bits.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(nearcopies, "grid_links", recorded)
+    assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == plain_firsts(rows)
+    ((distance, prints, links),) = found
+    assert distance == 4 and prints <= len(rows) and links >= 4
