@@ -84,3 +84,19 @@ def test_commented_tables_in_capitals(spark):
 def test_comments_span_lines(spark):
     found = weblog.html_comments(pages(spark, "<!--a\nb--><p></p><!-- c -->")).orderBy("position").collect()
     assert [r["comment"] for r in found] == ["a\nb", " c "]
+
+
+def test_pages_with_the_same_tags_share_a_layout():
+    """Tags are laid out once, whatever the texts and comments say; long pages are not kept."""
+    page = '<table id="t"><tr><th>Date</th><th>Opponent</th><th>Result</th></tr><tr><td rowspan=2>{0}</td><td>a<b>{0}</b></td><td>W</td></tr><tr><td>x &amp; {0}</td></tr></table><!--{1}-->'
+    weblog._kept_layouts.cache_clear()
+    for k in range(50):
+        inner = "<table><tr><td>%d</td></tr></table>" % k if k % 2 else "nothing"
+        columns = [[] for _ in weblog.CELL_SCHEMA]
+        weblog._cells(k, page.format(k, inner), columns)
+        assert columns[7] == [str(k), f"a{k}", "W", str(k), f"x & {k}"] + [str(k)] * (k % 2)
+        assert columns[3] == [False] * 5 + [True] * (k % 2) and columns[6][:5] == ["Date", "Opponent", "Result", "Date", "Opponent"]
+    assert weblog._kept_layouts.cache_info().misses == 2
+    columns = [[] for _ in weblog.CELL_SCHEMA]
+    weblog._cells(1, "<table>" + "<tr><td>v</td></tr>" * weblog.KEPT_TAGS + "</table>", columns)
+    assert columns[4] == list(range(weblog.KEPT_TAGS)) and weblog._kept_layouts.cache_info().misses == 2
