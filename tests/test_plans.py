@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from matchform.operators import assemble, filters, ordering, reshape, scoring
+from matchform.plans.tables import Tables
 from matchform.sources import feature_store
 from tests.frames import priced_seasons
 
@@ -72,3 +73,14 @@ def test_large_orders_have_no_single_task(stored):
     assert len(totals) == 200 and set(totals) == {0.0}
     train, _ = ordering.temporal_split(stored, 0.5, ("match_id",))
     assert "SinglePartition" not in plan(train)
+
+
+def test_parts_of_a_shuffle_stay_small(spark):
+    """Queries on tables deal their shuffles finely and let adaptive execution join small parts, whatever the session's number."""
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    counted = tables.lineitem.groupBy("l_orderkey").count()
+    assert "hashpartitioning(l_orderkey" in counted._jdf.queryExecution().toString()
+    exchange = [line for line in counted._jdf.queryExecution().toString().splitlines() if "Exchange hashpartitioning(l_orderkey" in line][-1]
+    assert int(exchange.split(")")[0].split(", ")[-1]) >= 400
+    counted.collect()
+    assert counted.rdd.getNumPartitions() < 40
