@@ -69,3 +69,20 @@ def test_an_item_over_a_limit_has_its_own_bin():
 
 def test_empty_table(as_documents):
     assert packing.pack(packing.pieces(as_documents([]), PATH)).count() == 0
+
+
+def test_new_words_are_merged_in_one_go():
+    """One merge for all new words of a call, besides first words and words that begin with white space."""
+    encoder, whole, calls = packing.Encoder(PATH), model(), []
+    merge = encoder.merge
+    encoder.merge = lambda text: calls.append(text) or merge(text)
+    texts = [f"start w{i}, é{i}. (x{i})\nnext{i} last" for i in range(50)]
+    for some in (texts, texts):
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(some)] == [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
+    assert sum(len(c) > 5 for c in calls) == 1 and len(calls) <= 5
+
+
+def test_white_space_around_a_space_may_be_one_token():
+    texts = ["x \xa0 \xa0 y", "\xa0 \xa0", "a\n \tb", "a \xa0 \xa0", "\x85 \x85 b", "　 c \xa0d"]
+    found = packing.Encoder(PATH).encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in found] == [e.ids for e in model().encode_batch(texts, add_special_tokens=False)]
