@@ -132,6 +132,12 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         yield np.concatenate(([0], np.flatnonzero(np.diff(held[0])) + 1, [len(held[0])])), held
 
 
+def _several(starts: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Where groups begin and end that have several roots."""
+    mixed = np.maximum.reduceat(root, starts[:-1]) != np.minimum.reduceat(root, starts[:-1])
+    return list(zip(starts[:-1][mixed].tolist(), starts[1:][mixed].tolist()))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose shingle stands in the prefixes of two or more sets."""
     names = ["hash", "print"]
@@ -147,9 +153,7 @@ def _candidates(turn: int | None, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, (_, own, size, root, *bits) in _groups(batches, ["hash", "print", "size", "root", *SKETCH]):
             bits = np.stack(bits).view(np.uint64)
-            for a, b in pairwise(starts.tolist()):
-                if (root[a:b] == root[a]).all():
-                    continue
+            for a, b in _several(starts, root):
                 roots, group, members = np.unique(root[a:b], return_inverse=True, return_counts=True)
                 largest = int(np.argmax(members))
                 if turn is None:

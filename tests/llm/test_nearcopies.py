@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from matchform.llm import nearcopies
+from matchform.llm import nearcopies, packing
 
 
 def plain_set(text):
@@ -66,3 +67,21 @@ def test_near_fingerprints_are_compared_first(spark, as_documents, monkeypatch):
     assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == plain_firsts(rows)
     ((distance, prints, links),) = found
     assert distance == 4 and prints <= len(rows) and links >= 4
+
+
+def test_only_groups_with_several_roots_are_looked_at():
+    starts, root = np.array([0, 3, 4, 7]), np.array([5, 5, 5, 2, 9, 9, 1])
+    assert nearcopies._several(starts, root) == [(4, 7)]
+
+
+def test_text_goes_to_python_in_small_batches(spark, as_documents, monkeypatch):
+    sizes, blocks = spark.sparkContext.accumulator(0), packing.blocks
+
+    def counted(batches):
+        for batch in batches:
+            sizes.add(batch.nbytes > 6 << 20)
+            yield batch
+
+    monkeypatch.setattr(packing, "blocks", lambda batches: blocks(counted(batches)))
+    docs = as_documents([(i, f"w{i} " * 2500) for i in range(1500)]).coalesce(1)
+    assert cp.packed(spark, docs, "").count() >= 1500 and sizes.value == 0
