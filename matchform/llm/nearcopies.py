@@ -37,6 +37,10 @@ SMALL_ROWS, SMALL_BYTES = 1 << 18, 8 << 20
 # Rows and bytes of sets that go to Python at once: a batch of pairs carries two sets each.
 PAIRS_AT_ONCE = {"spark__sql__execution__arrow__maxRecordsPerBatch": "256", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
 
+# Members of two sets together above which the fixed sketch tells them apart too seldom: a pair of such sets is compared by
+# sketches as wide as the sets before the sets themselves move.
+LARGE = 1024
+
 # Bits in which a set's members are counted modulo two, as longs: two sets differ in at least as many members as bits.
 SKETCH = [f"bits{k}" for k in range(8)]
 
@@ -79,6 +83,20 @@ def sketch_of(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def wide_sketch(members: np.ndarray) -> bytes:
+    """The sketch in as many bits as there are members, in a power of two that is 512 at least."""
+    size = max(512, 1 << (len(members) - 1).bit_length()) if len(members) else 512
+    odd = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(one: bytes, other: bytes) -> int:
+    """Bits in which two wide sketches differ, the wider one folded to the other's width."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (one, other)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _prints(documents: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -177,18 +195,19 @@ def _candidates(turn: int | None, similarity: float):
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``print``, ``size``, ``members``, ``simhash`` and sketch of the texts whose ``doc_id``, ``version`` and ``print`` are wanted."""
+    """``print``, ``size``, ``members``, ``wide`` sketch, ``simhash`` and sketch of the texts whose ``doc_id``, ``version`` and ``print`` are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = list(word_sets(column_of(batch, "text"), words))
             bits = np.array([sketch_of(s) for s in sets]).T
             members = pa.array([s.tobytes() for s in sets], pa.binary())
+            wide = pa.array([wide_sketch(s) for s in sets], pa.binary())
             simhash = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([column_of(batch, "print"), pa.array([len(s) for s in sets], pa.int64()), members, simhash, *map(pa.array, bits)], ["print", "size", "members", "simhash", *SKETCH])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "print"), pa.array([len(s) for s in sets], pa.int64()), members, wide, simhash, *map(pa.array, bits)], ["print", "size", "members", "wide", "simhash", *SKETCH])
 
     texts = keyed(documents).join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("print", "text")
-    return texts.mapInArrow(run, ", ".join(["print long, size long, members binary, simhash long", *(f"{name} long" for name in SKETCH)]))
+    return texts.mapInArrow(run, ", ".join(["print long, size long, members binary, wide binary, simhash long", *(f"{name} long" for name in SKETCH)]))
 
 
 def _small(frame: DataFrame, rows: int) -> DataFrame:
@@ -196,6 +215,27 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` with their sizes, without those of large sets that wide sketches rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = column_of(batch, "of_a").to_numpy() + column_of(batch, "of_b").to_numpy()
+            sketches = zip(column_of(batch, "wide_a").to_pylist(), column_of(batch, "wide_b").to_pylist())
+            apart = np.array([bits_apart(x, y) for x, y in sketches], np.int64)
+            near = (1 + similarity) * apart <= (1 - similarity) * size + 1e-6
+            yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(near))
+
+    of = {side: sets.select(F.col("print").alias(side), F.col("size").alias(f"of_{side}")) for side in ("a", "b")}
+    sized = checkpointed(pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "of_a", "of_b"))
+    large = F.col("of_a") + F.col("of_b") > LARGE
+    looked = sized.where(large)
+    for side in ("a", "b"):
+        looked = looked.join(sets.select(F.col("print").alias(side), F.col("wide").alias(f"wide_{side}")), side)
+    kept = looked.select("a", "b", "of_a", "of_b", "wide_a", "wide_b").mapInArrow(run, sized.schema)
+    return sized.where(~large).union(kept)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have at least this similarity.
 
@@ -256,7 +296,7 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     sets = stored(_sets(documents, wanted, words))
     all_sizes = sets.agg(F.sum("size")).first()[0] or 0
     release(spark)
-    shared = stored(shared.join(sets.drop("members", "simhash"), "print"))
+    shared = stored(shared.join(sets.drop("members", "wide", "simhash"), "print"))
     release(spark)
     links, roots = None, None
     for turn in ["grid", *range(STARS), None]:
@@ -265,14 +305,14 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         else:
             placed = shared.join(roots, shared["print"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "print").alias("root"))
             pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
-        pairs = checkpointed(pairs)
+        pairs = checkpointed(_likely(pairs, sets, similarity))
+        release(spark)
         # Pairs whose sets are larger than half of all sets together are compared in several rounds, each of which lets
         # its shuffle go.
-        sizes = [sets.select(F.col("print").alias(side), F.col("size").alias(f"of_{side}")) for side in ("a", "b")]
-        moved = pairs.join(sizes[0], "a").join(sizes[1], "b").agg(F.sum(F.col("of_a") + F.col("of_b"))).first()[0] or 0
+        moved = pairs.agg(F.sum(F.col("of_a") + F.col("of_b"))).first()[0] or 0
         rounds = max(1, ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)))
         for number in range(rounds):
-            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number)
+            part = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number)
             with with_settings(spark, **PAIRS_AT_ONCE):
                 new = checkpointed(_verified(part, sets, similarity))
             links = new if links is None else links.union(new)

@@ -85,3 +85,16 @@ def test_text_goes_to_python_in_small_batches(spark, as_documents, monkeypatch):
     monkeypatch.setattr(packing, "blocks", lambda batches: blocks(counted(batches)))
     docs = as_documents([(i, f"w{i} " * 2500) for i in range(1500)]).coalesce(1)
     assert cp.packed(spark, docs, "").count() >= 1500 and sizes.value == 0
+
+
+def test_wide_sketches_rule_out_large_sets(spark):
+    """What differs in the sketches differs in the sets; pairs of large sets that are far apart never move."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**64, 3000, np.uint64))
+    some = {1: base, 2: np.unique(np.append(base[:2900], rng.integers(0, 2**64, 50, np.uint64))), 3: np.unique(rng.integers(0, 2**64, 2700, np.uint64)), 4: base[:1400], 5: base[:0], 6: base[:9]}
+    for x in some.values():
+        for y in some.values():
+            assert nearcopies.bits_apart(nearcopies.wide_sketch(x), nearcopies.wide_sketch(y)) <= len(np.setxor1d(x, y))
+    sets = spark.createDataFrame([(k, len(v), bytearray(nearcopies.wide_sketch(v))) for k, v in some.items()], "print long, size long, wide binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (5, 6)], "a long, b long")
+    assert sorted((r.a, r.b) for r in nearcopies._likely(pairs, sets, 0.8).collect()) == [(1, 2), (5, 6)]
