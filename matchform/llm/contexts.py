@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from matchform.llm.bundles import HashBits, Ranks, from_planes, heads, joined, packed, planes, small, unpacked
 from matchform.llm.decontaminate import FOLD
-from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, public_id, release, stored, text_bytes, word_spans
+from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, discard, public_id, release, stored, text_bytes, word_spans
 
 # The longest context, how often contexts and their kept next words occur at least, the least gain in nats, the discount.
 DEPTH, CONTEXT, FOLLOWER, GAIN, DISCOUNT = 3, 32, 4, 8.0, 0.75
 # Tokens worked off together, and phrases of a bucket: both bound what a task holds.
 RUN, BUCKET = 1 << 20, 1 << 21
+# Shares of the texts that ask the tree one after the other: the exchange lies on disk for one of them.
+ROUNDS = 4
 # What stands for the end of a text.
 END = np.uint64(1)
 
@@ -226,7 +228,9 @@ def learn(
         release(spark)
         shares, gains = _distributions(found, occurs, below, discount)
         levels.append((shares, stored(gains)))
-        occurs, below = found.select("phrase", "times"), shares.select("phrase", "p")
+        # Contexts that a set of bits let through by mistake are not among the shares; they are too rare to be asked for again.
+        discard(found)
+        occurs, below = shares.select("phrase", "times"), shares.select("phrase", "p")
     values, stay, kept = base.select("phrase", F.log10("p").alias("value"), F.log10("p").alias("base")), None, None
     none = F.lit(None).cast("double").alias("base")
     for length, (shares, gains) in reversed(list(enumerate(levels, 1))):
@@ -239,6 +243,7 @@ def learn(
         nodes = stay.select(F.lit(length).alias("length"), "context", "rest")
         kept = nodes if kept is None else nodes.union(kept)
     values = stored(values.groupBy("phrase").agg(F.sum("value").alias("value"), F.max("base").alias("base")))
+    discard(single, *(frame for level in levels for frame in level))
     release(spark)
     return Tree(values, tokens, kinds, kept)
 
@@ -396,22 +401,28 @@ def _totals(unknown: float):
     return run
 
 
-def scores(documents: DataFrame, tree: Tree, depth: int = DEPTH, run: int = RUN, bucket: int = BUCKET) -> DataFrame:
+def scores(documents: DataFrame, tree: Tree, depth: int = DEPTH, run: int = RUN, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every document.
 
     A null or empty text has its end as the only token. Repeated rows have a row each, a null ``doc_id`` stays null, an
     empty table gives an empty result. ``base_score`` adds up log10((c + 1) / (N + V + 1)), ``score`` the tree's log10
-    probabilities. Texts stay where they are: a run of them asks for its phrases, and gets sums for its documents.
+    probabilities. Texts stay where they are: a run of them asks for its phrases, and gets sums for its documents. A
+    share of the texts asks at a time, and what it sent is let go before the next does.
     """
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = bucket_count(spark, tree.tokens, bucket)
     known = spark.sparkContext.broadcast(HashBits.of(tree.values.where("base is null"), "phrase"))
-    # A run's documents and what it asks come from one task, so its name means the same texts to both.
-    dealt = _asked(_texts(documents), known, depth, buckets, run).union(_given(tree.values, buckets)).repartition(tasks, "bucket")
-    answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(_answered, EXCHANGE)
-    answers = answers.repartition(tasks, "run").sortWithinPartitions("run", "kind")
-    return public_id(answers.mapInArrow(_totals(tree.unknown), RESULT))
+    texts, found = _texts(documents), []
+    for part in range(rounds):
+        own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == part)
+        # A run's documents and what it asks come from one task, so its name means the same texts to both.
+        dealt = _asked(own, known, depth, buckets, run).union(_given(tree.values, buckets)).repartition(tasks, "bucket")
+        answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(_answered, EXCHANGE)
+        answers = answers.repartition(tasks, "run").sortWithinPartitions("run", "kind")
+        found.append(stored(answers.mapInArrow(_totals(tree.unknown), RESULT)))
+        release(spark)
+    return public_id(reduce(DataFrame.union, found))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -422,6 +433,6 @@ def held_out(doc_id: str = "doc_id"):
 def judged(documents: DataFrame, **settings) -> DataFrame:
     """All documents scored by the tree of those that are not held out."""
     tree = learn(documents.where(~held_out()), **settings)
-    own = {k: v for k, v in settings.items() if k in ("depth", "run", "bucket")}
+    own = {k: v for k, v in settings.items() if k in ("depth", "run", "bucket", "rounds")}
     found = scores(documents, tree, **own)
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")

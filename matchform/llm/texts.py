@@ -50,6 +50,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("table-"):
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage.
 

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -119,3 +120,23 @@ def test_contexts_make_held_out_texts_likelier(as_documents, rows):
 def test_empty_tables(as_documents):
     assert contexts.judged(as_documents([])).count() == 0
     assert found_in(contexts.judged(as_documents([(None, None)]))) == {(None, False, 1, 1, 1): [(pytest.approx(log10(2 / 3)), pytest.approx(log10(2 / 3)))]}
+
+
+def test_what_is_read_no_more_is_deleted_and_texts_ask_in_shares(spark, as_documents, rows, monkeypatch):
+    written, asked, stored, ask = [], [], contexts.stored, contexts._asked
+
+    def kept(frame):
+        written.append(stored(frame))
+        return written[-1]
+
+    def counted(texts, *others):
+        asked.append(texts.count())
+        return ask(texts, *others)
+
+    monkeypatch.setattr(contexts, "stored", kept)
+    monkeypatch.setattr(contexts, "_asked", counted)
+    assert contexts.judged(as_documents(rows)).count() == len(rows)
+    assert len(asked) == contexts.ROUNDS and sum(asked) == len(rows) and max(asked) < len(rows) / 2
+    files = [f.inputFiles()[0].removeprefix("file://").removeprefix("file:") for f in written]
+    # Of the tables of the tree only its values and the contexts that stay are left, besides the shares' scores.
+    assert sum(map(os.path.exists, files)) == 1 + contexts.DEPTH + contexts.ROUNDS < len(files)
