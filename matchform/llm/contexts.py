@@ -31,7 +31,7 @@ DEPTH, CONTEXT, FOLLOWER, GAIN, DISCOUNT = 3, 32, 4, 8.0, 0.75
 # Tokens worked off together, and phrases of a bucket: both bound what a task holds.
 RUN, BUCKET = 1 << 20, 1 << 21
 # Shares of the texts that ask the tree one after the other: the exchange lies on disk for one of them.
-ROUNDS = 4
+ROUNDS = 3
 # What stands for the end of a text.
 END = np.uint64(1)
 
@@ -413,15 +413,16 @@ def scores(documents: DataFrame, tree: Tree, depth: int = DEPTH, run: int = RUN,
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = bucket_count(spark, tree.tokens, bucket)
     known = spark.sparkContext.broadcast(HashBits.of(tree.values.where("base is null"), "phrase"))
-    texts, found = _texts(documents), []
+    texts, table, found = _texts(documents), stored(_given(tree.values, buckets)), []
     for part in range(rounds):
         own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == part)
         # A run's documents and what it asks come from one task, so its name means the same texts to both.
-        dealt = _asked(own, known, depth, buckets, run).union(_given(tree.values, buckets)).repartition(tasks, "bucket")
+        dealt = _asked(own, known, depth, buckets, run).union(table).repartition(tasks, "bucket")
         answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(_answered, EXCHANGE)
         answers = answers.repartition(tasks, "run").sortWithinPartitions("run", "kind")
         found.append(stored(answers.mapInArrow(_totals(tree.unknown), RESULT)))
         release(spark)
+    discard(table)
     return public_id(reduce(DataFrame.union, found))
 
 
