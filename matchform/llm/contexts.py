@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from matchform.llm.bundles import HashBits, Ranks, from_planes, heads, joined, packed, planes, small, unpacked
 from matchform.llm.decontaminate import FOLD
 from matchform.llm.texts import NO_ID, RangeHash, blocks, column_of, discard, public_id, release, stored, text_bytes, word_spans
+from matchform.session import TEXT_SETTINGS, with_settings
 
 # The longest context, how often contexts and their kept next words occur at least, the least gain in nats, the discount.
 DEPTH, CONTEXT, FOLLOWER, GAIN, DISCOUNT = 3, 32, 4, 8.0, 0.75
@@ -433,7 +434,9 @@ def held_out(doc_id: str = "doc_id"):
 
 def judged(documents: DataFrame, **settings) -> DataFrame:
     """All documents scored by the tree of those that are not held out."""
-    tree = learn(documents.where(~held_out()), **settings)
     own = {k: v for k, v in settings.items() if k in ("depth", "run", "bucket", "rounds")}
-    found = scores(documents, tree, **own)
+    # All work is done in here; bundles are large, and few of them go to Python at once.
+    with with_settings(documents.sparkSession, **{key.replace(".", "__"): value for key, value in TEXT_SETTINGS.items()}):
+        tree = learn(documents.where(~held_out()), **settings)
+        found = scores(documents, tree, **own)
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")

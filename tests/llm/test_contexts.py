@@ -131,6 +131,7 @@ def test_what_is_read_no_more_is_deleted_and_texts_ask_in_shares(spark, as_docum
 
     def counted(texts, *others):
         asked.append(texts.count())
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
         return ask(texts, *others)
 
     monkeypatch.setattr(contexts, "stored", kept)
