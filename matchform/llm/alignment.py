@@ -1,8 +1,9 @@
 """Alignment of two tokenizers: groups of tokens that end together, and how often two ids lie over each other.
 
 Both tokenizers always begin a token at a single space between two characters that are not white space, so a text
-is cut there and every piece of it is encoded and aligned once per task. Pair counts are summed as dense vectors
-indexed by a minimal perfect hash of the distinct pairs; a second pass aligns the documents again and looks them up.
+is cut there and every piece of it is encoded and aligned once per task; new pieces are joined again and encoded in one
+go. What is found is written in bundles. Pair counts are summed as dense vectors indexed by a minimal perfect hash of
+the distinct pairs; a second pass reads the bundles and looks the pairs up.
 """
 
 from __future__ import annotations
@@ -23,18 +24,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from matchform.llm.bundles import packed, small, unpacked
 from matchform.llm.packing import PATTERN, merge_ranks
-from matchform.llm.texts import blocks, column_of, mixed, release
+from matchform.llm.texts import blocks, column_of, discard, mixed, release, stored
 from matchform.session import checkpointed
 
 # A single space between two characters that are not white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# A space beside other white space.
+AFTER, BEFORE = re.compile(r" \s"), re.compile(r"\s ")
 # Longer pieces go to the tokenizer itself, whose time does not grow with the square of the length.
 LONG_PIECE = 200
 # Pieces a task remembers with their alignment, and their characters.
 REMEMBERED, REMEMBERED_CHARS = 1 << 18, 1 << 24
-# Text that is worked off at once.
-BLOCK = 1 << 21
+# Pieces that sentencepiece gets as one text, and fewest pieces that are tried together once one of them has failed.
+SENTENCE, FEWEST = 32, 64
+# Text that is worked off at once, and pairs of several blocks that are added up together.
+BLOCK, SUMMED = 1 << 21, 1 << 21
 # Pairs of one hash function; bits of a level for each key in it; partial vectors added at once; bytes of pair tables in a worker.
 SHARD_PAIRS, LOAD, FAN_IN, TABLE_BYTES = 1 << 16, 2, 16, 128 << 20
 
@@ -43,10 +49,18 @@ FUNCTION = "shard long, sizes binary, bits binary, keys binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def cut(text: str) -> list[str]:
+    """The pieces of a text; most texts have no space beside other white space, and every space cuts them."""
+    if text[0] == " " or text[-1] == " " or AFTER.search(text) or BEFORE.search(text):
+        return CUT.split(text)
+    return text.split(" ")
+
+
 @dataclass(frozen=True)
 class Aligned:
     """Alignments of several pieces of text: a row for each, and the linked pairs of all of them in order."""
 
+    pieces: list[str]
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
@@ -81,37 +95,62 @@ class Aligner:
     def _a_ids(self, piece: str) -> list[int]:
         return self.merge(piece) if len(piece) <= LONG_PIECE else self.whole.encode(piece, add_special_tokens=False).ids
 
-    def align(self, pieces: list[str], texts: bool = True) -> Aligned:
-        """Alignments of pieces, each with a space ahead of it; ``texts`` also writes the groups."""
-        a_ids = [self._a_ids(" " + p) for p in pieces]
-        b_ids = self.b.encode(pieces, num_threads=1)
-        raws = [b" " + p.encode() for p in pieces]
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of both kinds, how many of them each piece has, and whether their bytes give it back: one by one."""
+        a_ids, b_ids = [self._a_ids(" " + p) for p in pieces], self.b.encode(pieces, num_threads=1)
         exact = np.ones(len(pieces), bool)
+        for all_ids, tokens in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
+            exact &= np.array([b"".join(map(tokens.__getitem__, ids)) == b" " + p.encode() for ids, p in zip(all_ids, pieces)], bool)
+        a, b = (np.array([*chain.from_iterable(all_ids)], np.int64) for all_ids in (a_ids, b_ids))
+        return a, b, *(np.array([len(ids) for ids in all_ids], np.int64) for all_ids in (a_ids, b_ids)), exact
+
+    def _together(self, pieces: list[str]) -> list[tuple[np.ndarray, ...]]:
+        """The same of pieces that neither begin nor end with white space, encoded as one text; parts of them where that fails."""
+        if not pieces:
+            return []
+        whole = " ".join(["", *pieces])
+        raw = whole.encode()
+        sizes = map(len, pieces) if len(raw) == len(whole) else (len(p.encode()) for p in pieces)
+        bounds = np.cumsum(np.fromiter(sizes, np.int64, len(pieces)) + 1)
+        sentences = [" ".join(pieces[at : at + SENTENCE]) for at in range(0, len(pieces), SENTENCE)]
+        a_ids, b_ids = self.merge(whole), [*chain.from_iterable(self.b.encode(sentences, num_threads=1))]
+        found, counts = [], []
         for ids, tokens, size in ((a_ids, self.a_bytes, self.a_size), (b_ids, self.b_bytes, self.b_size)):
-            exact &= self._gives_back(raws, ids, tokens, size)
+            found.append(np.array(ids, np.int64))
+            ends = np.cumsum(size[found[-1]])
+            at = np.searchsorted(ends, bounds)
+            if not len(ends) or ends[-1] != len(raw) or (ends[at] != bounds).any() or b"".join(map(tokens.__getitem__, ids)) != raw:
+                if len(pieces) <= FEWEST:
+                    return [self._alone(pieces)]
+                middle = len(pieces) // 2
+                return self._together(pieces[:middle]) + self._together(pieces[middle:])
+            counts.append(np.diff(at, prepend=-1))
+        return [(*found, *counts, np.ones(len(pieces), bool))]
+
+    def align(self, pieces: list[str], texts: bool = True) -> Aligned:
+        """Alignments of pieces, each with a space ahead of it, in an order of its own; ``texts`` also writes the groups."""
+        plain = [len(p) <= LONG_PIECE and not (p[0].isspace() or p[-1].isspace()) for p in pieces]
+        joined, others = ([p for p, own in zip(pieces, plain) if own is side] for side in (True, False))
+        parts = [*self._together(joined), *([self._alone(others)] if others else [])]
+        pieces = joined + others
+        a, b, n_a, n_b, exact = (np.concatenate(columns) for columns in zip(*parts))
         if not exact.all():
-            a_ids = [ids if good else [] for ids, good in zip(a_ids, exact)]
-            b_ids = [ids if good else [] for ids, good in zip(b_ids, exact)]
-        n_a, n_b = (np.array([len(ids) for ids in all_ids], np.int64) for all_ids in (a_ids, b_ids))
-        a, b = (np.array([*chain.from_iterable(all_ids)], np.int64) for all_ids in (a_ids, b_ids))
-        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            a, b = a[np.repeat(exact, n_a)], b[np.repeat(exact, n_b)]
+            n_a, n_b = n_a * exact, n_b * exact
         # Between two ends of either kind lie the bytes of one token of each.
-        ends = np.union1d(a_ends, b_ends)
-        at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        owner = np.repeat(np.arange(len(pieces)), n_a)[at_a] if len(a) else np.empty(0, np.int64)
-        both = np.flatnonzero((a_ends[at_a] == ends) & (b_ends[at_b] == ends)) if len(a) else np.empty(0, np.int64)
+        marks, before = [], []
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        for stops in (a_ends, b_ends):
+            marks.append(np.zeros(int(stops[-1]) + 1 if len(stops) else 1, bool))
+            marks[-1][stops] = True
+            before.append(np.cumsum(marks[-1]) - marks[-1])
+        ends = np.flatnonzero(marks[0] | marks[1])
+        at_a, at_b = (v[ends] for v in before)
+        owner = np.repeat(np.arange(len(pieces)), n_a)[at_a]
+        both = np.flatnonzero(marks[0][ends] & marks[1][ends])
         n_groups = np.bincount(owner[both], minlength=len(pieces))
         groups = self._written(a, b, at_a[both] + 1, at_b[both] + 1, n_groups) if texts else []
-        return Aligned(n_a, n_b, n_groups, np.bincount(owner, minlength=len(pieces)), exact, a[at_a] << 32 | b[at_b], groups)
-
-    @staticmethod
-    def _gives_back(raws: list[bytes], ids: list[list[int]], tokens: list[bytes], size: np.ndarray) -> np.ndarray:
-        """Which pieces the bytes of their tokens spell; all are compared at once, one by one only where that fails."""
-        flat, counts = [*chain.from_iterable(ids)], np.array([len(i) for i in ids], np.int64)
-        ends = np.append(0, np.cumsum(size[np.array(flat, np.int64)]))[np.append(0, np.cumsum(counts))]
-        if np.array_equal(np.diff(ends), [len(r) for r in raws]) and b"".join(map(tokens.__getitem__, flat)) == b"".join(raws):
-            return np.ones(len(raws), bool)
-        return np.array([b"".join(map(tokens.__getitem__, own)) == raw for own, raw in zip(ids, raws)], bool)
+        return Aligned(pieces, n_a, n_b, n_groups, np.bincount(owner, minlength=len(pieces)), exact, a[at_a] << 32 | b[at_b], groups)
 
     def _written(self, a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
         x, y = list(map(self.a_text.__getitem__, a.tolist())), list(map(self.b_text.__getitem__, b.tolist()))
@@ -135,33 +174,29 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 class Remembered:
     """Pieces met so far, numbered, with arrays of what is known of each; forgotten when they are too many."""
 
-    def __init__(self, own: Aligner, texts: bool, extra=None):
-        self.own, self.texts, self.extra = own, texts, extra
+    def __init__(self, own: Aligner, texts: bool):
+        self.own, self.texts = own, texts
         self.forget()
 
     def forget(self) -> None:
         self.number, self.groups, self.chars = {}, [], 0
-        names = ("n_a", "n_b", "n_groups", "n_links", "exact", "pairs", *(self.extra.names if self.extra else ()))
-        self.known = {n: np.empty(0, bool if n == "exact" else np.int64) for n in names}
+        self.known = {n: np.empty(0, bool if n == "exact" else np.int64) for n in ("n_a", "n_b", "n_groups", "n_links", "exact", "pairs")}
 
     def full(self) -> bool:
         return len(self.number) > REMEMBERED or self.chars > REMEMBERED_CHARS
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of the pieces of every text; a text without characters has none."""
-        cut = [CUT.split(t) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.number.keys())
+        words = [cut(t) if t else [] for t in texts]
+        new = list(set().union(*words) - self.number.keys())
         if new:
             found = self.own.align(new, self.texts)
-            more = {n: getattr(found, n) for n in ("n_a", "n_b", "n_groups", "n_links", "exact", "pairs")}
-            if self.extra:
-                more |= self.extra(found)
-            self.known = {n: np.concatenate((self.known[n], more[n])) for n in more}
+            self.known = {n: np.concatenate((v, getattr(found, n))) for n, v in self.known.items()}
             self.groups += found.groups
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.number.update(zip(found.pieces, range(len(self.number), len(self.number) + len(new))))
             self.chars += sum(map(len, new))
         find = self.number.__getitem__
-        return [np.fromiter(map(find, words), np.int64, len(words)) for words in cut]
+        return [np.fromiter(map(find, own), np.int64, len(own)) for own in words]
 
 
 def spread_of(pairs: np.ndarray) -> np.ndarray:
@@ -169,42 +204,78 @@ def spread_of(pairs: np.ndarray) -> np.ndarray:
     return (mixed(pairs) >> np.uint64(33)).astype(np.int64)
 
 
-def _summed(memory: Remembered, times: np.ndarray) -> pa.RecordBatch:
-    """Every pair of the remembered pieces with its links, each piece counted ``times``."""
-    weights = np.repeat(times, memory.known["n_links"])
-    pairs, place = np.unique(memory.known["pairs"], return_inverse=True)
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, place, weights)
-    pairs, total = pairs[total > 0], total[total > 0]
-    source = np.full(len(pairs), TaskContext.get().partitionId())
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (pairs, spread_of(pairs), source, total)], ["pair", "spread", "source", "times"])
-
-
 def _source(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def partial_counts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """For every task the pairs ``a << 32 | b`` of its documents and how many links hold each."""
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, so many at a time."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes, dtype=np.int64))])
+
+
+# The arrays of a bundle: its documents' ids, which of them are null, their sums and digests, how many pieces each has and
+# which, how many links a piece has and where their pairs stand, the distinct pairs, and how many links of the documents hold each.
+BUNDLE = ("ids", "null", "n_a", "n_b", "n_groups", "n_links", "digests", "sizes", "pieces", "links", "place", "pairs", "times")
+
+
+def _bundle(ids: pa.Array, found: list[np.ndarray], memory: Remembered) -> bytes:
+    """What the second pass needs of a block of documents, whose pieces have these numbers."""
+    known = memory.known
+    used = [own if known["exact"][own].all() else own[:0] for own in found]
+    sizes, flat = np.array([len(own) for own in used], np.int64), np.concatenate(used)
+    digests = [hashlib.sha256(b";".join(map(memory.groups.__getitem__, own.tolist()))).digest() if len(own) else bytes(32) for own in used]
+    seen = np.zeros(len(memory.number), bool)
+    seen[flat] = True
+    own, pieces = np.flatnonzero(seen), (np.cumsum(seen) - 1)[flat]
+    links, first = known["n_links"][own], (np.cumsum(known["n_links"]) - known["n_links"])[own]
+    at = np.arange(links.sum()) + np.repeat(first - (np.cumsum(links) - links), links)
+    pairs, place = np.unique(known["pairs"][at], return_inverse=True)
+    times = np.bincount(place, np.repeat(np.bincount(pieces, minlength=len(own)), links), len(pairs)).astype(np.int64)
+    sums = [small(_sums(known[n][flat], sizes)) for n in BUNDLE[2:6]]
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    return packed([ids.fill_null(0).to_numpy(), null, *sums, np.frombuffer(b"".join(digests), np.uint8), small(sizes), small(pieces), small(links), small(place), pairs, small(times)])
+
+
+def _opened(data: bytes) -> dict[str, np.ndarray]:
+    return dict(zip(BUNDLE, unpacked(data)))
+
+
+def bundles(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """``data``, a row for every block of documents: see ``BUNDLE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(aligner(a_path, b_path), False)
-        times = np.zeros(0, np.int64)
+        memory = Remembered(aligner(a_path, b_path), True)
         for batch in blocks(batches, limit=BLOCK):
             found = memory.numbers(column_of(batch, "text").to_pylist())
-            exact, size = memory.known["exact"], len(memory.number)
-            used = [own for own in found if exact[own].all()]
-            times = np.append(times, np.zeros(size - len(times), np.int64))
-            if used:
-                times += np.bincount(np.concatenate(used), minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array([_bundle(column_of(batch, "doc_id"), found, memory)], pa.binary())], ["data"])
             if memory.full():
-                yield _summed(memory, times)
                 memory.forget()
-                times = np.zeros(0, np.int64)
-        if len(times):
-            yield _summed(memory, times)
 
-    return _source(documents).select("text").mapInArrow(run, COUNTS)
+    return _source(documents).mapInArrow(run, "data binary")
+
+
+def partial_counts(written: DataFrame) -> DataFrame:
+    """For every task the pairs ``a << 32 | b`` of its bundles and how many links hold each."""
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs, place = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([t for _, t in held]), len(pairs)).astype(np.int64)
+        source = np.full(len(pairs), TaskContext.get().partitionId())
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (pairs, spread_of(pairs), source, total)], ["pair", "spread", "source", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for data in column_of(batch, "data"):
+                own = _opened(data.as_py())
+                held.append((own["pairs"], own["times"]))
+                if sum(len(p) for p, _ in held) >= SUMMED:
+                    yield added(held)
+                    held = []
+        if held:
+            yield added(held)
+
+    return written.mapInArrow(run, COUNTS)
 
 
 def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -330,51 +401,31 @@ def best_counts(tables: DataFrame) -> DataFrame:
     return tables.select("keys", "counts").mapInArrow(run, "b long, best long").groupBy("b").agg(F.max("best").alias("best"))
 
 
-class LinkCounts:
-    """For every piece its links with the highest count of their id, and the counts of all its links."""
-
-    names = ("n_best", "count_sum")
-
-    def __init__(self, table: PairTable, best: np.ndarray):
-        self.table, self.best = table, best
-
-    def __call__(self, found: Aligned) -> dict[str, np.ndarray]:
-        pairs, place = np.unique(found.pairs, return_inverse=True)
-        slot = self.table.slots(pairs)
-        inside = slot >= 0
-        counts = np.where(inside, self.table.counts[slot], 0)
-        highest = inside & (counts == self.best[pairs & 0xFFFFFFFF])
-        stops = np.append(0, np.cumsum(found.n_links))
-        sums = (np.append(0, np.cumsum(v[place].astype(np.int64))) for v in (highest, counts))
-        return {name: np.diff(total[stops]) for name, total in zip(self.names, sums)}
-
-
-def _counted_again(documents: DataFrame, a_path: str, b_path: str, extra, last: bool) -> DataFrame:
+def _looked_up(written: DataFrame, extra, last: bool) -> DataFrame:
     """A pass that adds what one table knows of every document's links; the last one returns the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(aligner(a_path, b_path), last, LinkCounts(*extra.value))
-        for batch in blocks(batches, limit=BLOCK):
-            found = memory.numbers(column_of(batch, "text").to_pylist())
-            known, rows, digests = memory.known, [], []
-            for own in found:
-                used = own if known["exact"][own].all() else own[:0]
-                rows.append([int(known[n][used].sum()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")])
+        table, best = extra.value
+        for batch in batches:
+            for data, sums in zip(column_of(batch, "data"), column_of(batch, "sums")):
+                own = _opened(data.as_py())
+                slot = table.slots(own["pairs"])
+                inside = slot >= 0
+                counts = np.where(inside, table.counts[slot], 0) if len(table.counts) else np.zeros(len(slot), np.int64)
+                highest = inside & (counts == best[own["pairs"] & 0xFFFFFFFF])
+                # From pairs to links, to pieces, to documents.
+                found = [_sums(_sums(v.astype(np.int64)[own["place"]], own["links"])[own["pieces"]], own["sizes"]) for v in (highest, counts)]
+                found = np.stack(found) + (np.frombuffer(sums.as_py(), np.int64).reshape(2, -1) if len(sums.as_py()) else 0)
                 if last:
-                    digests.append(hashlib.sha256(b";".join(map(memory.groups.__getitem__, used.tolist()))).hexdigest() if len(used) else "")
-            sums = np.array(rows, np.int64).reshape(-1, 6).T
-            for k, name in ((4, "n_best"), (5, "count_sum")):
-                sums[k] += column_of(batch, name).to_numpy()
-            if last:
-                names = [part.split()[0] for part in RESULT.split(", ")]
-                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), *map(pa.array, sums), pa.array(digests, pa.string())], names)
-            else:
-                columns = [column_of(batch, n) for n in ("doc_id", "text")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[4]), pa.array(sums[5])], ["doc_id", "text", "n_best", "count_sum"])
-            if memory.full():
-                memory.forget()
+                    raw = own["digests"].tobytes()
+                    digests = [raw[32 * k : 32 * k + 32].hex() if size else "" for k, size in enumerate(own["sizes"].tolist())]
+                    counted = [own[n].astype(np.int64) for n in BUNDLE[2:6]]
+                    names = [part.split()[0] for part in RESULT.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(own["ids"], mask=own["null"]), *map(pa.array, (*counted, *found)), pa.array(digests, pa.string())], names)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (data.as_py(), found.tobytes())], ["data", "sums"])
 
-    return documents.mapInArrow(run, RESULT if last else "doc_id long, text string, n_best long, count_sum long")
+    return written.mapInArrow(run, RESULT if last else "data binary, sums binary")
 
 
 def aligned(documents: DataFrame, a_path: str, b_path: str, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -385,11 +436,12 @@ def aligned(documents: DataFrame, a_path: str, b_path: str, table_bytes: int = T
     zeros, an empty digest, and no part in the counts. Repeated rows count and are returned as often as they occur, a
     null ``doc_id`` stays null, an empty table gives an empty result, and other columns are ignored.
 
-    Pair tables go to the workers in parts of at most ``table_bytes`` (of whole shards); where they are larger, the
-    documents are read once for each part.
+    The documents are aligned once. Pair tables go to the workers in parts of at most ``table_bytes`` (of whole
+    shards); where they are larger, the bundles are read once for each part.
     """
     spark = documents.sparkSession
-    tables, shards = pair_tables(checkpointed(partial_counts(documents, a_path, b_path)))
+    written = stored(bundles(documents, a_path, b_path))
+    tables, shards = pair_tables(checkpointed(partial_counts(written)))
     release(spark)
     found = best_counts(tables).toArrow()
     best = np.zeros(aligner(a_path, b_path).b.get_piece_size(), np.int64)
@@ -402,13 +454,15 @@ def aligned(documents: DataFrame, a_path: str, b_path: str, table_bytes: int = T
             room = table_bytes
         parts[-1].append(row.shard)
         room -= row.bytes
-    frame = _source(documents).withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
+    frame = written.withColumn("sums", F.lit(b""))
     for k, members in enumerate(parts):
         rows = tables.where(F.col("shard").between(members[0], members[-1])).toArrow().to_pylist() if members else []
         table = PairTable(shards, rows or [{"shard": 0, "sizes": b"", "bits": bytes(8), "keys": b"", "counts": b""}])
-        frame = _counted_again(frame, a_path, b_path, spark.sparkContext.broadcast((table, best)), k == len(parts) - 1)
+        frame = _looked_up(frame, spark.sparkContext.broadcast((table, best)), k == len(parts) - 1)
         if k < len(parts) - 1:
-            frame = checkpointed(frame)
+            frame = stored(frame)
+            discard(written)
+            written = frame
     return frame
 
 
@@ -422,5 +476,5 @@ def pair_counts(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 columns = (pairs >> 32, pairs & 0xFFFFFFFF, np.frombuffer(counts.as_buffer(), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "links"])
 
-    tables, _ = pair_tables(checkpointed(partial_counts(documents, a_path, b_path)))
+    tables, _ = pair_tables(checkpointed(partial_counts(bundles(documents, a_path, b_path))))
     return tables.select("keys", "counts").mapInArrow(run, "a long, b long, links long")

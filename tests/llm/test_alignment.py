@@ -118,3 +118,31 @@ def test_pairs_and_perfect_hash(as_documents):
 def test_empty_tables(as_documents):
     assert alignment.aligned(as_documents([]), A, B).count() == 0
     assert found_in(alignment.aligned(as_documents([(1, None), (None, "")]), A, B)) == sorted([(1, *[0] * 6, ""), (None, *[0] * 6, "")], key=repr)
+
+
+def test_documents_are_encoded_once(spark, as_documents, rows, monkeypatch):
+    read, blocks = spark.sparkContext.accumulator(0), alignment.blocks
+
+    def counted(batches, **given):
+        for batch in blocks(batches, **given):
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(alignment, "blocks", counted)
+    assert alignment.aligned(as_documents(rows[:40]), A, B).count() == 40
+    assert alignment.aligned(as_documents(rows[:40]), A, B).collect() and read.value == 80
+
+
+def test_pieces_encoded_together_are_those_encoded_alone(texts):
+    tokens = alignment.Aligner(A, B)
+    pieces = {p for t in [*list(texts.values())[:50], *ODD] if t for p in alignment.CUT.split(t)}
+    assert {p for t in [*texts.values(), *ODD] if t for p in alignment.cut(t)} >= pieces
+    assert all(alignment.cut(t) == alignment.CUT.split(t) for t in [*texts.values(), *ODD] if t)
+    found = tokens.align(list(pieces))
+    at = np.cumsum(found.n_links) - found.n_links
+    for k, piece in enumerate(found.pieces):
+        (a, b, n_a, n_b, exact) = tokens._alone([piece])
+        assert (found.exact[k], found.n_a[k], found.n_b[k]) == (exact[0], n_a[0] * exact[0], n_b[0] * exact[0])
+        if exact[0]:
+            own = tokens.align([piece])
+            assert found.groups[k] == own.groups[0] and found.pairs[at[k] : at[k] + found.n_links[k]].tolist() == own.pairs.tolist()
