@@ -10,6 +10,7 @@ which keeps common passages from making candidates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 from math import ceil
 
@@ -298,10 +299,12 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     release(spark)
     shared = stored(shared.join(sets.drop("members", "wide", "simhash"), "print"))
     release(spark)
-    links, roots = None, None
+    roots = None
     for turn in ["grid", *range(STARS), None]:
         if turn == "grid":
             pairs = simhash_pairs(sets)
+        elif roots is None:
+            pairs = dealt(shared.withColumn("root", F.col("print")), "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
         else:
             placed = shared.join(roots, shared["print"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "print").alias("root"))
             pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
@@ -310,16 +313,21 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         # Pairs whose sets are larger than half of all sets together are compared in several rounds, each of which lets
         # its shuffle go.
         moved = pairs.agg(F.sum(F.col("of_a") + F.col("of_b"))).first()[0] or 0
-        rounds = max(1, ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)))
+        # Roots stand for all links so far; a turn that adds none leaves them as they are.
+        rounds, links = ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)), []
         for number in range(rounds):
             part = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number)
             with with_settings(spark, **PAIRS_AT_ONCE):
                 new = checkpointed(_verified(part, sets, similarity))
-            links = new if links is None else links.union(new)
+            if not new.isEmpty():
+                links.append(new)
             release(spark)
-        links = checkpointed(links)
-        roots = components(links)
-        release(spark)
+        if links:
+            known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            roots = components(reduce(DataFrame.union, [*known, *links]))
+            release(spark)
+    if roots is None:
+        return classes.select("print", "least", F.col("print").alias("root"))
     return classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from matchform.llm.components import components
+from matchform.llm.components import components, forest
 from matchform.llm.texts import NO_ID, column_of, keyed, public_id
 from matchform.session import checkpointed
 
@@ -85,22 +85,6 @@ def cell_masks(distance: int, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def forest(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest index connected with every index below ``count`` by the pairs (u, v)."""
-    root = np.arange(count)
-    while True:
-        a, b = root[u], root[v]
-        if (a == b).all():
-            return root
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(root, high, low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
-
 def _compare(cells: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the fingerprints of equal cells within ``distance``; rows are sorted by cell and popcount."""
     weight = np.bitwise_count(bits).astype(np.int16)

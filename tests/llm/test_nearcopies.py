@@ -98,3 +98,16 @@ def test_wide_sketches_rule_out_large_sets(spark):
     sets = spark.createDataFrame([(k, len(v), bytearray(nearcopies.wide_sketch(v))) for k, v in some.items()], "print long, size long, wide binary")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (5, 6)], "a long, b long")
     assert sorted((r.a, r.b) for r in nearcopies._likely(pairs, sets, 0.8).collect()) == [(1, 2), (5, 6)]
+
+
+def test_turns_that_link_nothing_leave_the_roots(spark, as_documents, monkeypatch):
+    """Only turns with new links make components; those by the grid are all there are in equal texts with one word changed."""
+    rng, made, components = random.Random(4), [], nearcopies.components
+    monkeypatch.setattr(nearcopies, "components", lambda edges: made.append(edges.count()) or components(edges))
+    bases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(4)]
+    rows = [(10 * k + i, edited(base, rng, 0.0001) if i else base) for k, base in enumerate(bases) for i in range(3)]
+    assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == plain_firsts(rows)
+    assert len(made) == 1
+    rows = [(k, base) for k, base in enumerate(bases)]
+    assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == [0, 1, 2, 3]
+    assert len(made) == 1

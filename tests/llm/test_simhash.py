@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from matchform.llm import simhash
+from matchform.llm import components as stars, simhash
 from matchform.llm.components import components
 
 EDGE_TEXTS = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "a b c"), (6, "a b c d"), (6, "a b c d"), (None, "a b c d"),
@@ -74,3 +74,16 @@ def test_every_near_pair_shares_a_cell():
         for bit in rng.sample(range(64), 4):
             b ^= 1 << bit
         assert any(not (count(a) ^ count(b)) & m & (2**64 - 1) for m in masks)
+
+
+def test_edges_are_contracted_before_any_round(spark, monkeypatch):
+    """A path takes a round that finds nothing to do; in small parts it takes more, with the same result."""
+    written, checkpointed = [], stars.checkpointed
+    monkeypatch.setattr(stars, "checkpointed", lambda frame: written.append(1) or checkpointed(frame))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001), (7, 7), (2, None)], "a long, b long")
+    expected = sorted([(i, 0) for i in range(1, 301)] + [(1001, 1000)])
+    assert sorted(map(tuple, components(edges).collect())) == expected
+    assert len(written) == 2
+    monkeypatch.setattr(stars, "TOGETHER", 16)
+    assert sorted(map(tuple, components(edges.repartition(9)).collect())) == expected
+    assert components(edges.where("a < 0")).count() == 0
