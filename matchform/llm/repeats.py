@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchform.llm.texts import BLOCK_BYTES, RangeHash, blocks, column_of, keyed, release, stored, text_bytes, word_spans
 from matchform.session import checkpointed
@@ -102,27 +102,58 @@ def segments(kind: Windows, raw: np.ndarray, ends: np.ndarray) -> dict[str, np.n
     }
 
 
-NUMBERS = ("start", "windows", "begin", "stop", "anchor", "content")
+CLASS = ("anchor", "content", "windows")
+PLACE = ("doc_id", "version", "start")
+HEAD = (*PLACE, "begin", "stop")
+OTHERS = "array<struct<doc_id: long, version: long, start: long>>"
+# Places of a class that travel in one row.
+PLACES = 64
+
+
+def gathered(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows in order of their class, where each bundle of at most ``PLACES`` of one class begins, and each row's number in its class."""
+    order = np.lexsort([columns[n] for n in reversed((*CLASS, *(n for n in HEAD if n in columns)))])
+    columns = {n: c[order] for n, c in columns.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([columns[n][1:] != columns[n][:-1] for n in CLASS], axis=0)
+    head = np.flatnonzero(new)
+    nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return columns, np.flatnonzero(nth % PLACES == 0), nth
+
+
+def _places(columns: dict[str, np.ndarray], rows: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(columns[n][rows]) for n in PLACE], list(PLACE))
 
 
 def occurrences(documents: DataFrame, kind: Windows) -> DataFrame:
-    """A row for every segment of every document, without its text."""
+    """The segments of every document, without their texts: a row for each class in a block and its first place, with the others.
+
+    A passage that many documents share is thus a few rows of every block, not a row for each document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, limit=kind.block):
             for at, raw, ends in kind.slices(*text_bytes(column_of(batch, "text"))):
                 found = segments(kind, raw, ends)
                 if found:
-                    rows = pa.array(found["row"])
-                    keys = [column_of(batch, name).take(rows) for name in ("doc_id", "version")]
                     for name in ("start", "begin", "stop"):
                         found[name] = found[name] + at
-                    yield pa.RecordBatch.from_arrays(keys + [pa.array(found[n]) for n in NUMBERS], ["doc_id", "version", *NUMBERS])
+                    rows = found.pop("row")
+                    found |= {name: column_of(batch, name).to_numpy()[rows] for name in ("doc_id", "version")}
+                    found, head, nth = gathered(found)
+                    rest = np.flatnonzero(nth % PLACES)
+                    ends_of = np.searchsorted(rest, np.append(head, len(nth))).astype(np.int32)
+                    others = pa.ListArray.from_arrays(pa.array(ends_of), _places(found, rest), mask=pa.array(np.diff(ends_of) == 0))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(found[n][head]) for n in (*HEAD, *CLASS)), others], [*HEAD, *CLASS, "others"])
 
-    return documents.mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "version", *NUMBERS)))
+    return documents.mapInArrow(run, ", ".join(f"{n} long" for n in (*HEAD, *CLASS)) + f", others {OTHERS}")
+
+
+def copies() -> Column:
+    """The places in rows of ``occurrences``."""
+    return F.sum(1 + F.coalesce(F.size("others"), F.lit(0)))
 
 
-CLASS = ("anchor", "content", "windows")
 RUN = "struct<first: long, length: long, least: long>"
 # A class with its runs of repeated windows; or, where the key is lengthened, one window of a class and its two hashes.
 RUNS = f"anchor long, content long, windows long, runs array<{RUN}>, one long, two long, copies long"
@@ -226,43 +257,36 @@ class Groups:
 
 
 def _shared(texts: DataFrame, kind: Windows) -> DataFrame:
-    """Segments whose anchor occurs more than once."""
+    """Segments whose anchor occurs more than once; the anchors are distinct, so a row stays one or goes."""
     found = occurrences(texts, kind)
-    times = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"))
+    times = found.groupBy("anchor").agg(copies().alias("times"))
     # Written first, so that the join reads two plain shuffles and an anchor that many segments have can be split.
     shared = checkpointed(times.where("times > 1").select("anchor"))
-    return stored(found.join(shared, "anchor"))
-
-
-# Places of a class that travel in one row.
-PLACES = 64
+    return stored(found.join(shared, "anchor", "left_semi"))
 
 
 def _bundled(found: DataFrame) -> DataFrame:
     """Places of equal classes in lists of bounded length, made where the rows lie: a class with many places joins as few rows."""
-    names = ("doc_id", "version", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [column_of(batch, n).to_numpy() for n in CLASS]
-            order = np.lexsort(keys)
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-            head = np.flatnonzero(new)
-            nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
-            head = np.flatnonzero(nth % PLACES == 0)
-            places = pa.StructArray.from_arrays([column_of(batch, n).take(pa.array(order)) for n in names], list(names))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), places)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k[order][head]) for k in keys), lists], [*CLASS, "places"])
+            others = column_of(batch, "others")
+            flat = others.flatten()
+            row = np.concatenate((np.arange(batch.num_rows), np.repeat(np.arange(batch.num_rows), np.diff(_list_ends(others)))))
+            columns = {n: column_of(batch, n).to_numpy()[row] for n in CLASS}
+            columns |= {n: np.concatenate((column_of(batch, n).to_numpy(), flat.field(n).to_numpy())) for n in PLACE}
+            columns, head, _ = gathered(columns)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), _places(columns, slice(None)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(columns[n][head]) for n in CLASS), lists], [*CLASS, "places"])
 
-    kinds = ", ".join(f"{n} long" for n in CLASS) + ", places array<struct<doc_id: long, version: long, start: long>>"
-    return found.select(*CLASS, *names).mapInArrow(run, kinds)
+    kinds = ", ".join(f"{n} long" for n in CLASS) + f", places {OTHERS}"
+    return found.select(*CLASS, *PLACE, "others").mapInArrow(run, kinds)
 
 
 def _runs(texts: DataFrame, found: DataFrame, groups: Groups) -> DataFrame:
     """Runs of repeated windows in the classes of segments, and single windows of lengthened keys."""
     classes = found.groupBy("anchor", "content", "windows").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "version", "begin", "stop")).alias("of")
+        copies().alias("copies"), F.min(F.struct("doc_id", "version", "begin", "stop")).alias("of")
     )
     wanted = classes.groupBy(F.col("of.doc_id").alias("doc_id"), F.col("of.version").alias("version")).agg(
         F.collect_list(F.struct("anchor", "content", "windows", "copies", "of.begin", "of.stop")).alias("classes")

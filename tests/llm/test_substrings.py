@@ -46,6 +46,16 @@ def test_many_equal_rows_without_id_have_the_spans_of_one(as_documents, texts):
     assert len(sizes) == 2000 and len(set(sizes)) == 1 and sizes[0] < len(text.split())
 
 
+def test_a_shared_passage_moves_as_few_rows(as_documents):
+    words = [f"w{n}" for n in range(200)]
+    rows = [(n, " ".join([f"own{n}", *words])) for n in range(300)]
+    kind = repeats.Windows(20, 8, True)
+    shared = repeats._shared(repeats.keyed(as_documents(rows).coalesce(1)), kind)
+    places = shared.agg(repeats.copies()).first()[0]
+    assert places == 300 * 28 and shared.count() <= places // 15
+    assert found_in(substrings.removed_words(as_documents(rows), 20)) == plain_removed(rows, 20)
+
+
 @pytest.mark.parametrize(("group", "most"), [(40, 60), (500, 10**6), (1 << 18, 1 << 20)])
 def test_groups_of_any_size_give_the_same(monkeypatch, as_documents, group, most):
     rng = random.Random(4)
