@@ -68,12 +68,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node of the edges ``a``, ``b``.
 
-    The edges of a partition are contracted by themselves first, so few rounds are left. Each round
-    writes the contracted edges to the shared checkpoint folder; only a count and a sum reach the
-    driver. Loops and nulls are ignored. An empty edge table gives an empty result.
+    The edges of a partition are contracted by themselves first. If no more are left than are contracted together
+    anyway, a last contraction gives the result; else rounds follow, in which only a count and a sum reach the driver.
+    What a step makes is written to the shared checkpoint folder. Loops and nulls are ignored. An empty edge table
+    gives an empty result.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    edges, before = checkpointed(edges.distinct().mapInArrow(_stars, "a long, b long").distinct()), None
+    edges, before = checkpointed(edges.distinct().mapInArrow(_stars, "a long, b long")), None
+    if edges.count() <= TOGETHER:
+        edges = checkpointed(edges.coalesce(1).mapInArrow(_stars, "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

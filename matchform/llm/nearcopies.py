@@ -47,6 +47,7 @@ SKETCH = [f"bits{k}" for k in range(8)]
 
 PRINTS = "doc_id long, version long, print long"
 PREFIXES = "print long, prefix array<long>"
+PAIRS = "a long, b long, of_a long, of_b long"
 
 
 def word_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -189,8 +190,8 @@ def _candidates(turn: int | None, similarity: float):
                         near &= (group == largest) | (own[a:b] > own[a + c])
                     other = own[a:b][near]
                     if len(other):
-                        here = np.full(len(other), own[a + c])
-                        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(other)], ["a", "b"])
+                        here, mine = (np.full(len(other), of[a + c]) for of in (own, size))
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (here, other, mine, size[a:b][near])], ["a", "b", "of_a", "of_b"])
 
     return run
 
@@ -217,7 +218,7 @@ def _small(frame: DataFrame, rows: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` with their sizes, without those of large sets that wide sketches rule out."""
+    """The pairs ``a``, ``b`` with their sizes, which are looked up if missing, without those of large sets that wide sketches rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,21 +228,25 @@ def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             near = (1 + similarity) * apart <= (1 - similarity) * size + 1e-6
             yield batch.select(["a", "b", "of_a", "of_b"]).filter(pa.array(near))
 
-    of = {side: sets.select(F.col("print").alias(side), F.col("size").alias(f"of_{side}")) for side in ("a", "b")}
-    sized = checkpointed(pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "of_a", "of_b"))
+    if "of_a" not in pairs.columns:
+        of = {side: sets.select(F.col("print").alias(side), F.col("size").alias(f"of_{side}")) for side in ("a", "b")}
+        pairs = pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "of_a", "of_b")
+    sized = checkpointed(pairs)
     large = F.col("of_a") + F.col("of_b") > LARGE
     looked = sized.where(large)
+    if looked.isEmpty():
+        return sized
     for side in ("a", "b"):
         looked = looked.join(sets.select(F.col("print").alias(side), F.col("wide").alias(f"wide_{side}")), side)
     kept = looked.select("a", "b", "of_a", "of_b", "wide_a", "wide_b").mapInArrow(run, sized.schema)
     return sized.where(~large).union(kept)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, small: bool = False) -> DataFrame:
     """The pairs whose sets have at least this similarity.
 
     The sets of ``b`` are read where they lie. Those of ``a``, of which there are few (one for a group, mostly), come to
-    them: broadcast where they are small, which is checked, else by a shuffle.
+    them: broadcast where they and the pairs are known to be ``small`` or a check says so, else by a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +258,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    centres = _small(pairs.select(F.col("a").alias("print")).distinct(), SMALL_ROWS)
+    centres = pairs.select(F.col("a").alias("print")).distinct()
+    centres = F.broadcast(centres) if small else _small(centres, SMALL_ROWS)
     mine = sets.select("print", "members", "size").join(centres, "print").select(F.col("print").alias("a"), F.col("members").alias("mine"), "size")
-    if (mine.agg(F.sum("size")).first()[0] or 0) * 8 <= SMALL_BYTES:
+    if small or (mine.agg(F.sum("size")).first()[0] or 0) * 8 <= SMALL_BYTES:
         mine = F.broadcast(mine)
-    theirs = sets.select(F.col("print").alias("b"), F.col("members").alias("theirs")).join(_small(pairs, SMALL_ROWS), "b")
+    theirs = sets.select(F.col("print").alias("b"), F.col("members").alias("theirs")).join(F.broadcast(pairs) if small else _small(pairs, SMALL_ROWS), "b")
     return theirs.join(mine.drop("size"), "a").select("a", "b", "mine", "theirs").mapInArrow(run, "a long, b long")
 
 
+def _extent(pairs: DataFrame) -> tuple[int, int, int]:
+    """How many pairs there are, and the members of the sets of all their ``a``, and of both sides of all pairs."""
+    centres = pairs.groupBy("a").agg(F.max("of_a").alias("size"), F.count(F.lit(1)).alias("pairs"), F.sum(F.col("of_a") + F.col("of_b")).alias("moved"))
+    row = centres.agg(F.sum("pairs"), F.sum("size"), F.sum("moved")).first()
+    return tuple(n or 0 for n in row)
+
+
 def simhash_pairs(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``a``, ``b`` that connect all sets whose fingerprints lie within ``distance``: by the grid, equal ones by their first."""
     heads = checkpointed(sets.groupBy("simhash").agg(F.min("print").alias("head")))
@@ -304,21 +317,22 @@ def groups(documents: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         if turn == "grid":
             pairs = simhash_pairs(sets)
         elif roots is None:
-            pairs = dealt(shared.withColumn("root", F.col("print")), "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
+            pairs = dealt(shared.withColumn("root", F.col("print")), "size").mapInArrow(_candidates(turn, similarity), PAIRS).distinct()
         else:
             placed = shared.join(roots, shared["print"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "print").alias("root"))
-            pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), "a long, b long").distinct()
+            pairs = dealt(placed, "size").mapInArrow(_candidates(turn, similarity), PAIRS).distinct()
         pairs = checkpointed(_likely(pairs, sets, similarity))
         release(spark)
-        # Pairs whose sets are larger than half of all sets together are compared in several rounds, each of which lets
-        # its shuffle go.
-        moved = pairs.agg(F.sum(F.col("of_a") + F.col("of_b"))).first()[0] or 0
+        count, centres, moved = _extent(pairs)
+        small = count <= SMALL_ROWS and 8 * centres <= SMALL_BYTES
+        # Broadcast pairs and centres leave the sets where they lie. Else pairs whose sets are larger than half of all sets
+        # together are compared in several rounds, each of which lets its shuffle go.
         # Roots stand for all links so far; a turn that adds none leaves them as they are.
-        rounds, links = ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)), []
+        rounds, links = min(count, 1) if small else ceil(2 * 8 * moved / max(8 * all_sizes, SMALL_BYTES)), []
         for number in range(rounds):
             part = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number)
             with with_settings(spark, **PAIRS_AT_ONCE):
-                new = checkpointed(_verified(part, sets, similarity))
+                new = checkpointed(_verified(part, sets, similarity, small))
             if not new.isEmpty():
                 links.append(new)
             release(spark)

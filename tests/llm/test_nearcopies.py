@@ -111,3 +111,14 @@ def test_turns_that_link_nothing_leave_the_roots(spark, as_documents, monkeypatc
     rows = [(k, base) for k, base in enumerate(bases)]
     assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == [0, 1, 2, 3]
     assert len(made) == 1
+
+
+def test_small_sets_are_compared_in_one_round(spark, as_documents, monkeypatch):
+    """Pairs and centres that are broadcast need no rounds and no counts of their own; in rounds the result is the same."""
+    rng, calls, verified = random.Random(6), [], nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets, similarity, small=False: calls.append(small) or verified(pairs, sets, similarity, small))
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    rows = [(i, edited(base, rng, 0.005 * (i % 3)) if i else base) for i in range(40)]
+    monkeypatch.setattr(nearcopies, "_small", None)
+    assert sorted(r.doc_id for r in cp.near_copies(spark, as_documents(rows), "").collect()) == plain_firsts(rows)
+    assert calls and all(calls) and len(calls) <= 2 + nearcopies.STARS

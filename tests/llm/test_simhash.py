@@ -87,3 +87,12 @@ def test_edges_are_contracted_before_any_round(spark, monkeypatch):
     monkeypatch.setattr(stars, "TOGETHER", 16)
     assert sorted(map(tuple, components(edges.repartition(9)).collect())) == expected
     assert components(edges.where("a < 0")).count() == 0
+
+
+def test_few_edges_are_contracted_without_rounds(spark, monkeypatch):
+    def never(edges):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(stars, "_large_star", never)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "a long, b long").repartition(9)
+    assert sorted(map(tuple, components(edges).collect())) == sorted([(i, 0) for i in range(1, 301)] + [(1001, 1000)])
