@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchform.operators import assemble, checks, crosswalk, enrich, history, reshape
 from matchform.plans import features
+from matchform.session import tune
 from tests.frames import earlier_means, points_of, triangle
 
 
@@ -187,3 +188,39 @@ def test_team_view_and_minimum_count(spark):
     assert [r["venue"] for r in rolled] == ["home" if h == "Otters" else "away" for h in own["HomeTeam"]]
     assert [r["avg"] is None for r in rolled] == [True, True] + [False] * (len(own) - 2)
     assert rolled[2]["avg"] == pytest.approx(sum(r["win_prob"] for r in rolled[:3]) / 3)
+
+
+def exchanges_of(plan, column):
+    """How many exchanges below ``plan`` have ``column`` in their rows."""
+    children = plan.children()
+    below = sum(exchanges_of(children.apply(i), column) for i in range(children.size()))
+    return below + ("Exchange" in plan.nodeName() and column in plan.output().mkString(" "))
+
+
+def test_wide_rows_move_once(spark):
+    """A match's own columns are shuffled to their league-season and nowhere else, whatever the join of names."""
+    pdf = triangle()
+    tune(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = features.build_features(
+            spark.createDataFrame(pdf), xg_feed(spark, pdf), crosswalk.curated_crosswalk(spark)
+        )
+        plan = table._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges_of(plan, "Referee") == 1 and exchanges_of(plan, "carried") == 0
+    assert exchanges_of(plan, "home_points_last_5") == 0
+
+
+def test_match_without_season_stays_without_form(spark):
+    pdf = triangle()
+    pdf.loc[[7, 8, 9, 10], "season"] = None
+    table = features.build_features(
+        spark.createDataFrame(pdf), xg_feed(spark, pdf), crosswalk.curated_crosswalk(spark)
+    )
+    rows = table.orderBy("match_id").toPandas()
+    assert list(rows["match_id"]) == list(range(1, 13)) and list(rows["Referee"]) == list(pdf["Referee"])
+    lost = rows["season"].isna()
+    assert list(lost) == list(pdf["season"].isna()) and rows.loc[lost, "home_points_last_5"].isna().all()
+    assert rows.loc[11, "home_points_last_5"] >= 0 and rows.loc[lost, "home_xg_last_5"].notna().all()
