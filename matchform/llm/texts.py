@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from matchform.session import ensure_checkpoint_dir
+from matchform.session import release, stored  # noqa: F401  (the operators take them from here)
 
 # A null id sorts behind every real one.
 NO_ID = 2**63 - 1
@@ -41,15 +39,6 @@ def public_id(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """Write a table once, as Parquet in the shared checkpoint folder, and read it back: smaller than checkpointed rows."""
-    spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that nothing reads any more."""
     for frame in frames:
@@ -60,16 +49,6 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage.
-
-    Python's objects let go of the JVM's with the next call, so it takes two rounds.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and the places where its rows begin and end."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -228,3 +228,19 @@ def test_a_fit_is_made_once_and_few_go_side_by_side(spark, seasons, monkeypatch)
     assert bench.losses(wanted, params, settings) == [pytest.approx(pair) for pair in expected]
     assert sum(map(len, runs)) == len({tuple(learn) for learn, _ in inner}) * 3 < len(wanted)
     assert all(sum(len(fit.features) for fit in run) <= 3 for run in runs)
+
+
+def test_groups_are_compared_on_a_parquet_table_without_shuffles(spark, seasons, monkeypatch):
+    """The search reads a written table, and the shuffles it came from are given up before."""
+    steps = []
+    monkeypatch.setattr(selection, "release", lambda session: steps.append("released"), raising=False)
+
+    def searched(df, features, *args, **kwargs):
+        steps.append(df.inputFiles())
+        best = {"mean_log_loss": 1.0, "mean_brier_score": 0.5, "last_fold_features": [], "validation_seasons": [], "fold_log_losses": [], "params": {}}
+        assert df.count() == seasons.count()
+        return selection.WalkForward([best], [], "", [])
+
+    monkeypatch.setattr(selection, "walk_forward", searched)
+    selection.compare_groups(seasons.repartition(3, "match_id"), {"market": MARKET}, FAST)
+    assert steps[0] == "released" and steps[1] and all(file.endswith(".parquet") for file in steps[1])
